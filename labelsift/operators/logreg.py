@@ -9,6 +9,7 @@ default weighted F1.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,40 @@ from labelsift.operators import metrics as M
 
 
 def model_frame(vecs: DataFrame, labels: DataFrame, key: str, size: int,
-                label: str = "label") -> DataFrame:
-    """Join sparse rows to labels and build the ML ``features`` column."""
-    return (vecs.join(labels.select(key, F.col(label).cast("double").alias("label")), key)
-                .select(key, "label", sparse_vector(size).alias("features")))
+                label: str | dict[str, str] = "label") -> DataFrame:
+    """Join sparse rows to one or more label columns and build ``features``.
 
+    ``label`` may map output names to label columns, so models trained on
+    the same vectors with different labels (clean vs flipped) share one frame.
+    """
+    names = {"label": label} if isinstance(label, str) else label
+    lab = labels.select(key, *[F.col(src).cast("double").alias(dst) for dst, src in names.items()])
+    return vecs.join(lab, key).select(key, *names.keys(), sparse_vector(size).alias("features"))
 
-def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float = 1e-6):
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
+
+def training_frame(frame: DataFrame) -> DataFrame:
+    """Size a training frame for the many passes of L-BFGS: at most one
+    partition per core of the cluster (an iteration costs a job whose tasks
+    each emit a dense gradient), cached once."""
+    sc = frame.sparkSession.sparkContext
+    parts = frame.rdd.getNumPartitions()
+    target = max(1, min(parts, sc.defaultParallelism))
+    if target < parts:
+        frame = frame.coalesce(target)
+    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float = 1e-6,
+               label_col: str = "label"):
+    """M6. The gradient tree-aggregation depth (Spark's minimum is 2) grows
+    with the partition count so the driver merges few dense gradients per
+    iteration even on thousands of partitions."""
+    parts = train.rdd.getNumPartitions()
+    depth = 2 if parts <= 1024 else 3
+    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter,
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, tol=tol)
+                            standardization=False, fitIntercept=True, tol=tol,
+                            aggregationDepth=depth)
     return lr.fit(train)
 
 

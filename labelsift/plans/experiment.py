@@ -45,7 +45,9 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, cfg: T.TfidfConfig = T
     n_train = train.count()
     train_vecs, size, vocab = featurize(train, key, text, cfg, n_train)
     test_vecs = _vectors_for(test, vocab, key, text)
-    model = LR.fit_logreg(LR.model_frame(train_vecs, train, key, size, label), n_train, max_iter)
+    frame = LR.training_frame(materialize(LR.model_frame(train_vecs, train, key, size, label)))
+    model = LR.fit_logreg(frame, n_train, max_iter)
+    frame.unpersist()
     ev = LR.evaluate(model, LR.model_frame(test_vecs, test, key, size, label), key)
     return ev.select(F.lit(n_train).cast("bigint").alias("n_train"), "*")
 
@@ -61,8 +63,14 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
     vecs, size, vocab = featurize(train, "row_id", "text", cfg, n_train)
     test_vecs = _vectors_for(test, vocab, "row_id", "text")
     test_frame = LR.model_frame(test_vecs, test, "row_id", size)
-    clean_m = LR.fit_logreg(LR.model_frame(vecs, train, "row_id", size), n_train, max_iter)
-    pois_m = LR.fit_logreg(LR.model_frame(vecs, poisoned, "row_id", size), n_train, max_iter)
+    # flips leave text unchanged: one frame carries both label columns
+    both = poisoned.select("row_id", F.col("original_label").alias("clean_label"),
+                           F.col("label").alias("poisoned_label"))
+    frame = LR.training_frame(materialize(LR.model_frame(
+        vecs, both, "row_id", size, {"clean_label": "clean_label", "poisoned_label": "poisoned_label"})))
+    clean_m = LR.fit_logreg(frame, n_train, max_iter, label_col="clean_label")
+    pois_m = LR.fit_logreg(frame, n_train, max_iter, label_col="poisoned_label")
+    frame.unpersist()
     c = LR.evaluate(clean_m, test_frame).first()
     p = LR.evaluate(pois_m, test_frame).first()
     n_poisoned = poisoned.agg(F.sum("is_poisoned")).first()[0] or 0
