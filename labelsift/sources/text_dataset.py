@@ -38,9 +38,10 @@ def read_text_dataset(spark: SparkSession, path: str, mode: str = "reference",
                       header: bool | None = None) -> DataFrame:
     name = path.lower().rstrip("/")
     if name.endswith(".json"):
-        df = spark.read.option("multiLine", True).json(path)
-        if df.columns == ["_corrupt_record"]:
-            df = spark.read.json(path)  # JSON Lines
+        df = spark.read.json(path)  # JSON Lines (or a one-line document)
+        if "_corrupt_record" in df.columns:
+            # some line is not a whole JSON value: a pretty-printed document
+            df = spark.read.option("multiLine", True).json(path)
         if "_corrupt_record" in df.columns:
             df = df.drop("_corrupt_record")
         return df
