@@ -62,6 +62,18 @@ class Forest:
     leaf_value: np.ndarray  # depth + c(size) at leaves, NaN at internal nodes
     psi: int
     max_depth: int
+    lookup: np.ndarray | None = None  # original feature -> compact column, -1 if unused
+    width: int = 0
+
+    def compact(self, n_features: int) -> "Forest":
+        """Renumber split features to the columns the forest actually uses, so
+        scoring densifies ``rows x used`` instead of ``rows x vocabulary``."""
+        used = np.unique(self.feature[self.feature >= 0])
+        lookup = np.full(max(n_features, 1), -1, dtype=np.int64)
+        lookup[used] = np.arange(used.size)
+        feature = np.where(self.feature >= 0, lookup[np.maximum(self.feature, 0)], -1)
+        return Forest(feature, self.threshold, self.left, self.right, self.leaf_value,
+                      self.psi, self.max_depth, lookup, int(max(used.size, 1)))
 
     @property
     def n_trees(self) -> int:
@@ -198,27 +210,52 @@ def path_lengths(forest: Forest, X: np.ndarray) -> np.ndarray:
     return forest.leaf_value[tree_ix, node].mean(axis=1)
 
 
-def score_rows(forest: Forest, indices, values, n_features: int) -> np.ndarray:
+SCORE_CHUNK_BYTES = 64 << 20
+
+
+def densify(indices, values, lookup: np.ndarray, width: int) -> np.ndarray:
+    """Dense ``rows x width`` block from sparse rows, keeping only features
+    with a compact column in ``lookup``."""
     m = len(indices)
-    X = np.zeros((m, max(n_features, 1)))
-    for i, (ind, val) in enumerate(zip(indices, values)):
-        if ind is not None and len(ind):
-            X[i, np.asarray(ind, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
-    e = path_lengths(forest, X)
-    return np.power(2.0, -e / float(c_factor([forest.psi])[0]))
+    X = np.zeros((m, width))
+    lens = np.fromiter((0 if ind is None else len(ind) for ind in indices), dtype=np.int64, count=m)
+    if lens.sum() == 0:
+        return X
+    flat_i = np.concatenate([np.asarray(ind, dtype=np.int64) for ind in indices if ind is not None and len(ind)])
+    flat_v = np.concatenate([np.asarray(v, dtype=np.float64) for ind, v in zip(indices, values)
+                             if ind is not None and len(ind)])
+    rows = np.repeat(np.arange(m), lens)
+    col = lookup[flat_i]
+    keep = col >= 0
+    X[rows[keep], col[keep]] = flat_v[keep]
+    return X
+
+
+def score_rows(forest: Forest, indices, values) -> np.ndarray:
+    """Scores for a batch of sparse rows, in chunks of bounded dense size."""
+    m = len(indices)
+    out = np.empty(m)
+    step = max(1, SCORE_CHUNK_BYTES // (8 * max(forest.width, forest.n_trees)))
+    cpsi = float(c_factor([forest.psi])[0])
+    for a in range(0, m, step):
+        X = densify(indices[a:a + step], values[a:a + step], forest.lookup, forest.width)
+        out[a:a + step] = np.power(2.0, -path_lengths(forest, X) / cpsi)
+    return out
 
 
 def score(vecs: DataFrame, key: str, forest: Forest, n_features: int,
           out: str = "score") -> DataFrame:
     """M2: ``(key, score)`` with ``score`` in (0, 1), higher = more isolated."""
     sc = vecs.sparkSession.sparkContext
+    if forest.lookup is None:
+        forest = forest.compact(n_features)
     bc = sc.broadcast(forest)
     key_type = vecs.schema[key].dataType.simpleString()
 
     def run(batches):
         f = bc.value
         for pdf in batches:
-            s = score_rows(f, pdf["indices"], pdf["values"], n_features)
+            s = score_rows(f, list(pdf["indices"]), list(pdf["values"]))
             yield pd.DataFrame({key: pdf[key], out: s})
 
     return vecs.select(key, "indices", "values").mapInPandas(run, f"{key} {key_type}, {out} double")

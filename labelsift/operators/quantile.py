@@ -76,8 +76,15 @@ def _resolve(base, integral, has_tb, lo, hi, below, cnt, ranks, bins, limit, out
         return
     if lo == hi:
         # many rows share one value: rank them by the tie-break column instead
-        sub = kth_values(in_range.where(v == F.lit(lo)), "tb",
-                         [r - below for r in ranks], bins=bins, exact_limit=limit)
+        ties = in_range.where(v == F.lit(lo))
+        if _is_integral(base.schema["tb"].dataType) or isinstance(
+                base.schema["tb"].dataType, (T.DoubleType, T.FloatType)):
+            sub = kth_values(ties, "tb", [r - below for r in ranks], bins=bins, exact_limit=limit)
+        else:
+            # non-numeric tie-break: a top-(r+1) over the tied rows only
+            need = max(ranks) - below + 1
+            got = ties.select("tb").orderBy("tb").limit(need).collect()
+            sub = {r - below: got[r - below]["tb"] for r in ranks}
         for r in ranks:
             out[r] = (lo, sub[r - below])
         return
@@ -118,3 +125,21 @@ def exact_percentile(df: DataFrame, col: str, q: float, n: int | None = None) ->
     diff = b - a
     # numpy's lerp: symmetric form for t >= 0.5
     return b - diff * (1 - t) if t >= 0.5 else a + diff * t
+
+
+def top_k(df: DataFrame, col: str, k: int, tiebreak: str, descending: bool = True) -> DataFrame:
+    """The first ``k`` rows by ``col`` (descending by default), ties by
+    ``tiebreak`` ascending -- as a filter against the exact k-th row.
+
+    Unlike ``orderBy(..).limit(k)`` (every partition ships its top k to a
+    single task) the threshold is found by the distributed search above and
+    the result stays partitioned. The caller materialises ``df`` when it is
+    expensive: the search reads it a few times.
+    """
+    n = df.count()
+    if n <= k:
+        return df
+    key = (-F.col(col)) if descending else F.col(col)
+    probe = df.select(key.alias("_v"), F.col(tiebreak).alias("_tb"))
+    v, tb = kth_values(probe, "_v", [k - 1], tiebreak="_tb")[k - 1]
+    return df.where((key < F.lit(v)) | ((key == F.lit(v)) & (F.col(tiebreak) <= F.lit(tb))))

@@ -7,6 +7,8 @@ Plan shape (one corpus):
   inside that partitioning with no further exchange;
 * the vocabulary is one ``groupBy(term)`` with map-side partial aggregation
   (a term present in a third of all documents costs one row per partition);
+* the top ``max_features`` cut is an exact threshold (distributed
+  order-statistic search), not a single-task ``orderBy().limit()``;
 * the fitted vocabulary has at most ``max_features`` rows, so it is broadcast
   into the transform (J3); without a cap its size is counted first and a
   shuffle join is used above ``BROADCAST_MAX_TERMS``.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from labelsift.functions.columns import text_or_empty
 from labelsift.functions.stopwords import ENGLISH_STOP_WORDS
+from labelsift.operators.quantile import top_k
+from labelsift.session import materialize
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BROADCAST_MAX_TERMS = 2_000_000
@@ -113,7 +117,7 @@ def doc_freq(df: DataFrame, key: str, text: str, cfg: TfidfConfig) -> DataFrame:
 
 def fit(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
         n_docs: int | None = None) -> Vocabulary:
-    """Fit the vocabulary (lazy; at most ``max_features`` rows).
+    """Fit the vocabulary (at most ``max_features`` rows).
 
     ``n_docs`` counts every input row, including rows without any term.
     """
@@ -121,7 +125,9 @@ def fit(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
     lo, hi = _bounds(cfg, n)
     st = doc_freq(df, key, text, cfg).where((F.col("df") >= lo) & (F.col("df") <= hi))
     if cfg.max_features is not None:
-        st = st.orderBy(F.desc("ctf"), F.asc("term")).limit(cfg.max_features)
+        # Top max_features by corpus count, ties by term; an exact
+        # threshold instead of a single-task orderBy/limit
+        st = top_k(materialize(st), "ctf", cfg.max_features, "term")
         idx = F.row_number().over(Window.orderBy("term")) - 1
         table = st.select("term", idx.cast("int").alias("idx"), "df", "ctf")
     else:

@@ -101,3 +101,12 @@ def test_exact_percentile_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     for q in (0.001, 0.05, 0.5, 0.95):
         assert abs(exact_percentile(df, "v", q) - np.percentile(vals, 100 * q)) < 1e-12
+
+
+def test_top_k_ties_by_term(spark):
+    from labelsift.operators.quantile import top_k
+    rows = [(f"t{i:03d}", c) for i, c in enumerate([5, 3, 3, 3, 9, 1, 3, 7])]
+    df = spark.createDataFrame(rows, "term string, ctf long")
+    got = sorted(r["term"] for r in top_k(df, "ctf", 4, "term").collect())
+    want = sorted(t for t, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:4])
+    assert got == want == ["t000", "t001", "t004", "t007"]
