@@ -112,13 +112,25 @@ def contamination_unsupervised(n: Column | int) -> Column:
     return F.least(F.lit(0.05), F.greatest(F.lit(1.0) / c, F.lit(0.001)))
 
 
+def contamination_offset(df: DataFrame, score: str, contamination: float) -> float:
+    """M5 offset: the interpolated ``100*contamination`` percentile of
+    ``-score`` (exact, no global sort)."""
+    neg = df.select((-F.col(score)).alias("_neg"))
+    return exact_percentile(neg, "_neg", float(contamination))
+
+
+def apply_offset(df: DataFrame, score: str, offset: float, flag: str = "flag",
+                 shifted: str = "anomaly_score") -> DataFrame:
+    """``shifted = score + offset``; flagged iff ``shifted > 0``."""
+    return df.withColumn(shifted, F.col(score) + F.lit(float(offset))).withColumn(
+        flag, F.when(F.col(shifted) > 0, 1).otherwise(0))
+
+
 def flag_by_contamination(df: DataFrame, score: str, contamination: float,
                           flag: str = "flag", shifted: str = "anomaly_score") -> DataFrame:
-    """M5 + P14: the offset is the interpolated ``100*contamination`` percentile
-    of ``-score`` (exact, no global sort); ``shifted = score + offset`` and a
-    row is flagged iff ``shifted > 0`` (strictly beyond the percentile)."""
-    neg = df.select((-F.col(score)).alias("_neg"))
-    offset = exact_percentile(neg, "_neg", float(contamination))
+    """M5 + P14: offset from the training scores themselves, then a row is
+    flagged iff it lies strictly beyond the percentile."""
+    offset = contamination_offset(df, score, contamination)
     shifted_col = F.col(score) + F.lit(offset)
     return df.withColumn(shifted, shifted_col).withColumn(
         flag, F.when(F.col(shifted) > 0, 1).otherwise(0))
