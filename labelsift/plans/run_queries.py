@@ -30,7 +30,7 @@ def _cnt(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def _seed_row(c: DataFrame, s: int) -> DataFrame:
+def _seed_row(c: DataFrame, s: int, with_conditions: bool = False) -> DataFrame:
     sp = train_test_split(c, "row_id", TEST_RATE, s)
     train = sp.where(F.col("split") == "train")
     p = X.flip_labels(train.drop("split"), "row_id", "label", RATE, s)
@@ -43,6 +43,8 @@ def _seed_row(c: DataFrame, s: int) -> DataFrame:
               _cnt(tr & (F.col("original_label") == 0)).alias("tr0"),
               _cnt(tr & (F.col("label") == 1)).alias("pr1"),
               _cnt(tr & (F.col("label") == 0)).alias("pr0"),
+              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("label") == 1)).alias("mr1"),
+              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("label") == 0)).alias("mr0"),
               _cnt(te & (F.col("label") == 1)).alias("te1"),
               _cnt(te & (F.col("label") == 0)).alias("te0"),
               _cnt(tr & (F.col("detector_flag") == 1)).alias("flagged"),
@@ -65,8 +67,13 @@ def _seed_row(c: DataFrame, s: int) -> DataFrame:
                    F.struct(tp.alias("true_positive"), fp.alias("false_positive"),
                             fn.alias("false_negative"), F.col("tn").alias("true_negative"))
                    .alias("confusion_matrix"))
-    return a.select(F.lit(s).alias("seed"), model("tr1", "tr0").alias("clean"),
-                    model("pr1", "pr0").alias("poisoned"), det.alias("detection"))
+    cols = [F.lit(s).alias("seed"), model("tr1", "tr0").alias("clean"),
+            model("pr1", "pr0").alias("poisoned"), det.alias("detection")]
+    if with_conditions:
+        n = F.col("tr1") + F.col("tr0")
+        cols += [model("mr1", "mr0").alias("mitigated"), n.alias("n_clean"),
+                 (F.col("mr1") + F.col("mr0")).alias("n_mitigated"), (F.col("te1") + F.col("te0")).alias("n_test")]
+    return a.select(*cols)
 
 
 def standin_runs(spark, sf, seeds=SEEDS) -> DataFrame:
@@ -93,7 +100,24 @@ def _doc(spark, sf) -> DataFrame:
         .alias("detection"))
 
 
+def standin_conditions(spark, sf, seed: int = 1) -> DataFrame:
+    """Conditions table ``(condition, n_train, n_test, accuracy, f1)`` of the
+    stand-in model for clean, poisoned and mitigated training labels."""
+    r = _seed_row(corpus(spark, sf), seed, with_conditions=True)
+    rows = [F.struct(F.lit(name).alias("condition"), F.col(n).alias("n_train"), F.col("n_test"),
+                     F.col(f"{name}.accuracy").alias("accuracy"), F.col(f"{name}.f1").alias("f1"))
+            for name, n in (("clean", "n_clean"), ("poisoned", "n_clean"), ("mitigated", "n_mitigated"))]
+    return r.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+def _recovery(spark, sf):
+    from labelsift.plans.experiment import recovery
+    return r6(recovery(standin_conditions(spark, sf)))
+
+
 QUERIES = {
+    "impact_recovery": _recovery,
+    "config_table": lambda spark, sf: R.config_rows(_doc(spark, sf)),
     "seed_runs": lambda spark, sf: r6(R.run_rows(standin_runs(spark, sf))),
     "run_table": lambda spark, sf: r6(R.run_table(standin_runs(spark, sf))),
     "impact_table": lambda spark, sf: r6(R.impact_table(standin_runs(spark, sf))),
@@ -117,6 +141,8 @@ def _seed_sql(s: int) -> str:
              count(*) FILTER (WHERE sp = 'train' AND original_label = 0) AS tr0,
              count(*) FILTER (WHERE sp = 'train' AND label = 1) AS pr1,
              count(*) FILTER (WHERE sp = 'train' AND label = 0) AS pr0,
+             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 0 AND label = 1) AS mr1,
+             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 0 AND label = 0) AS mr0,
              count(*) FILTER (WHERE sp = 'test' AND label = 1) AS te1,
              count(*) FILTER (WHERE sp = 'test' AND label = 0) AS te0,
              count(*) FILTER (WHERE sp = 'train' AND detector_flag = 1) AS flagged,
@@ -139,6 +165,8 @@ def _seed_sql(s: int) -> str:
       SELECT {s} AS seed, {acc('tr1', 'tr0')} AS clean_accuracy, {f1('tr1', 'tr0')} AS clean_f1,
              {acc('pr1', 'pr0')} AS poisoned_accuracy, {f1('pr1', 'pr0')} AS poisoned_f1,
              CAST(flagged AS DOUBLE) AS n_flagged,
+             {acc('mr1', 'mr0')} AS mitigated_accuracy, {f1('mr1', 'mr0')} AS mitigated_f1,
+             tr1 + tr0 AS n_clean, mr1 + mr0 AS n_mitigated,
              coalesce(tp / nullif(tp + fp, 0), 0) AS det_precision,
              coalesce(tp / nullif(tp + fn, 0), 0) AS det_recall,
              coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS det_f1,
@@ -174,93 +202,14 @@ _STAT_COLS = ("clean_accuracy_mean poisoned_accuracy_mean clean_f1_mean poisoned
 _S1 = _seed_sql(1)
 
 ORACLE = {
-    "seed_runs": f"SELECT seed, {_round('clean_accuracy clean_f1 poisoned_accuracy poisoned_f1 n_flagged det_precision det_recall det_f1 tp fp fn tn')} FROM ({_RUNS})",
-    "run_table": f"""SELECT seed, round(clean_accuracy, 6) AS clean_accuracy, round(poisoned_accuracy, 6) AS poisoned_accuracy,
-                            round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop,
-                            round(clean_f1, 6) AS clean_f1, round(poisoned_f1, 6) AS poisoned_f1,
-                            round(clean_f1 - poisoned_f1, 6) AS f1_drop, round(n_flagged, 6) AS flagged FROM ({_RUNS})""",
-    "impact_table": f"""SELECT seed, round(clean_accuracy, 6) AS clean_accuracy, round(poisoned_accuracy, 6) AS poisoned_accuracy,
-                               round(poisoned_accuracy - clean_accuracy, 6) AS accuracy_delta,
-                               round(clean_f1, 6) AS clean_f1, round(poisoned_f1, 6) AS poisoned_f1,
-                               round(poisoned_f1 - clean_f1, 6) AS f1_delta FROM ({_RUNS})""",
-    "detection_audit": f"SELECT seed, round(n_flagged, 6) AS flagged, {_round('tp fp fn tn')} FROM ({_RUNS})",
-    "run_matrix": f"SELECT seed, {_round('clean_accuracy poisoned_accuracy clean_f1 poisoned_f1 n_flagged tp fp fn tn')} FROM ({_RUNS})",
-    "run_stats": f"""SELECT n_seeds, {_round(_STAT_COLS)},
-                            n_seeds > 1 AND abs(accuracy_drop_std) > abs(coalesce(accuracy_drop_mean, 0)) * 0.5 AS variance_caution
-                     FROM ({_STATS.format(runs=_RUNS)})""",
-    "metric_resolution": lambda spark, sf: r6(R.normalise_results(_doc(spark, sf))),
-    "runs_synthesised": lambda spark, sf: r6(R.run_rows(R.runs_of(_doc(spark, sf)))),
-}
-
-# ---------------------------------------------------------------- oracle SQL
-
-
-def _seed_sql(s: int) -> str:
-    train = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(s), 'row_id')} >= {_CUT}"
-    test = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(s), 'row_id')} < {_CUT}"
-    f = standin_flag_sql(s, RATE, poisoned_sql(s, RATE, train))
-    agg = f"""
-      SELECT count(*) FILTER (WHERE sp = 'train' AND original_label = 1) AS tr1,
-             count(*) FILTER (WHERE sp = 'train' AND original_label = 0) AS tr0,
-             count(*) FILTER (WHERE sp = 'train' AND label = 1) AS pr1,
-             count(*) FILTER (WHERE sp = 'train' AND label = 0) AS pr0,
-             count(*) FILTER (WHERE sp = 'test' AND label = 1) AS te1,
-             count(*) FILTER (WHERE sp = 'test' AND label = 0) AS te0,
-             count(*) FILTER (WHERE sp = 'train' AND detector_flag = 1) AS flagged,
-             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 1 AND detector_flag = 1) AS tp,
-             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 0 AND detector_flag = 1) AS fp,
-             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 1 AND detector_flag = 0) AS fn,
-             count(*) FILTER (WHERE sp = 'train' AND is_poisoned = 0 AND detector_flag = 0) AS tn
-      FROM (SELECT 'train' AS sp, label, original_label, is_poisoned, detector_flag FROM ({f})
-            UNION ALL
-            SELECT 'test' AS sp, label, NULL, NULL, NULL FROM ({test}))"""
-
-    def acc(n1, n0):
-        return (f"CASE WHEN {n1} >= {n0} THEN coalesce(te1 / nullif(te1 + te0, 0), 0) "
-                f"ELSE coalesce(te0 / nullif(te1 + te0, 0), 0) END")
-
-    def f1(n1, n0):
-        return f"CASE WHEN {n1} >= {n0} THEN coalesce(2 * te1 / nullif(2 * te1 + te0, 0), 0) ELSE 0.0 END"
-
-    return f"""
-      SELECT {s} AS seed, {acc('tr1', 'tr0')} AS clean_accuracy, {f1('tr1', 'tr0')} AS clean_f1,
-             {acc('pr1', 'pr0')} AS poisoned_accuracy, {f1('pr1', 'pr0')} AS poisoned_f1,
-             CAST(flagged AS DOUBLE) AS n_flagged,
-             coalesce(tp / nullif(tp + fp, 0), 0) AS det_precision,
-             coalesce(tp / nullif(tp + fn, 0), 0) AS det_recall,
-             coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS det_f1,
-             CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn
-      FROM ({agg})"""
-
-
-_RUNS = " UNION ALL ".join(_seed_sql(s) for s in SEEDS)
-
-
-def _round(cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols.split())
-
-
-_STATS = """
-    SELECT count(*) AS n_seeds,
-           avg(clean_accuracy) AS clean_accuracy_mean, avg(poisoned_accuracy) AS poisoned_accuracy_mean,
-           avg(clean_f1) AS clean_f1_mean, avg(poisoned_f1) AS poisoned_f1_mean,
-           avg(clean_accuracy - poisoned_accuracy) AS accuracy_drop_mean,
-           avg(clean_f1 - poisoned_f1) AS f1_drop_mean,
-           coalesce(stddev_samp(clean_accuracy), 0) AS clean_accuracy_std,
-           coalesce(stddev_samp(poisoned_accuracy), 0) AS poisoned_accuracy_std,
-           coalesce(stddev_samp(clean_f1), 0) AS clean_f1_std,
-           coalesce(stddev_samp(poisoned_f1), 0) AS poisoned_f1_std,
-           coalesce(stddev_samp(n_flagged), 0) AS flagged_std,
-           coalesce(stddev_samp(clean_accuracy - poisoned_accuracy), 0) AS accuracy_drop_std,
-           coalesce(stddev_samp(clean_f1 - poisoned_f1), 0) AS f1_drop_std
-    FROM ({runs})"""
-
-_STAT_COLS = ("clean_accuracy_mean poisoned_accuracy_mean clean_f1_mean poisoned_f1_mean accuracy_drop_mean "
-              "f1_drop_mean clean_accuracy_std poisoned_accuracy_std clean_f1_std poisoned_f1_std flagged_std "
-              "accuracy_drop_std f1_drop_std")
-_S1 = _seed_sql(1)
-
-ORACLE = {
+    "impact_recovery": f"""
+        SELECT {_round('clean_accuracy poisoned_accuracy mitigated_accuracy clean_f1 poisoned_f1 mitigated_f1')},
+               round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop, round(clean_f1 - poisoned_f1, 6) AS f1_drop,
+               round(mitigated_accuracy - poisoned_accuracy, 6) AS accuracy_recovery,
+               round(mitigated_f1 - poisoned_f1, 6) AS f1_recovery,
+               n_clean AS clean_samples, n_clean AS poisoned_samples, n_mitigated AS mitigated_samples
+        FROM ({_S1})""",
+    "config_table": "SELECT 'random_state' AS parameter, '1' AS value",
     "seed_runs": f"SELECT seed, {_round('clean_accuracy clean_f1 poisoned_accuracy poisoned_f1 n_flagged det_precision det_recall det_f1 tp fp fn tn')} FROM ({_RUNS})",
     "run_table": f"""SELECT seed, round(clean_accuracy, 6) AS clean_accuracy, round(poisoned_accuracy, 6) AS poisoned_accuracy,
                             round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop,

@@ -54,3 +54,13 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
 def export_runs(runs: DataFrame, path: str) -> None:
     """K5: per-run metrics as a flat CSV (seed + 9 metrics)."""
     write_table(run_matrix(runs), path, "csv")
+
+
+def export_flagged(flagged: DataFrame, path: str, fmt: str = "csv") -> None:
+    """K7: every flagged record, written by the executors (the reference ships
+    them through the browser); nested values are serialised with to_json."""
+    from pyspark.sql import types as T
+    cols = [F.to_json(F.col(f.name)).alias(f.name)
+            if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f.name)
+            for f in flagged.schema.fields]
+    write_table(flagged.select(*cols), path, fmt)
