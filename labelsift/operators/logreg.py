@@ -2,7 +2,9 @@
 
 M6 is Spark ML's ``LogisticRegression`` set to the reference's objective
 (L2, C = 1, intercept unpenalised): ``regParam = 1 / n_train``,
-``elasticNetParam = 0``, ``standardization = False``, ``maxIter = 1000``.
+``elasticNetParam = 0``, ``standardization = False``, ``maxIter = 1000``,
+``tol = 1e-4`` (the reference's solver tolerance; Spark's default 1e-6 runs
+~1.6x the iterations for the same predictions at sf0.1).
 Accuracy and F1 come from confusion counts (A9), never from the evaluator's
 default weighted F1.
 """
@@ -43,7 +45,11 @@ def training_frame(frame: DataFrame) -> DataFrame:
     return frame.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float = 1e-6,
+# Fixed value: the solver tolerance of the reference's model (its library default).
+LR_TOL = 1e-4
+
+
+def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float = LR_TOL,
                label_col: str = "label"):
     """M6. The gradient tree-aggregation depth (Spark's minimum is 2) grows
     with the partition count so the driver merges few dense gradients per
