@@ -111,8 +111,12 @@ def doc_freq(df: DataFrame, key: str, text: str, cfg: TfidfConfig) -> DataFrame:
     """T4 input: ``(term, df, ctf)`` -- documents containing the term and its
     corpus count. The per-document counts never leave their partition; the
     term aggregation is partial-then-final."""
-    tc = term_counts(df, key, text, cfg)
-    return tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    return doc_freq_from_counts(term_counts(df, key, text, cfg))
+
+
+def doc_freq_from_counts(tc: DataFrame) -> DataFrame:
+    return (tc.where(F.col("term").isNotNull()).groupBy("term")
+              .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")))
 
 
 def fit(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
@@ -122,8 +126,13 @@ def fit(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
     ``n_docs`` counts every input row, including rows without any term.
     """
     n = int(n_docs if n_docs is not None else df.count())
+    return fit_counts(term_counts(df, key, text, cfg), cfg, n)
+
+
+def fit_counts(tc: DataFrame, cfg: TfidfConfig, n: int) -> Vocabulary:
+    """Fit from precomputed ``(key, term, tf)`` counts of ``n`` documents."""
     lo, hi = _bounds(cfg, n)
-    st = doc_freq(df, key, text, cfg).where((F.col("df") >= lo) & (F.col("df") <= hi))
+    st = doc_freq_from_counts(tc).where((F.col("df") >= lo) & (F.col("df") <= hi))
     if cfg.max_features is not None:
         # Top max_features by corpus count, ties by term; an exact
         # threshold instead of a single-task orderBy/limit
@@ -133,7 +142,7 @@ def fit(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
     else:
         ordered = st.orderBy("term")
         rdd = ordered.rdd.zipWithIndex().map(lambda p: (p[0]["term"], p[1], p[0]["df"], p[0]["ctf"]))
-        table = df.sparkSession.createDataFrame(rdd, "term string, idx int, df long, ctf long")
+        table = tc.sparkSession.createDataFrame(rdd, "term string, idx int, df long, ctf long")
     table = table.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     return Vocabulary(table, n, cfg, cfg.max_features)
 
@@ -156,8 +165,13 @@ def transform(df: DataFrame, key: str, text: str, vocab: Vocabulary,
     partitioning of the counts (no exchange). With ``keep_empty`` documents
     without vocabulary terms keep one row with null ``term/idx/weight``.
     """
+    tc = term_counts(df, key, text, vocab.cfg, keep_empty=keep_empty)
+    return transform_counts(tc, key, vocab, keep_empty)
+
+
+def transform_counts(tc: DataFrame, key: str, vocab: Vocabulary, keep_empty: bool = False) -> DataFrame:
+    """Transform precomputed ``(key, term, tf)`` counts."""
     cfg = vocab.cfg
-    tc = term_counts(df, key, text, cfg, keep_empty=keep_empty)
     how = "left" if keep_empty else "inner"
     j = tc.join(_vocab_side(vocab), "term", how)
     if keep_empty:
@@ -167,8 +181,7 @@ def transform(df: DataFrame, key: str, text: str, vocab: Vocabulary,
         tf = F.lit(1.0) + F.log(tf)
     w = tf * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
-    out = j.select(key, "term", "idx", F.when(norm > 0, w / norm).otherwise(w).alias("weight"))
-    return out
+    return j.select(key, "term", "idx", F.when(norm > 0, w / norm).otherwise(w).alias("weight"))
 
 
 def vectors(weights: DataFrame, key: str) -> DataFrame:

@@ -33,11 +33,16 @@ def featurize(df: DataFrame, key: str, text: str, cfg: T.TfidfConfig,
               n: int | None = None) -> tuple[DataFrame, int, T.Vocabulary]:
     """Fit + transform and materialise sparse vectors ``(key, indices, values)``
     for every row (rows without vocabulary terms get empty arrays)."""
-    vocab = T.fit(df, key, text, cfg, n)
+    n = int(n if n is not None else df.count())
+    # tokenise and count once; the vocabulary fit and the transform both read
+    # the persisted counts (recomputed from lineage if an executor is lost)
+    tc = materialize(T.term_counts(df, key, text, cfg, keep_empty=True), reliable=False)
+    vocab = T.fit_counts(tc, cfg, n)
     vocab.table = materialize(vocab.table)
     vocab.size = vocab.table.count()
-    w = T.transform(df, key, text, vocab, keep_empty=True)
+    w = T.transform_counts(tc, key, vocab, keep_empty=True)
     vecs = materialize(T.vectors(w, key))
+    tc.unpersist()
     return vecs, int(vocab.size), vocab
 
 
