@@ -119,3 +119,16 @@ def test_scan_end_to_end(spark):
     m = res.metrics.first()
     assert m["both_classes"] is True and m["truth_source"] == "is_poisoned column"
     assert res.histogram.agg(F.sum("n")).first()[0] == 62
+
+
+def test_file_order_key_many_files(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    for f in range(4):
+        (d / f"part{f}.csv").write_text("text,label\n" + "".join(f"f{f}r{i},{i % 2}\n" for i in range(25 + f)))
+    df = read_corpus(spark, str(d))
+    rows = sorted((r["row_id"], r["text"]) for r in df.collect())
+    assert [k for k, _ in rows] == list(range(4 * 25 + 6))
+    texts = [t for _, t in rows]
+    want = [f"f{f}r{i}" for f in range(4) for i in range(25 + f)]
+    assert texts == want
