@@ -124,3 +124,23 @@ def recovery(cond: DataFrame) -> DataFrame:
         (F.col("mitigated_f1") - F.col("poisoned_f1")).alias("f1_recovery"),
         F.col("clean_n").alias("clean_samples"), F.col("poisoned_n").alias("poisoned_samples"),
         F.col("mitigated_n").alias("mitigated_samples"))
+
+
+def recovery_record(cond: DataFrame) -> DataFrame:
+    """M11 for the recovery experiment: the nested results document
+    (``experiment, clean, poisoned, mitigated, impact, dataset``)."""
+    wide = cond.groupBy().pivot("condition", ["clean", "poisoned", "mitigated"]).agg(
+        F.first("accuracy").alias("accuracy"), F.first("f1").alias("f1"),
+        F.first("n_train").alias("n"), F.first("n_test").alias("t"))
+    pair = lambda c: F.struct(F.col(f"{c}_accuracy").alias("accuracy"), F.col(f"{c}_f1").alias("f1"))
+    diff = lambda a, b, m: (F.col(f"{a}_{m}") - F.col(f"{b}_{m}"))
+    return wide.select(
+        F.lit("mitigation").alias("experiment"), pair("clean").alias("clean"),
+        pair("poisoned").alias("poisoned"), pair("mitigated").alias("mitigated"),
+        F.struct(diff("clean", "poisoned", "accuracy").alias("accuracy_drop"),
+                 diff("clean", "poisoned", "f1").alias("f1_drop"),
+                 diff("mitigated", "poisoned", "accuracy").alias("accuracy_recovery"),
+                 diff("mitigated", "poisoned", "f1").alias("f1_recovery")).alias("impact"),
+        F.struct(F.col("clean_n").alias("clean_samples"), F.col("poisoned_n").alias("poisoned_samples"),
+                 F.col("mitigated_n").alias("mitigated_samples"),
+                 F.coalesce("clean_t", "poisoned_t", "mitigated_t").alias("test_samples")).alias("dataset"))

@@ -91,3 +91,31 @@ def test_config_rows(spark, tmp_path):
     doc = read_results(spark, write_json(tmp_path, "c.json", {"config": {"dataset_name": "X", "seeds": [1, 2]}}))
     rows = {r["parameter"]: r["value"] for r in R.config_rows(doc).collect()}
     assert rows == {"dataset_name": "X", "seeds": "1, 2"}
+
+
+def test_recovery_record_and_sinks(spark, tmp_path):
+    from labelsift.plans.experiment import recovery, recovery_record
+    from labelsift.sources.sinks import export_flagged, export_runs, results_json, write_results
+    cond = spark.createDataFrame([("clean", 100, 50, 0.9, 0.91), ("poisoned", 100, 50, 0.8, 0.82),
+                                  ("mitigated", 95, 50, 0.88, 0.9)],
+                                 "condition string, n_train long, n_test long, accuracy double, f1 double")
+    r = recovery(cond).first()
+    assert abs(r["accuracy_drop"] - 0.1) < 1e-12 and abs(r["accuracy_recovery"] - 0.08) < 1e-12
+    doc = recovery_record(cond)
+    d = doc.first()
+    assert d["experiment"] == "mitigation" and d["dataset"]["test_samples"] == 50
+    assert d["dataset"]["mitigated_samples"] == 95 and abs(d["impact"]["f1_recovery"] - 0.08) < 1e-12
+    out = str(tmp_path / "doc")
+    write_results(doc, out)
+    back = read_results(spark, out)
+    assert back.first()["impact"]["accuracy_drop"] == d["impact"]["accuracy_drop"]
+    js = json.loads(results_json(doc).first()["json"])
+    assert js["clean"]["accuracy"] == 0.9
+    runs = R.runs_of(read_results(spark, write_json(tmp_path, "r.json", {"runs": RUNS3})))
+    export_runs(runs, str(tmp_path / "runs_csv"))
+    csv = spark.read.option("header", True).csv(str(tmp_path / "runs_csv"))
+    assert csv.count() == 3 and len(csv.columns) == 10
+    flagged = spark.createDataFrame([(1, "x", {"a": 1})], "k long, text string, m map<string,int>")
+    export_flagged(flagged, str(tmp_path / "flagged"))
+    back = spark.read.option("header", True).option("escape", "\"").csv(str(tmp_path / "flagged"))
+    assert back.first()["m"] == '{"a":1}'
