@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from labelsift.functions.columns import nonblank, safe_div, truncate_display
 from labelsift.operators import metrics as M
 from labelsift.operators import tfidf as TF
-from labelsift.session import materialize
 
 # Preferred text-column names, in priority order.
 PREFERRED_TEXT_COLUMNS = ("text", "content", "review", "message", "sms", "sentence",
@@ -93,7 +92,8 @@ def scan(df: DataFrame, key: str | None = None, text_col: str | None = None,
     if key is None:
         key = SOURCE_ROW
         df = with_file_order_key(df, key)  # P8: raises when the name is taken
-    working = materialize(nonblank_rows(df, text_col))
+    # not checkpointed: re-reading the source is cheaper than writing its texts
+    working = nonblank_rows(df, text_col)
     n = working.count()
     contamination = min(0.05, max(1.0 / n, 0.001))
     vecs, size, _ = featurize(working, key, text_col, cfg, n)

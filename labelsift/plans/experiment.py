@@ -57,8 +57,9 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
            dataset_name: str = "documents+labels") -> DataFrame:
     """The results document as one nested row."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
-    train = materialize(train)
-    poisoned = materialize(X.flip_labels(train, "row_id", "label", rate, seed))
+    # only the narrow label columns are checkpointed; texts are re-read
+    poisoned = materialize(X.flip_labels(train, "row_id", "label", rate, seed)
+                           .select("row_id", "label", "original_label", "is_poisoned"))
     n_train = train.count()
     vecs, size, vocab = featurize(train, "row_id", "text", cfg, n_train)
     test_vecs = _vectors_for(test, vocab, "row_id", "text")
@@ -97,9 +98,7 @@ def conditions(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RAT
     clean, poisoned and mitigated training sets. ``mitigate_by='is_poisoned'``
     removes the known flips (the reference; an upper bound)."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
-    train = materialize(train)
-    test = materialize(test)
-    poisoned = materialize(X.flip_labels(train, "row_id", "label", rate, seed))
+    poisoned = X.flip_labels(train, "row_id", "label", rate, seed)
     mitigated = X.mitigate(poisoned, mitigate_by)
     out = None
     for name, tr in (("clean", train), ("poisoned", poisoned), ("mitigated", mitigated)):

@@ -10,12 +10,11 @@ from labelsift.operators.scan import scan
 from labelsift.plans import detect as D
 from labelsift.plans import experiment as E
 from labelsift.plans.common import docs, r6
-from labelsift.session import materialize
 from labelsift.sources.artifacts import artifact_manifest
 
 
 def _detected(spark, sf):
-    p = materialize(D.poisoned_corpus(spark, sf))
+    p = D.poisoned_corpus(spark, sf)
     return p, D.detect(p)
 
 
