@@ -67,6 +67,15 @@ def q_scan_flagged_display(spark, sf):
     return _scan(spark, sf).display
 
 
+def q_conversation_scan(spark, sf):
+    """M12 with P3 + P8: no key and no text column named by the caller; the
+    text column is resolved from the schema and ``source_row`` is attached in
+    file order."""
+    conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet").select("role", "text")
+    s = scan(conv)
+    return r6(s.scored.select("source_row", "role", "anomaly_score", "potentially_suspicious"))
+
+
 def q_artifact_manifest(spark, sf):
     names = ["documents", "labels", "conversations"]
     expected = {n: f"{sf.rstrip('/')}/{n}.parquet" for n in names}
@@ -85,6 +94,7 @@ QUERIES = {
     "dataset_scan": q_dataset_scan,
     "scan_metrics": q_scan_metrics,
     "scan_flagged_display": q_scan_flagged_display,
+    "conversation_scan": q_conversation_scan,
     "artifact_manifest": q_artifact_manifest,
 }
 
