@@ -2,8 +2,8 @@
 
 Spark SQL has no expression that builds an ML ``SparseVector``; this small
 per-row helper turns the ``(indices, values)`` arrays produced by the TF-IDF
-operators into one. It runs once per document (not per term) and only
-feeds the model fit.
+operators into one. It runs once per document (not per term), only feeds the
+model fit, and moves rows between the JVM and Python as Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def sparse_vector(size: int, indices: str = "indices", values: str = "values") -> Column:
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def _build(ind, val):
         return SparseVector(size, list(ind or []), list(val or []))
 

@@ -11,6 +11,8 @@ experiment every condition fits its own vectoriser, as the reference does.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,12 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
                            F.col("label").alias("poisoned_label"))
     frame = LR.training_frame(materialize(LR.model_frame(
         vecs, both, "row_id", size, {"clean_label": "clean_label", "poisoned_label": "poisoned_label"})))
-    clean_m = LR.fit_logreg(frame, n_train, max_iter, label_col="clean_label")
-    pois_m = LR.fit_logreg(frame, n_train, max_iter, label_col="poisoned_label")
+    clean_m, pois_m = LR.fit_concurrently([
+        (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "clean_label"),
+        (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "poisoned_label")])
     frame.unpersist()
-    c = LR.evaluate(clean_m, test_frame).first()
-    p = LR.evaluate(pois_m, test_frame).first()
+    c, p = LR.fit_concurrently([(lambda m: LR.evaluate(m, test_frame).first(), clean_m),
+                                (lambda m: LR.evaluate(m, test_frame).first(), pois_m)])
     n_poisoned = poisoned.agg(F.sum("is_poisoned")).first()[0] or 0
     row = {
         "config": (dataset_name, "TF-IDF + Logistic Regression", n_train, int(c["n_test"]),
@@ -100,13 +103,15 @@ def conditions(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RAT
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
     poisoned = X.flip_labels(train, "row_id", "label", rate, seed)
     mitigated = X.mitigate(poisoned, mitigate_by)
-    out = None
-    for name, tr in (("clean", train), ("poisoned", poisoned), ("mitigated", mitigated)):
+    def one(name: str, tr: DataFrame) -> DataFrame:
         r = train_and_evaluate(tr, test, cfg, max_iter=max_iter).select(
             F.lit(name).alias("condition"), "n_train", "n_test", "accuracy", "f1")
-        r = materialize(r)
-        out = r if out is None else out.unionByName(r)
-    return out
+        return materialize(r)
+
+    # the three conditions are independent pipelines: run them as concurrent jobs
+    parts = LR.fit_concurrently([(one, "clean", train), (one, "poisoned", poisoned),
+                                 (one, "mitigated", mitigated)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recovery(cond: DataFrame) -> DataFrame:
