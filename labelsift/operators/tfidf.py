@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from labelsift.functions.columns import text_or_empty
 from labelsift.functions.stopwords import ENGLISH_STOP_WORDS
+from labelsift.operators.ordinal import ordinal
 from labelsift.operators.quantile import top_k
 from labelsift.session import materialize
 
@@ -140,9 +141,10 @@ def fit_counts(tc: DataFrame, cfg: TfidfConfig, n: int) -> Vocabulary:
         idx = F.row_number().over(Window.orderBy("term")) - 1
         table = st.select("term", idx.cast("int").alias("idx"), "df", "ctf")
     else:
-        ordered = st.orderBy("term")
-        rdd = ordered.rdd.zipWithIndex().map(lambda p: (p[0]["term"], p[1], p[0]["df"], p[0]["ctf"]))
-        table = tc.sparkSession.createDataFrame(rdd, "term string, idx int, df long, ctf long")
+        # no cap: the vocabulary grows with the data, so the index is a
+        # distributed sort plus per-partition offsets, not a one-task window
+        table = ordinal(st.select("term", "df", "ctf"), ["term"], "idx") \
+            .select("term", F.col("idx").cast("int").alias("idx"), "df", "ctf")
     table = table.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     return Vocabulary(table, n, cfg, cfg.max_features)
 

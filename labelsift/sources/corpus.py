@@ -41,38 +41,17 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
 
 
 def with_file_order_key(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Give a key-less file source a BIGINT key in file order (0-based).
-
-    JVM-only: a distributed sort on (file, position-in-scan) is checkpointed
-    so its partitioning is fixed; one small aggregation counts rows per
-    partition (one row per partition reaches the driver); the key is then the
-    partition's offset plus the row's position inside the partition (the low
-    bits of ``monotonically_increasing_id``). No row passes through Python or
-    the driver.
-    """
-    from labelsift.session import materialize
+    """Give a key-less file source a BIGINT key in file order (0-based):
+    the position of each row in the order (file, position in the scan),
+    computed by a distributed sort plus per-partition offsets (no row passes
+    through Python or the driver)."""
+    from labelsift.operators.ordinal import ordinal
 
     if key in df.columns:
         raise ValueError(f"column {key!r} already exists")
-    cols = df.columns
     tagged = (df.withColumn("_file", F.input_file_name())
-                .withColumn("_pos", F.monotonically_increasing_id())
-                .orderBy("_file", "_pos"))
-    fixed = materialize(tagged)
-    counted = fixed.withColumn("_pid", F.spark_partition_id())
-    sizes = sorted((r["_pid"], r["n"]) for r in
-                   counted.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = [], 0
-    for pid, n in sizes:
-        offsets.append((pid, run))
-        run += n
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # the offsets table has one row per partition: a bounded broadcast
-    keyed = (fixed.withColumn("_pid", F.spark_partition_id()).withColumn("_i", low)
-                  .join(F.broadcast(off), "_pid"))
-    return keyed.select((F.col("_off") + F.col("_i")).alias(key), *cols)
+                .withColumn("_pos", F.monotonically_increasing_id()))
+    return ordinal(tagged, ["_file", "_pos"], key).drop("_file", "_pos")
 
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -87,3 +87,13 @@ def test_partition_invariance(spark):
     b = T.fit_transform(df.repartition(5), "row_id", "text", cfg)[1]
     rnd = lambda d: sorted((r["row_id"], r["term"], round(r["weight"], 12)) for r in d.collect())
     assert rnd(a) == rnd(b)
+
+
+def test_uncapped_vocabulary_index_is_sorted_position(spark):
+    # many terms over several partitions: idx must be the term's rank in sort order
+    texts = [" ".join(f"w{(i * 7 + j) % 300:03d}" for j in range(12)) for i in range(200)]
+    df = docs(spark, texts).repartition(7)
+    v = T.fit(df, "row_id", "text", T.TfidfConfig())
+    rows = sorted((r["term"], r["idx"]) for r in v.table.collect())
+    assert [i for _, i in rows] == list(range(len(rows)))
+    assert len(rows) == len({t for t, _ in rows})
