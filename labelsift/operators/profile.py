@@ -20,7 +20,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def label_distribution(df: DataFrame, label: str = "label", by: str = "count") -> DataFrame:
     """A2 (``by='count'``, count desc) / A3 (``by='label'``): label histogram,
-    nulls not counted."""
+    nulls not counted; L5 is the ordering of the two forms."""
     h = (df.where(F.col(label).isNotNull()).groupBy(label)
            .agg(F.count(F.lit(1)).alias("n")))
     return h.orderBy(F.desc("n"), label) if by == "count" else h.orderBy(label)

@@ -121,6 +121,7 @@ def _sd(c: Column) -> Column:
 
 
 def _paired(a: str, b: str) -> Column:
+    # Per-seed difference, only for seeds having both values
     return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) - F.col(b))
 
 

@@ -76,7 +76,9 @@ def detect(poisoned: DataFrame, key: str = "row_id", text: str = "text",
 
 def detection_output(poisoned: DataFrame, det: Detection, key: str = "row_id") -> DataFrame:
     """The reference's detection table: input rows + ``detector_flag`` +
-    ``anomaly_score`` (one key join; both sides grow with the data)."""
+    ``anomaly_score``. J2: the reference aligns score arrays by position;
+    here the scores carry the row key, so this is one key join (both sides
+    grow with the data, so the planner picks the strategy)."""
     return poisoned.join(det.scores.select(key, "detector_flag", "anomaly_score"), key)
 
 

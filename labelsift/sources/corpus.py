@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def driver_corpus(spark: SparkSession, sf_dir: str, label_col: str = "quality") -> DataFrame:
     """Corpus view over the driver data: ``documents JOIN labels USING (doc_id)``
-    projected to ``(row_id, text, label)``. Both sides grow with the data, so
+    projected to ``(row_id, text, label)``; P5: the label is cast to INT. Both sides grow with the data, so
     the join is left to the planner (sort-merge, or broadcast when AQE sees a
     small side at runtime)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -58,7 +58,8 @@ def export_runs(runs: DataFrame, path: str) -> None:
 
 def export_flagged(flagged: DataFrame, path: str, fmt: str = "csv") -> None:
     """K7: every flagged record, written by the executors (the reference ships
-    them through the browser); nested values are serialised with to_json."""
+    them through the browser); nested values are serialised with to_json.
+    P15: typed columns need no JSON-safe value recode."""
     from pyspark.sql import types as T
     cols = [F.to_json(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f.name)
