@@ -8,12 +8,17 @@ import tempfile
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+# Session defaults (runtime SQL settings). On a cluster they apply only where
+# the submitted configuration leaves a setting unset.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Launch-time settings for local runs (tests, bench): no web UI.
+_LOCAL = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -23,17 +28,23 @@ def get_spark(master: str | None = None, app: str = "labelsift",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session. On a cluster pass ``master=None`` and let
-    spark-submit decide; tests and the bench pass ``local[N]``."""
+    spark-submit decide: settings it names (shuffle partitions, AQE, ...)
+    are kept, and ours fill only the gaps. Tests and the bench pass
+    ``local[N]``."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(_DEFAULTS)
+        for k, v in _LOCAL.items():
+            b = b.config(k, v)
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for k, v in _DEFAULTS.items():
+        if not submitted.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
