@@ -64,17 +64,19 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
                            .select("row_id", "label", "original_label", "is_poisoned"))
     n_train = train.count()
     vecs, size, vocab = featurize(train, "row_id", "text", cfg, n_train)
-    test_vecs = _vectors_for(test, vocab, "row_id", "text")
-    test_frame = LR.model_frame(test_vecs, test, "row_id", size)
     # flips leave text unchanged: one frame carries both label columns
     both = poisoned.select("row_id", F.col("original_label").alias("clean_label"),
                            F.col("label").alias("poisoned_label"))
     frame = LR.training_frame(materialize(LR.model_frame(
         vecs, both, "row_id", size, {"clean_label": "clean_label", "poisoned_label": "poisoned_label"})))
-    clean_m, pois_m = LR.fit_concurrently([
+    # the two fits and the test-split vectors (which need only the fitted
+    # vocabulary) are independent jobs: run them side by side
+    clean_m, pois_m, test_vecs = LR.fit_concurrently([
         (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "clean_label"),
-        (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "poisoned_label")])
+        (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "poisoned_label"),
+        (_vectors_for, test, vocab, "row_id", "text")])
     frame.unpersist()
+    test_frame = LR.model_frame(test_vecs, test, "row_id", size)
     c, p = LR.fit_concurrently([(lambda m: LR.evaluate(m, test_frame).first(), clean_m),
                                 (lambda m: LR.evaluate(m, test_frame).first(), pois_m)])
     n_poisoned = poisoned.agg(F.sum("is_poisoned")).first()[0] or 0
