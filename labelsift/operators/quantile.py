@@ -81,10 +81,7 @@ def _resolve(base, integral, has_tb, lo, hi, below, cnt, ranks, bins, limit, out
                 base.schema["tb"].dataType, (T.DoubleType, T.FloatType)):
             sub = kth_values(ties, "tb", [r - below for r in ranks], bins=bins, exact_limit=limit)
         else:
-            # non-numeric tie-break: a top-(r+1) over the tied rows only
-            need = max(ranks) - below + 1
-            got = ties.select("tb").orderBy("tb").limit(need).collect()
-            sub = {r - below: got[r - below]["tb"] for r in ranks}
+            sub = kth_strings(ties, "tb", [r - below for r in ranks], cnt, limit)
         for r in ranks:
             out[r] = (lo, sub[r - below])
         return
@@ -109,6 +106,55 @@ def _resolve(base, integral, has_tb, lo, hi, below, cnt, ranks, bins, limit, out
                  mine, bins, limit, out)
 
 
+def kth_strings(df: DataFrame, col: str, ranks, n: int | None = None,
+                exact_limit: int = EXACT_LIMIT) -> dict:
+    """``{rank: value}`` for 0-based ranks of a string column (binary order,
+    nulls ignored), without a global sort.
+
+    Prefix refinement: a pass counts rows per prefix one character longer
+    than the current one (partial aggregation); a prefix order is the string
+    order, so a running sum over the buckets -- at most one per distinct next
+    character -- finds the bucket holding each rank. Only the boundary
+    buckets reach the driver, and the search recurses into them until a
+    bucket holds <= ``exact_limit`` rows, which one small window ranks.
+    """
+    base = df.select(F.col(col).alias("s")).where(F.col("s").isNotNull())
+    if n is None:
+        n = base.count()
+    ranks = sorted(set(int(r) for r in ranks))
+    if any(r < 0 or r >= n for r in ranks):
+        raise ValueError(f"rank out of range for {n} rows: {ranks}")
+    out: dict = {}
+    _resolve_str(base, "", 0, n, ranks, exact_limit, out)
+    return out
+
+
+def _resolve_str(base, prefix, below, cnt, ranks, limit, out):
+    sub = base.where(F.col("s").startswith(F.lit(prefix))) if prefix else base
+    if cnt <= limit:
+        got = (sub.withColumn("_r", F.row_number().over(Window.orderBy("s")) - 1 + F.lit(below))
+                  .where(F.col("_r").isin(ranks)).collect())
+        for g in got:
+            out[g["_r"]] = g["s"]
+        return
+    # a string shorter than the new length is its own bucket key; within the
+    # prefix that bucket is exactly the prefix itself and sorts first
+    hist = sub.groupBy(F.substring("s", 1, len(prefix) + 1).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("cum", F.sum("c").over(w) - F.col("c") + F.lit(below))
+    hit = None
+    for r in ranks:
+        cond = (F.col("cum") <= r) & (F.lit(r) < F.col("cum") + F.col("c"))
+        hit = cond if hit is None else (hit | cond)
+    for b in hist.where(hit).collect():
+        mine = [r for r in ranks if b["cum"] <= r < b["cum"] + b["c"]]
+        if b["b"] == prefix:
+            for r in mine:
+                out[r] = prefix
+        else:
+            _resolve_str(base, b["b"], b["cum"], b["c"], mine, limit, out)
+
+
 def exact_percentile(df: DataFrame, col: str, q: float, n: int | None = None) -> float:
     """Linear-interpolated percentile, same definition as numpy's default and
     DuckDB ``quantile_cont``: position ``q*(n-1)`` between two order stats."""

@@ -110,3 +110,20 @@ def test_top_k_ties_by_term(spark):
     got = sorted(r["term"] for r in top_k(df, "ctf", 4, "term").collect())
     want = sorted(t for t, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:4])
     assert got == want == ["t000", "t001", "t004", "t007"]
+
+
+def test_kth_strings_prefix_refinement(spark):
+    from labelsift.operators.quantile import kth_strings, kth_values
+    rng = np.random.default_rng(3)
+    alphabet = ["a", "b", "é", "z", "日"]
+    words = ["".join(rng.choice(alphabet, size=rng.integers(1, 5))) for _ in range(400)]
+    words += ["ab", "ab", "abz", "a"] * 5            # duplicates and exact prefixes
+    df = spark.createDataFrame([(w,) for w in words], "s string").repartition(5)
+    want = sorted(words)
+    ranks = [0, 1, 17, 200, len(words) - 1]
+    got = kth_strings(df, "s", ranks, exact_limit=7)
+    assert got == {r: want[r] for r in ranks}
+    # many rows tied on the value: the string tie-break goes through the same search
+    tied = spark.createDataFrame([(1, w) for w in words], "v long, t string")
+    r = len(words) // 3
+    assert kth_values(tied, "v", [r], tiebreak="t", exact_limit=7)[r] == (1, want[r])
