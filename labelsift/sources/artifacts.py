@@ -23,8 +23,9 @@ def artifact_manifest(spark: SparkSession, expected: dict[str, str]) -> DataFram
         found = f if found is None else found.unionByName(f)
     if found is None:
         found = spark.createDataFrame([], "_p string, size long, modified timestamp")
-    # the expected list is small and fixed by the caller
-    j = want.join(F.broadcast(found), "_p", "left")
+    # found holds one metadata row per file under the expected paths (no
+    # content); a left outer join keeps every expected path
+    j = want.join(found, "_p", "left")
     return j.select("artifact", "path",
                     F.when(F.col("size").isNotNull(), "READY").otherwise("MISSING").alias("status"),
                     F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"),
