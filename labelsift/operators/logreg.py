@@ -11,8 +11,6 @@ default weighted F1.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from labelsift.functions.vectors import sparse_vector
 from labelsift.functions.columns import safe_div
 from labelsift.operators import metrics as M
+from labelsift.session import run_concurrently
 
 
 def model_frame(vecs: DataFrame, labels: DataFrame, key: str, size: int,
@@ -66,17 +65,11 @@ def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float
 
 
 def fit_concurrently(fits: list[tuple]) -> list:
-    """Run independent model fits as concurrent Spark jobs (as
-    ``CrossValidator(parallelism=...)`` does). Each L-BFGS iteration is a
-    short job whose tasks cover only the training frame's partitions, so
-    fits that share a cluster overlap their per-iteration latency instead of
-    queueing behind each other. ``fits`` holds ``(callable, *args)`` tuples;
-    results come back in the same order."""
-    if len(fits) <= 1:
-        return [f[0](*f[1:]) for f in fits]
-    with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-        futures = [pool.submit(f[0], *f[1:]) for f in fits]
-        return [fu.result() for fu in futures]
+    """Independent model fits as concurrent Spark jobs: an L-BFGS iteration
+    is a short job whose tasks cover only the training frame's partitions,
+    so fits sharing a cluster overlap their per-iteration latency instead of
+    queueing behind each other. ``fits`` holds ``(callable, *args)``."""
+    return run_concurrently(fits)
 
 
 def evaluate(model, test: DataFrame, key: str = "row_id") -> DataFrame:

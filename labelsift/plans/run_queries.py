@@ -19,6 +19,7 @@ from labelsift.functions.columns import safe_div
 from labelsift.operators import poison as X
 from labelsift.operators import runs as R
 from labelsift.plans.common import CORPUS_SQL, RATE, corpus, hash60_sql, poisoned_sql, r6, standin_flag_sql
+from labelsift.session import run_concurrently
 from labelsift.sources.corpus import train_test_split
 
 SEEDS = (1, 2, 3)
@@ -78,7 +79,8 @@ def _seed_row(c: DataFrame, s: int, with_conditions: bool = False) -> DataFrame:
 
 def standin_runs(spark, sf, seeds=SEEDS) -> DataFrame:
     c = corpus(spark, sf)
-    return reduce(DataFrame.unionByName, [_seed_row(c, s) for s in seeds])
+    # each seed's exact draws are fitted eagerly; the seeds are independent
+    return reduce(DataFrame.unionByName, run_concurrently([(_seed_row, c, s) for s in seeds]))
 
 
 def _doc(spark, sf) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,15 @@ def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def run_concurrently(calls: list[tuple]) -> list:
+    """Run independent driver-side steps -- each launching its own Spark
+    jobs -- from threads, so their jobs share the cluster instead of queueing
+    (as ``CrossValidator(parallelism=...)`` does). ``calls`` holds
+    ``(callable, *args)`` tuples; results come back in the same order."""
+    if len(calls) <= 1:
+        return [c[0](*c[1:]) for c in calls]
+    with ThreadPoolExecutor(max_workers=len(calls)) as pool:
+        futures = [pool.submit(c[0], *c[1:]) for c in calls]
+        return [f.result() for f in futures]
