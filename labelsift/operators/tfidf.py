@@ -4,7 +4,10 @@ Plan shape (one corpus):
 
 * the ``(key, text)`` input is hash-partitioned by key once; every per-document
   step after that -- term counts, the L2-norm window, vector assembly -- runs
-  inside that partitioning with no further exchange;
+  inside that partitioning with no further exchange. When the input already
+  arrives hash-partitioned by the key (the corpus view at scale is a
+  sort-merge join on it), Spark drops the repartition, so the text crosses
+  the network once either way (checked with ``explain``);
 * the vocabulary is one ``groupBy(term)`` with map-side partial aggregation
   (a term present in a third of all documents costs one row per partition);
 * the top ``max_features`` cut is an exact threshold (distributed
