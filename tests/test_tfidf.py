@@ -97,3 +97,24 @@ def test_uncapped_vocabulary_index_is_sorted_position(spark):
     rows = sorted((r["term"], r["idx"]) for r in v.table.collect())
     assert [i for _, i in rows] == list(range(len(rows)))
     assert len(rows) == len({t for t, _ in rows})
+
+
+def test_text_shuffled_once_after_key_join(spark, capsys):
+    # the corpus view at scale: a sort-merge join on the key; the TF-IDF plan
+    # must not shuffle the text again (only the join's two exchanges remain)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.range(200).select(F.col("id").alias("doc_id"),
+                                    F.concat(F.lit("word w"), (F.col("id") % 7).cast("string")).alias("text"))
+        lab = spark.range(0, 200, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("label"))
+        c = d.join(lab, "doc_id").select(F.col("doc_id").alias("row_id"), "text", "label")
+        cfg = T.TfidfConfig(max_features=5)
+        vocab = T.fit(c, "row_id", "text", cfg)
+        capsys.readouterr()
+        T.vectors(T.transform(c, "row_id", "text", vocab), "row_id").explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange hashpartitioning") == 2, plan
+        assert "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
