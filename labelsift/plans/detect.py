@@ -78,7 +78,9 @@ def detection_output(poisoned: DataFrame, det: Detection, key: str = "row_id") -
     """The reference's detection table: input rows + ``detector_flag`` +
     ``anomaly_score``. J2: the reference aligns score arrays by position;
     here the scores carry the row key, so this is one key join (both sides
-    grow with the data, so the planner picks the strategy)."""
+    grow with the data, so the planner picks the strategy). When the corpus
+    is a sort-merge join on the key, its partitioning is reused and only the
+    narrow ``(key, score)`` side is shuffled (checked with ``explain``)."""
     return poisoned.join(det.scores.select(key, "detector_flag", "anomaly_score"), key)
 
 
