@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsift.functions.columns import hash60, safe_div
-from labelsift.operators.quantile import kth_values
+from labelsift.operators.quantile import column_stats, kth_values
 from labelsift.session import materialize
 
 
@@ -46,11 +46,12 @@ def draw(df: DataFrame, key: str = "row_id", rate: float = 0.05, seed: int = 42)
     """Fit the exact-size draw. Reads only the key column once into a
     checkpoint of (key, hash), then a few small aggregation passes."""
     keys = materialize(df.select(F.col(key).alias("k"), hash60(seed, key).alias("h")))
-    n = keys.count()
+    stats = column_stats(keys, "h")  # n, min, max in one pass (h is never null)
+    n = int(stats[0])
     k = exact_k(n, rate)
     if k == 0:
         return Draw(seed, n, 0, None, None)
-    h_cut, key_cut = kth_values(keys, "h", [k - 1], tiebreak="k")[k - 1]
+    h_cut, key_cut = kth_values(keys, "h", [k - 1], tiebreak="k", stats=stats)[k - 1]
     return Draw(seed, n, k, int(h_cut), key_cut)
 
 

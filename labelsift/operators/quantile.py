@@ -33,24 +33,30 @@ def _is_integral(dt) -> bool:
     return isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
 
 
+def column_stats(df: DataFrame, col: str) -> tuple:
+    """``(n, min, max)`` of the non-null values of ``col`` in one pass."""
+    row = df.where(F.col(col).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    return row["n"], row["lo"], row["hi"]
+
+
 def kth_values(df: DataFrame, col: str, ranks, tiebreak: str | None = None,
-               bins: int = BINS, exact_limit: int = EXACT_LIMIT) -> dict:
+               bins: int = BINS, exact_limit: int = EXACT_LIMIT, stats: tuple | None = None) -> dict:
     """Return ``{rank: value}`` (0-based ranks, ascending order, nulls ignored).
 
     With ``tiebreak`` the order is ``(col, tiebreak)`` and each value is a
-    ``(col_value, tiebreak_value)`` tuple.
+    ``(col_value, tiebreak_value)`` tuple. ``stats`` may pass a precomputed
+    ``column_stats(df, col)`` to save the first pass.
     """
     cols = [F.col(col).alias("v")] + ([F.col(tiebreak).alias("tb")] if tiebreak else [])
     base = df.select(*cols).where(F.col("v").isNotNull())
     integral = _is_integral(base.schema["v"].dataType)
-    row = base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                   F.max("v").alias("hi")).first()
-    n = row["n"]
+    n, lo0, hi0 = stats if stats is not None else column_stats(base, "v")
     ranks = sorted(set(int(r) for r in ranks))
     if any(r < 0 or r >= n for r in ranks):
         raise ValueError(f"rank out of range for {n} rows: {ranks}")
     out: dict = {}
-    _resolve(base, integral, tiebreak is not None, row["lo"], row["hi"], 0, n,
+    _resolve(base, integral, tiebreak is not None, lo0, hi0, 0, n,
              ranks, bins, exact_limit, out)
     return out
 
@@ -158,14 +164,15 @@ def _resolve_str(base, prefix, below, cnt, ranks, limit, out):
 def exact_percentile(df: DataFrame, col: str, q: float, n: int | None = None) -> float:
     """Linear-interpolated percentile, same definition as numpy's default and
     DuckDB ``quantile_cont``: position ``q*(n-1)`` between two order stats."""
+    stats = column_stats(df, col)
     if n is None:
-        n = df.where(F.col(col).isNotNull()).count()
+        n = stats[0]
     if n == 0:
         raise ValueError("percentile of an empty column")
     pos = q * (n - 1)
     lo = int(math.floor(pos))
     hi = min(lo + 1, n - 1)
-    vals = kth_values(df, col, [lo, hi])
+    vals = kth_values(df, col, [lo, hi], stats=stats)
     a, b = float(vals[lo]), float(vals[hi])
     t = pos - lo
     diff = b - a
