@@ -13,8 +13,13 @@ Fit (M1), tree-parallel:
 
 Split rule: feature uniform over the features not constant in the node,
 threshold uniform in (min, max); depth limit ``ceil(log2 psi)``; a leaf of
-``m`` rows adds ``c(m)``. All randomness is seeded by (seed, tree) and the
-sample by hashes of the key, so the forest is independent of partitioning.
+``m`` rows adds ``c(m)``. Every random draw is a hash: the sample uses
+``md5('tree:<seed>:<tree>:<key>')``, a node's feature and threshold use
+``md5('node:<seed>:<tree>:<node>:f|t')`` with level-order node ids (children
+of ``i`` are ``2i+1``, ``2i+2``). Inputs are rounded to 9 decimals, so a
+split never hinges on the last bits of a weight (summation order). The forest
+is therefore independent of partitioning and engine: the oracle grows the
+same trees in SQL.
 
 Score (M2): the forest (<= trees * (2**(depth+1) - 1) nodes) is broadcast
 and ``mapInPandas`` walks all trees level by level for a whole Arrow batch;
@@ -24,6 +29,7 @@ from the exact contamination percentile (operators.metrics).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -37,7 +43,8 @@ from labelsift.functions.columns import hash60
 EULER_GAMMA = 0.5772156649015329
 POOL_FACTOR = 4
 TREE_OVERSAMPLE = 3
-U_BITS = 52
+TWO60 = float(1 << 60)
+INPUT_DECIMALS = 9
 
 
 def c_factor(m):
@@ -84,10 +91,21 @@ NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, "
                "right int, leaf_value double")
 
 
-def _u(seed, tree_col, key) -> F.Column:
-    """Uniform [0, 1) draw per (seed, tree, key) from a 64-bit hash."""
-    h = F.xxhash64(F.lit(int(seed)), tree_col, F.col(key))
-    return h.bitwiseAND(F.lit((1 << U_BITS) - 1)).cast("double") / float(1 << U_BITS)
+def _tree_hash(seed, tree_col, key) -> F.Column:
+    """60-bit draw per (seed, tree, key): ``hash60('tree:<seed>:<tree>', key)``."""
+    return hash60(F.concat(F.lit(f"tree:{seed}:"), tree_col.cast("string")), key)
+
+
+def node_uniform(seed: int, tree: int, node: int, what: str) -> float:
+    """Uniform [0, 1) draw of a node: ``md5('node:<seed>:<tree>:<node>:<what>')``
+    (first 15 hex digits) / 2**60 -- the same value as the oracle's SQL."""
+    h = int(hashlib.md5(f"node:{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:15], 16)
+    return float(h) / TWO60
+
+
+def rounded_inputs(vecs: DataFrame) -> DataFrame:
+    """Forest inputs: sparse values rounded to ``INPUT_DECIMALS`` places."""
+    return vecs.withColumn("values", F.transform("values", lambda v: F.round(v, INPUT_DECIMALS)))
 
 
 def sample_trees(vecs: DataFrame, key: str, n: int, trees: int = 200, psi: int = 256,
@@ -102,10 +120,10 @@ def sample_trees(vecs: DataFrame, key: str, n: int, trees: int = 200, psi: int =
     pool_n = min(n, pool_target)
     q = min(1.0, TREE_OVERSAMPLE * psi / max(pool_n, 1))
     offers = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    offers = offers.withColumn("_u", _u(seed, F.col("tree"), key))
+    offers = offers.withColumn("_h", _tree_hash(seed, F.col("tree"), key))
     if q < 1.0:
-        offers = offers.where(F.col("_u") < F.lit(q))
-    w = Window.partitionBy("tree").orderBy("_u", key)
+        offers = offers.where(F.col("_h") < F.lit(int(q * TWO60)))
+    w = Window.partitionBy("tree").orderBy("_h", key)
     return offers.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", key)
 
 
@@ -116,13 +134,15 @@ def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: i
     for i, (ind, val) in enumerate(zip(rows["indices"], rows["values"])):
         if ind is not None and len(ind):
             X[i, np.asarray(ind, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
-    rng = np.random.default_rng([int(seed), tree])
-    feat, thr, lft, rgt, leaf = [], [], [], [], []
+    width = 2 ** (max_depth + 1) - 1
+    feat = np.full(width, -1, dtype=np.int32)
+    thr = np.full(width, np.nan)
+    leaf = np.full(width, np.nan)
+    used = np.zeros(width, dtype=bool)
     stack = [(np.arange(m), 0, 0)]
-    # nodes are numbered in creation order; children are appended later
-    feat.append(-1); thr.append(np.nan); lft.append(-1); rgt.append(-1); leaf.append(np.nan)
     while stack:
         idx, depth, node = stack.pop()
+        used[node] = True
         size = len(idx)
         if depth >= max_depth or size <= 1:
             leaf[node] = depth + float(c_factor([size])[0])
@@ -133,22 +153,21 @@ def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: i
         if cand.size == 0:
             leaf[node] = depth + float(c_factor([size])[0])
             continue
-        f = int(cand[rng.integers(cand.size)])
-        t = float(rng.uniform(lo[f], hi[f]))
+        f = int(cand[int(math.floor(node_uniform(seed, tree, node, "f") * cand.size))])
+        t = lo[f] + node_uniform(seed, tree, node, "t") * (hi[f] - lo[f])
         if not (lo[f] < t < hi[f]):
             t = (lo[f] + hi[f]) / 2.0
+        feat[node], thr[node] = f, t
         go_left = sub[:, f] < t
-        li, ri = len(feat), len(feat) + 1
-        for _ in range(2):
-            feat.append(-1); thr.append(np.nan); lft.append(-1); rgt.append(-1); leaf.append(np.nan)
-        feat[node], thr[node], lft[node], rgt[node] = f, t, li, ri
-        stack.append((idx[~go_left], depth + 1, ri))
-        stack.append((idx[go_left], depth + 1, li))
-    k = len(feat)
-    return pd.DataFrame({"tree": np.full(k, tree, dtype=np.int32), "node": np.arange(k, dtype=np.int32),
-                         "feature": np.asarray(feat, dtype=np.int32), "threshold": np.asarray(thr),
-                         "left": np.asarray(lft, dtype=np.int32), "right": np.asarray(rgt, dtype=np.int32),
-                         "leaf_value": np.asarray(leaf)})
+        stack.append((idx[~go_left], depth + 1, 2 * node + 2))
+        stack.append((idx[go_left], depth + 1, 2 * node + 1))
+    nodes = np.flatnonzero(used)
+    internal = feat[nodes] >= 0
+    return pd.DataFrame({"tree": np.full(nodes.size, tree, dtype=np.int32), "node": nodes.astype(np.int32),
+                         "feature": feat[nodes], "threshold": thr[nodes],
+                         "left": np.where(internal, 2 * nodes + 1, -1).astype(np.int32),
+                         "right": np.where(internal, 2 * nodes + 2, -1).astype(np.int32),
+                         "leaf_value": leaf[nodes]})
 
 
 def fit_nodes(vecs: DataFrame, key: str, n_features: int, n: int | None = None,
@@ -160,7 +179,7 @@ def fit_nodes(vecs: DataFrame, key: str, n_features: int, n: int | None = None,
     psi = min(psi, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     chosen = sample_trees(vecs, key, n, trees, psi, seed)
-    rows = vecs.join(F.broadcast(chosen), key).select("tree", key, "indices", "values")
+    rows = rounded_inputs(vecs).join(F.broadcast(chosen), key).select("tree", key, "indices", "values")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
@@ -258,4 +277,5 @@ def score(vecs: DataFrame, key: str, forest: Forest, n_features: int,
             s = score_rows(f, list(pdf["indices"]), list(pdf["values"]))
             yield pd.DataFrame({key: pdf[key], out: s})
 
-    return vecs.select(key, "indices", "values").mapInPandas(run, f"{key} {key_type}, {out} double")
+    return rounded_inputs(vecs.select(key, "indices", "values")).mapInPandas(
+        run, f"{key} {key_type}, {out} double")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from labelsift.operators.scan import scan
 from labelsift.plans import detect as D
 from labelsift.plans import experiment as E
-from labelsift.plans.common import docs, r6
+from labelsift.operators import tfidf as T
+from labelsift.plans.common import CORPUS_SQL, docs, r6
+from labelsift.plans.forest_sql import scores_sql
 from labelsift.sources.artifacts import artifact_manifest
 
 
@@ -98,4 +100,9 @@ QUERIES = {
     "artifact_manifest": q_artifact_manifest,
 }
 
-ORACLE: dict[str, str] = {}
+# The forest's draws are hashes, so SQL grows the same trees (forest_sql).
+_SCORES_SQL = scores_sql(CORPUS_SQL, T.DETECT)
+
+ORACLE: dict[str, str] = {
+    "iforest_scores": f"SELECT row_id, round(score, 6) AS score FROM ({_SCORES_SQL})",
+}
