@@ -104,3 +104,21 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
                 "JOIN LEAVES l ON l.tree = d.tree AND l.node = d.node GROUP BY d.k)")
     return ("WITH " + ",\n".join(ctes) +
             f"\nSELECT PL.k AS {key}, power(2.0, -PL.e / {_c('PRM.psi_e')}) AS score FROM PL, PRM")
+
+
+def flags_sql(scores: str, contamination: str, key: str = "row_id") -> str:
+    """M5 + P14 over ``(key, score)``: offset = interpolated ``contamination``
+    percentile of ``-score`` (numpy's symmetric lerp), ``anomaly_score =
+    score + offset``, flagged iff strictly positive. ``contamination`` is a
+    one-row query with column ``c``."""
+    return f"""
+    WITH s AS ({scores}), cc AS ({contamination}),
+    r AS (SELECT -score AS v, row_number() OVER (ORDER BY -score) - 1 AS rk FROM s),
+    p AS (SELECT cc.c * (nn.n - 1) AS pos, floor(cc.c * (nn.n - 1)) AS lo, nn.n
+          FROM cc, (SELECT count(*) AS n FROM s) nn),
+    o AS (SELECT (SELECT v FROM r WHERE rk = p.lo) AS a,
+                 (SELECT v FROM r WHERE rk = least(p.lo + 1, p.n - 1)) AS b, p.pos - p.lo AS t FROM p),
+    off AS (SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * (1 - t) ELSE a + (b - a) * t END AS off FROM o)
+    SELECT s.{key}, s.score, s.score + off.off AS anomaly_score,
+           CASE WHEN s.score + off.off > 0 THEN 1 ELSE 0 END AS detector_flag
+    FROM s, off"""

@@ -10,8 +10,8 @@ from labelsift.operators.scan import scan
 from labelsift.plans import detect as D
 from labelsift.plans import experiment as E
 from labelsift.operators import tfidf as T
-from labelsift.plans.common import CORPUS_SQL, docs, r6
-from labelsift.plans.forest_sql import scores_sql
+from labelsift.plans.common import CORPUS_SQL, RATE, SEED, docs, poisoned_sql, r6
+from labelsift.plans.forest_sql import flags_sql, scores_sql
 from labelsift.sources.artifacts import artifact_manifest
 
 
@@ -101,8 +101,36 @@ QUERIES = {
 }
 
 # The forest's draws are hashes, so SQL grows the same trees (forest_sql).
+# Flips leave text unchanged: the detect features of the poisoned corpus are
+# those of the corpus.
 _SCORES_SQL = scores_sql(CORPUS_SQL, T.DETECT)
+_POISONED_SQL = poisoned_sql(SEED, RATE, CORPUS_SQL)
+# M3: the true poison rate clamped to [0.001, 0.49]
+_CONTAMINATION_SQL = (f"SELECT greatest(least(sum(is_poisoned)::DOUBLE / count(*), 0.49), 0.001) AS c "
+                      f"FROM ({_POISONED_SQL})")
+_FLAGS_SQL = flags_sql(_SCORES_SQL, _CONTAMINATION_SQL)
+_JOINED_SQL = f"SELECT p.*, f.detector_flag, f.anomaly_score FROM ({_POISONED_SQL}) p JOIN ({_FLAGS_SQL}) f USING (row_id)"
 
 ORACLE: dict[str, str] = {
     "iforest_scores": f"SELECT row_id, round(score, 6) AS score FROM ({_SCORES_SQL})",
+    "iforest_flags": f"SELECT row_id, round(anomaly_score, 6) AS anomaly_score, detector_flag FROM ({_FLAGS_SQL})",
+    "detection_output": f"""
+        SELECT row_id, text, label, original_label, is_poisoned, detector_flag,
+               round(anomaly_score, 6) AS anomaly_score FROM ({_JOINED_SQL})""",
+    "detection_metrics": f"""
+        SELECT 'Isolation Forest' AS detector, 'TF-IDF' AS feature_extraction, {SEED} AS random_state,
+               total AS total_samples, ap AS actual_poisoned, ac AS actual_clean, fl AS flagged_samples,
+               round(coalesce(fl / nullif(total, 0), 0.0), 6) AS flag_rate,
+               round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision,
+               round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+               round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+               tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative
+        FROM (SELECT count(*) AS total, count(*) FILTER (WHERE is_poisoned = 1) AS ap,
+                     count(*) FILTER (WHERE is_poisoned = 0) AS ac,
+                     count(*) FILTER (WHERE detector_flag = 1) AS fl,
+                     count(*) FILTER (WHERE is_poisoned = 1 AND detector_flag = 1) AS tp,
+                     count(*) FILTER (WHERE is_poisoned = 0 AND detector_flag = 1) AS fp,
+                     count(*) FILTER (WHERE is_poisoned = 1 AND detector_flag = 0) AS fn,
+                     count(*) FILTER (WHERE is_poisoned = 0 AND detector_flag = 0) AS tn
+              FROM ({_JOINED_SQL}))""",
 }
