@@ -41,10 +41,11 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
     if psi > 2 ** MAX_LEVELS:
         raise ValueError("the oracle unrolls trees of psi <= 256")
     pool_target = f"({IF.POOL_FACTOR * trees} * psi_e)"
+    tf = "(1.0 + ln(c.tf))" if cfg.sublinear_tf else "CAST(c.tf AS DOUBLE)"
     ctes = [
         f"V AS MATERIALIZED ({vocab_sql(source, cfg, key, text)})",
         f"W AS MATERIALIZED (SELECT k, f, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), {IF.INPUT_DECIMALS}) AS x "
-        f"FROM (SELECT c.{key} AS k, v.idx AS f, CAST(c.tf AS DOUBLE) * v.idf AS w "
+        f"FROM (SELECT c.{key} AS k, v.idx AS f, {tf} * v.idf AS w "
         f"FROM ({term_counts_sql(source, cfg, key, text)}) c JOIN V v USING (term)))",
         f"K AS MATERIALIZED (SELECT {key} AS k FROM ({source}))",
         f"PRM AS MATERIALIZED (SELECT n, psi_e, CAST(ceil(log2(greatest(psi_e, 2))) AS INTEGER) AS md, "

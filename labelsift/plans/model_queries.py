@@ -10,7 +10,7 @@ from labelsift.operators.scan import scan
 from labelsift.plans import detect as D
 from labelsift.plans import experiment as E
 from labelsift.operators import tfidf as T
-from labelsift.plans.common import CORPUS_SQL, RATE, SEED, docs, poisoned_sql, r6
+from labelsift.plans.common import CORPUS_SQL, RATE, SEED, docs, poisoned_sql, r6, strip_sql
 from labelsift.plans.forest_sql import flags_sql, scores_sql
 from labelsift.sources.artifacts import artifact_manifest
 
@@ -111,6 +111,14 @@ _CONTAMINATION_SQL = (f"SELECT greatest(least(sum(is_poisoned)::DOUBLE / count(*
 _FLAGS_SQL = flags_sql(_SCORES_SQL, _CONTAMINATION_SQL)
 _JOINED_SQL = f"SELECT p.*, f.detector_flag, f.anomaly_score FROM ({_POISONED_SQL}) p JOIN ({_FLAGS_SQL}) f USING (row_id)"
 
+# M12 on the documents table: non-blank rows, scan TF-IDF, unsupervised
+# contamination min(.05, max(1/n, .001)) (M4).
+_NONBLANK_SQL = strip_sql("coalesce(CAST(text AS VARCHAR), '')") + " <> ''"
+_SCAN_SRC = f"SELECT doc_id, text FROM documents WHERE {_NONBLANK_SQL}"
+_SCAN_FLAGS_SQL = flags_sql(
+    scores_sql(_SCAN_SRC, T.SCAN, key="doc_id"),
+    f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_SCAN_SRC})", key="doc_id")
+
 ORACLE: dict[str, str] = {
     "iforest_scores": f"SELECT row_id, round(score, 6) AS score FROM ({_SCORES_SQL})",
     "iforest_flags": f"SELECT row_id, round(anomaly_score, 6) AS anomaly_score, detector_flag FROM ({_FLAGS_SQL})",
@@ -133,4 +141,19 @@ ORACLE: dict[str, str] = {
                      count(*) FILTER (WHERE is_poisoned = 1 AND detector_flag = 0) AS fn,
                      count(*) FILTER (WHERE is_poisoned = 0 AND detector_flag = 0) AS tn
               FROM ({_JOINED_SQL}))""",
+    "dataset_scan": f"""
+        SELECT doc_id, round(anomaly_score, 6) AS anomaly_score, detector_flag = 1 AS potentially_suspicious
+        FROM ({_SCAN_FLAGS_SQL})""",
+    "scan_metrics": f"""
+        SELECT total, flagged, round(coalesce(flagged / nullif(total, 0), 0.0), 6) AS flag_rate,
+               false AS both_classes, CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall,
+               CAST(NULL AS DOUBLE) AS f1, 'text' AS text_column, CAST(NULL AS VARCHAR) AS truth_source
+        FROM (SELECT count(*) AS total, count(*) FILTER (WHERE detector_flag = 1) AS flagged
+              FROM ({_SCAN_FLAGS_SQL}))""",
+    "scan_flagged_display": f"""
+        SELECT f.doc_id AS source_row,
+               CASE WHEN length(d.text) > 180 THEN substr(d.text, 1, 177) || '...' ELSE d.text END AS text,
+               round(f.anomaly_score, 4) AS anomaly_score
+        FROM ({_SCAN_FLAGS_SQL}) f JOIN documents d USING (doc_id)
+        WHERE f.detector_flag = 1 ORDER BY f.anomaly_score DESC, f.doc_id LIMIT 100""",
 }
