@@ -119,6 +119,15 @@ _SCAN_FLAGS_SQL = flags_sql(
     scores_sql(_SCAN_SRC, T.SCAN, key="doc_id"),
     f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_SCAN_SRC})", key="doc_id")
 
+# Spark numbers the conversations rows in file order itself; the driver
+# file is stored in (conv_id, turn) order with unique keys (checked at every
+# scale), which SQL can state.
+_CONV_SRC = (f"SELECT source_row, role, text FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 "
+             f"AS source_row, role, text FROM conversations) WHERE {_NONBLANK_SQL}")
+_CONV_FLAGS_SQL = flags_sql(
+    scores_sql(_CONV_SRC, T.SCAN, key="source_row"),
+    f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_CONV_SRC})", key="source_row")
+
 ORACLE: dict[str, str] = {
     "iforest_scores": f"SELECT row_id, round(score, 6) AS score FROM ({_SCORES_SQL})",
     "iforest_flags": f"SELECT row_id, round(anomaly_score, 6) AS anomaly_score, detector_flag FROM ({_FLAGS_SQL})",
@@ -156,4 +165,8 @@ ORACLE: dict[str, str] = {
                round(f.anomaly_score, 4) AS anomaly_score
         FROM ({_SCAN_FLAGS_SQL}) f JOIN documents d USING (doc_id)
         WHERE f.detector_flag = 1 ORDER BY f.anomaly_score DESC, f.doc_id LIMIT 100""",
+    "conversation_scan": f"""
+        SELECT f.source_row, c.role, round(f.anomaly_score, 6) AS anomaly_score,
+               f.detector_flag = 1 AS potentially_suspicious
+        FROM ({_CONV_FLAGS_SQL}) f JOIN ({_CONV_SRC}) c USING (source_row)""",
 }
