@@ -179,7 +179,8 @@ def fit_nodes(vecs: DataFrame, key: str, n_features: int, n: int | None = None,
     psi = min(psi, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     chosen = sample_trees(vecs, key, n, trees, psi, seed)
-    rows = rounded_inputs(vecs).join(F.broadcast(chosen), key).select("tree", key, "indices", "values")
+    # round after the join: only the <= trees * psi sampled rows need it
+    rows = rounded_inputs(vecs.join(F.broadcast(chosen), key).select("tree", key, "indices", "values"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
