@@ -39,7 +39,9 @@ from labelsift.operators.quantile import top_k
 from labelsift.session import materialize
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-BROADCAST_MAX_TERMS = 2_000_000
+# (term, idx, idf) rows cost ~64 bytes each in a broadcast hash relation:
+# 1M terms is ~64 MB on the driver and on every executor.
+BROADCAST_MAX_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
