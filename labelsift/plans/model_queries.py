@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelsift.operators import poison as X
 from labelsift.operators.scan import scan
 from labelsift.plans import detect as D
 from labelsift.plans import experiment as E
@@ -40,6 +41,13 @@ def q_detection_metrics(spark, sf):
     return r6(D.detection_record(p, det))
 
 
+def q_mitigate_by_detector(spark, sf):
+    """P9 with the detector's flags instead of the known flips: the rows a
+    deployed screen would keep (the reference's mitigation is an upper bound)."""
+    p, det = _detected(spark, sf)
+    return r6(X.mitigate(D.detection_output(p, det), "detector_flag"))
+
+
 def q_logreg_impact(spark, sf):
     return E.impact(spark, sf)
 
@@ -90,6 +98,7 @@ QUERIES = {
     "iforest_flags": q_iforest_flags,
     "detection_output": q_detection_output,
     "detection_metrics": q_detection_metrics,
+    "mitigate_by_detector": q_mitigate_by_detector,
     "logreg_impact": q_logreg_impact,
     "logreg_conditions": q_logreg_conditions,
     "logreg_recovery": q_logreg_recovery,
@@ -150,6 +159,9 @@ ORACLE: dict[str, str] = {
                      count(*) FILTER (WHERE is_poisoned = 1 AND detector_flag = 0) AS fn,
                      count(*) FILTER (WHERE is_poisoned = 0 AND detector_flag = 0) AS tn
               FROM ({_JOINED_SQL}))""",
+    "mitigate_by_detector": f"""
+        SELECT row_id, text, label, original_label, is_poisoned, detector_flag,
+               round(anomaly_score, 6) AS anomaly_score FROM ({_JOINED_SQL}) WHERE detector_flag = 0""",
     "dataset_scan": f"""
         SELECT doc_id, round(anomaly_score, 6) AS anomaly_score, detector_flag = 1 AS potentially_suspicious
         FROM ({_SCAN_FLAGS_SQL})""",
