@@ -130,10 +130,15 @@ def sample_trees(vecs: DataFrame, key: str, n: int, trees: int = 200, psi: int =
 def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: int) -> pd.DataFrame:
     tree = int(rows["tree"].iloc[0])
     m = len(rows)
-    X = np.zeros((m, max(n_features, 1)), dtype=np.float64)
+    # dense only over the features present in the sample (sorted, so candidate
+    # order is the feature order): an absent feature is constant 0 and can
+    # never be split on, so the block is psi x (sample terms), not x vocabulary
+    parts = [np.asarray(ind, dtype=np.int64) for ind in rows["indices"] if ind is not None and len(ind)]
+    present = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+    X = np.zeros((m, max(present.size, 1)), dtype=np.float64)
     for i, (ind, val) in enumerate(zip(rows["indices"], rows["values"])):
         if ind is not None and len(ind):
-            X[i, np.asarray(ind, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
+            X[i, np.searchsorted(present, np.asarray(ind, dtype=np.int64))] = np.asarray(val, dtype=np.float64)
     width = 2 ** (max_depth + 1) - 1
     feat = np.full(width, -1, dtype=np.int32)
     thr = np.full(width, np.nan)
@@ -157,7 +162,7 @@ def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: i
         t = lo[f] + node_uniform(seed, tree, node, "t") * (hi[f] - lo[f])
         if not (lo[f] < t < hi[f]):
             t = (lo[f] + hi[f]) / 2.0
-        feat[node], thr[node] = f, t
+        feat[node], thr[node] = present[f], t
         go_left = sub[:, f] < t
         stack.append((idx[~go_left], depth + 1, 2 * node + 2))
         stack.append((idx[go_left], depth + 1, 2 * node + 1))
