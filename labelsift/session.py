@@ -18,10 +18,12 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
-# Launch-time settings for local runs (tests, bench): no web UI.
+# Launch-time settings for local runs (tests, bench): no web UI; checkpoint
+# files are removed once the frames that read them are garbage-collected.
 _LOCAL = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
