@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -50,9 +51,35 @@ def get_spark(master: str | None = None, app: str = "labelsift",
             spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelsift`` importable in the Python workers.
+
+    Pandas UDFs (forest growth and scoring) are pickled by reference to this
+    package, so executors need it on their path. Once per SparkContext the
+    package's sources are zipped on the driver and added with ``addPyFile``
+    (what ``--py-files`` does at submit time); Spark ships the zip to every
+    executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_labelsift_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(root)
+    path = os.path.join(tempfile.mkdtemp(prefix="labelsift-pkg-"), "labelsift.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    sc._labelsift_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster.
 
