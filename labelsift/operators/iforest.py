@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelsift.functions.columns import hash60
+from labelsift.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 POOL_FACTOR = 4
@@ -183,6 +184,7 @@ def fit_nodes(vecs: DataFrame, key: str, n_features: int, n: int | None = None,
         raise ValueError("cannot fit an isolation forest on an empty table")
     psi = min(psi, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    ship_package(vecs.sparkSession)  # the tree builder runs in Python workers
     chosen = sample_trees(vecs, key, n, trees, psi, seed)
     # round after the join: only the <= trees * psi sampled rows need it
     rows = rounded_inputs(vecs.join(F.broadcast(chosen), key).select("tree", key, "indices", "values"))
@@ -272,6 +274,7 @@ def score(vecs: DataFrame, key: str, forest: Forest, n_features: int,
           out: str = "score") -> DataFrame:
     """M2: ``(key, score)`` with ``score`` in (0, 1), higher = more isolated."""
     sc = vecs.sparkSession.sparkContext
+    ship_package(vecs.sparkSession)  # the scorer runs in Python workers
     if forest.lookup is None:
         forest = forest.compact(n_features)
     bc = sc.broadcast(forest)
