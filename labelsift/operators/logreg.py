@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from labelsift.functions.vectors import sparse_vector
 from labelsift.functions.columns import safe_div
 from labelsift.operators import metrics as M
-from labelsift.session import run_concurrently
+from labelsift.session import run_concurrently, ship_package
 
 
 def model_frame(vecs: DataFrame, labels: DataFrame, key: str, size: int,
@@ -29,6 +29,7 @@ def model_frame(vecs: DataFrame, labels: DataFrame, key: str, size: int,
     ``label`` may map output names to label columns, so models trained on
     the same vectors with different labels (clean vs flipped) share one frame.
     """
+    ship_package(vecs.sparkSession)  # the vector helper is a Python UDF
     names = {"label": label} if isinstance(label, str) else label
     lab = labels.select(key, *[F.col(src).cast("double").alias(dst) for dst, src in names.items()])
     return vecs.join(lab, key).select(key, *names.keys(), sparse_vector(size).alias("features"))
