@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from labelsift.llm import simhash, urlfilter
+from labelsift.llm import ctph, simhash, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_ctph": ctph.op1_ctph,
         "op3_url_cascade": urlfilter.op3_url_cascade,
         "op7_simhash": simhash.op7_simhash,
     }
