@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from labelsift.llm import ctph, simhash, urlfilter
+from labelsift.llm import ctph, simhash, substrings, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_ctph": ctph.op1_ctph,
         "op3_url_cascade": urlfilter.op3_url_cascade,
+        "op4_bucket_refinement": substrings.op4_bucket_refinement,
         "op7_simhash": simhash.op7_simhash,
     }
 
