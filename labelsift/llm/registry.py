@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from labelsift.llm import ctph, simhash, substrings, urlfilter
+from labelsift.llm import ctph, langid, simhash, substrings, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_ctph": ctph.op1_ctph,
+        "op2_string_kernel": langid.op2_string_kernel,
         "op3_url_cascade": urlfilter.op3_url_cascade,
         "op4_bucket_refinement": substrings.op4_bucket_refinement,
         "op7_simhash": simhash.op7_simhash,
