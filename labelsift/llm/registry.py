@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import ctph, fertility, langid, simhash, substrings, urlfilter
+from labelsift.llm import ctph, fertility, langid, secretscan, simhash, substrings, urlfilter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bucket_refinement": substrings.op4_bucket_refinement,
         "op6_fertility": fertility.op6_fertility,
         "op7_simhash": simhash.op7_simhash,
+        "op8_secret_worklist": secretscan.op8_secret_worklist,
     }
 
 
