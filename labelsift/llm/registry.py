@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import ctph, fertility, langid, secretscan, simhash, substrings, urlfilter
+from labelsift.llm import bpe, ctph, fertility, langid, secretscan, simhash, substrings, urlfilter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_string_kernel": langid.op2_string_kernel,
         "op3_url_cascade": urlfilter.op3_url_cascade,
         "op4_bucket_refinement": substrings.op4_bucket_refinement,
+        "op5_transducer_bpe": bpe.op5_transducer_bpe,
         "op6_fertility": fertility.op6_fertility,
         "op7_simhash": simhash.op7_simhash,
         "op8_secret_worklist": secretscan.op8_secret_worklist,
