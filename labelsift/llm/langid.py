@@ -120,19 +120,21 @@ def _sample_grams(batches):
                                    pa.array(grams, pa.binary())], names=["lang", "k", "grams"])
 
 
-def labelled_sample(rows: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows ``(lang, k, text)`` a language, the least by a
-    hash of the row; k counts from 1. Rows far above the cut are dropped before
-    the ranking, so the ranking holds a bounded number of rows."""
+def labelled_sample(rows: DataFrame, per_lang: int, keep: list[str] | None = None) -> DataFrame:
+    """At most ``per_lang`` rows ``(lang, k, text)`` (and the columns ``keep``)
+    a language, the least by a hash of the row; k counts from 1. Rows far above
+    the cut are dropped before the ranking, so the ranking holds a bounded
+    number of rows."""
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return rows.select("lang", F.lit(1).alias("k"), "text").limit(0)
+        return rows.select("lang", F.lit(1).alias("k"), "text", *(keep or [])).limit(0)
     share = F.create_map(*[x for k, n in counts.items() for x in (
         F.lit(k), F.lit(min(1.0, (2.0 * per_lang + 100) / n)))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     few = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")))
     k = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    return few.withColumn("k", k).filter(F.col("k") <= per_lang).select("lang", "k", "text")
+    return few.withColumn("k", k).filter(F.col("k") <= per_lang) \
+        .select("lang", "k", "text", *(keep or []))
 
 
 def fit(rows: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import bpe, ctph, fertility, langid, secretscan, simhash, substrings, urlfilter
+from labelsift.llm import bpe, ctph, fertility, langid, mixing, secretscan, simhash, substrings, unigram, urlfilter
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_fertility": fertility.op6_fertility,
         "op7_simhash": simhash.op7_simhash,
         "op8_secret_worklist": secretscan.op8_secret_worklist,
+        "op9_trie_unigram": unigram.op9_trie_unigram,
+        "op10_soft_mixing": mixing.op10_soft_mixing,
     }
 
 
