@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsift.session import ensure_checkpoint_dir, ship_package
@@ -41,3 +41,18 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     column is left behind, so clashing names cannot reach an operator."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """Non-null join key ``(key_id, key_hash)`` of a row by id and text hash."""
+    return [F.coalesce(doc_id, F.lit(-1)).alias("key_id"),
+            F.xxhash64(text_hash, doc_id.isNull()).alias("key_hash")]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``(row STRUCT of all columns, key_id, key_hash)``: a join on the key adds
+    names beside ``row`` only, so none can clash; ``select("row.*")`` unpacks."""
+    key = row_key(F.col("row.doc_id").cast("bigint"),
+                  F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) \
+        .select("row", *key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import prepare, table, written
+from labelsift.llm.common import packed, prepare, row_key, table, written
 
 FENCE = 5.0
 MIN_GROUP = 30
@@ -235,13 +235,9 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
 def keep_good(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns. Texts are
     shuffled once, against the ids and text hashes of the kept rows."""
-    kept = judge(docs, vocabularies).filter("kept").select(
-        F.coalesce("doc_id", F.lit(-1)).alias("_q_i"),
-        F.xxhash64("text_hash", F.col("doc_id").isNull()).alias("_q_h")).distinct()
-    i, t = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumns({"_q_i": F.coalesce(i, F.lit(-1)), "_q_h": F.xxhash64(t, i.isNull())})
-    return keyed.join(kept, ["_q_i", "_q_h"], "left_semi").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    kept = judge(docs, vocabularies).filter("kept") \
+        .select(*row_key(F.col("doc_id"), F.col("text_hash"))).distinct()
+    return packed(docs).join(kept, ["key_id", "key_hash"], "left_semi").select("row.*")
 
 
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

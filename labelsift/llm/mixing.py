@@ -10,14 +10,16 @@ over the rows whose rate is not at its bound (projected gradients in the metric
 of the active rows: a step of 1 fits any scale), and measured per token, so a
 document's rate depends on its domains and not on its length.
 
-The classifier (multinomial logistic regression on hashed words) is fitted on a
-bounded sample of labelled rows, ``PER_DOMAIN`` a domain (a documented
-parameter); its prior is set back to that of all labelled rows. Posteriors,
-token totals and rates cover all documents.
+The classifier (multinomial logistic regression on the presence of hashed words
+that depend on a domain) is fitted on a bounded sample of labelled rows,
+``PER_DOMAIN`` a domain (a documented parameter); its prior is set back to that
+of all labelled rows. Posteriors, token totals and rates cover all documents.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import prepare, table, written
+from labelsift.llm.common import packed, prepare, row_key, table, written
 from labelsift.llm.langid import labelled_sample
 
 PER_DOMAIN = 1200
-FEATURES = 1 << 15
+FEATURES = 1 << 18
+MAX_FEATURES = 2000
+MIN_CHI2 = 12.0
 # The query's domains, their target share of all tokens, and the domains that
 # may fall below what the corpus has of them.
 TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
@@ -47,74 +51,91 @@ def domain_label(quality: Column, toxic: Column) -> Column:
 
 
 class _Features:
-    """Hashed word counts of texts; a word gives its lower-cased core and the
-    marks around it."""
+    """Hashed features that a text has or has not: each distinct word's
+    lower-cased core, the marks around words, and classes of the text's length,
+    word variety, adjacent repeats and capitals."""
 
     def __init__(self):
         self.memo: dict[bytes, tuple] = {}
 
     def _word(self, w: bytes) -> tuple:
         core = w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        mark = b"\0" + (w.replace(core, b"", 1) if core else w)[:8]
-        out = [crc32(core.lower()) % FEATURES] if core else []
-        return (*out, crc32(mark) % FEATURES) if len(mark) > 1 else tuple(out)
+        marks = w.replace(core, b"", 1)[:8] if core else w[:8]
+        out = (crc32(core.lower()) % FEATURES,) if core else ()
+        return (*out, crc32(b"\0" + marks) % FEATURES) if marks else out
 
-    def of(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """Word count, distinct features and their weights (1 + log count)."""
+    def of(self, text: str) -> tuple[int, np.ndarray]:
+        """Word count and distinct features."""
         words = text.encode().split()
         if len(self.memo) > _MEMO_WORDS:
             self.memo.clear()
-        memo = self.memo
-        ids: list[int] = []
-        for w in words:
+        memo, n, kinds, ids = self.memo, len(words), set(words), set()
+        for w in kinds:
             f = memo.get(w)
             if f is None:
                 f = memo[w] = self._word(w)
-            ids += f
-        n = np.bincount(np.array(ids, dtype=np.int64), minlength=0)
-        at = np.flatnonzero(n)
-        return len(words), at, 1.0 + np.log(n[at])
+            ids.update(f)
+        same = sum(map(eq, words, islice(words, 1, None)))
+        upper = sum(map(bytes.isupper, words))
+        for name, x in ((b"len", n.bit_length()), (b"kinds", 10 * len(kinds) // max(n, 1)),
+                        (b"same", 10 * same // max(n, 1)), (b"upper", 10 * upper // max(n, 1))):
+            ids.add(crc32(b"\1%s:%d" % (name, x)) % FEATURES)
+        return n, np.fromiter(ids, dtype=np.int64, count=len(ids))
 
 
 class DomainModel:
-    """Multinomial logistic regression on length-normalised, idf-weighted
-    features."""
-
-    def __init__(self, domains: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.domains, self.idf, self.weights, self.bias = domains, idf, weights, bias
-
-    def rows(self, feats: list[tuple[np.ndarray, np.ndarray]]):
-        """Concatenated (indices, values, row starts) of scaled features; every
-        row ends with one zero entry, so that none is empty."""
-        idx, val, start, at = [], [], [], 0
-        for i, v in feats:
-            x = v * self.idf[i]
-            norm = np.sqrt((x * x).sum()) or 1.0
-            idx += [i, [0]]
-            val += [x / norm, [0.0]]
-            start.append(at)
-            at += len(i) + 1
-        return (np.concatenate(idx).astype(np.int64), np.concatenate(val), np.array(start))
-
-    def posteriors(self, feats) -> np.ndarray:
-        idx, val, start = self.rows(feats)
-        z = np.add.reduceat(val[:, None] * self.weights[idx], start, axis=0) + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+    """Multinomial logistic regression on the selected features; the last row
+    of ``weights`` is the intercept. ``column[f]`` is a feature's row, -1 if it
+    was not selected."""
+
+    def __init__(self, domains: list[str], column: np.ndarray, weights: np.ndarray):
+        self.domains, self.column, self.weights = domains, column, weights
+
+    def posteriors(self, feats: list[np.ndarray]) -> np.ndarray:
+        z = np.tile(self.weights[-1], (len(feats), 1))
+        for i, f in enumerate(feats):
+            c = self.column[f]
+            z[i] += self.weights[c[c >= 0]].sum(0)
+        return _softmax(z)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
 
 def _sample_features(batches):
     for b in batches:
         f = _Features()
-        rows = [f.of(t) for t in b.column("text").to_pylist()]
-        yield pa.record_batch(
-            [b.column("lang"), pa.array([i.astype("<i4").tobytes() for _, i, _ in rows], pa.binary()),
-             pa.array([v.astype("<f4").tobytes() for _, _, v in rows], pa.binary())],
-            names=["lang", "idx", "val"])
+        rows = [np.sort(f.of(t)[1]) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("lang"),
+                               pa.array([i.astype("<i4").tobytes() for i in rows], pa.binary())],
+                              names=["lang", "idx"])
+
+
+def select_features(feats: list[np.ndarray], y: np.ndarray, most: int = MAX_FEATURES,
+                    least: float = MIN_CHI2) -> np.ndarray:
+    """Features in five rows or more whose presence depends on a domain:
+    continuity-corrected chi-square of at least ``least``, the greatest
+    ``most`` of them."""
+    n = len(feats)
+    idx = np.concatenate(feats) if feats else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(n), [len(f) for f in feats])
+    df = np.bincount(idx, minlength=FEATURES).astype(np.float64)
+    best = np.zeros(FEATURES)
+    for c in range(y.shape[1]):
+        has = np.bincount(idx, weights=y[owner, c], minlength=FEATURES)
+        size = y[:, c].sum()
+        gap = np.abs(has * (n - size - (df - has)) - (df - has) * (size - has)) - n / 2
+        below = df * (n - df) * size * (n - size)
+        best = np.maximum(best, np.where(below > 0, n * gap.clip(0) ** 2 / np.maximum(below, 1), 0))
+    best[df < 5] = 0
+    keep = np.flatnonzero(best >= least)
+    return np.sort(keep[np.argsort(-best[keep], kind="stable")[:most]])
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN,
-                steps: int = 150, ridge: float = 1e-4) -> DomainModel:
+                steps: int = 300, ridge: float = 1e-4) -> DomainModel:
     """Fit on ``labels(doc_id, domain)``; repeated labels of a document count
     as one (the least), labels without a document or a domain are ignored."""
     lab = written(labels.filter("doc_id is not null and domain is not null")
@@ -126,38 +147,32 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")) \
         .join(F.broadcast(few.select("doc_id", "lang")), "doc_id") \
         .groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = texts.select("lang", "text").mapInArrow(_sample_features, "lang string, idx binary, val binary") \
-        .collect()
+    got = texts.select("lang", "text").mapInArrow(_sample_features, "lang string, idx binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["idx"]))
     domains = sorted({r["lang"] for r in got})
-    none = DomainModel(domains, np.ones(FEATURES), np.zeros((FEATURES, len(domains))),
-                       np.zeros(len(domains)))
+    column = np.full(FEATURES, -1, dtype=np.int64)
     if len(domains) < 2:
-        return none
-    got.sort(key=lambda r: (r["lang"], r["idx"]))
-    feats = [(np.frombuffer(r["idx"], "<i4").astype(np.int64),
-              np.frombuffer(r["val"], "<f4").astype(np.float64)) for r in got]
-    df = np.bincount(np.concatenate([i for i, _ in feats]), minlength=FEATURES)
-    none.idf = np.log((1.0 + len(feats)) / (1.0 + df)) + 1.0
-    idx, val, start = none.rows(feats)
-    val *= 10.0                                   # unit rows are small next to the ridge
-    owner = np.repeat(np.arange(len(feats)), np.diff(np.append(start, len(idx))))
+        return DomainModel(domains, column, np.zeros((1, len(domains))))
+    feats = [np.frombuffer(r["idx"], "<i4").astype(np.int64) for r in got]
     y = np.array([[r["lang"] == d for d in domains] for r in got], dtype=np.float64)
-    w, b = np.zeros((FEATURES, len(domains))), np.log(y.mean(0))
-    mw, vw = np.zeros_like(w), np.zeros_like(w)
+    chosen = select_features(feats, y)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(feats), len(chosen) + 1))
+    x[:, -1] = 1.0
+    for i, f in enumerate(feats):
+        c = column[f]
+        x[i, c[c >= 0]] = 1.0
+    w = np.zeros((len(chosen) + 1, len(domains)))
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):                 # Adam on the whole sample
-        z = np.add.reduceat(val[:, None] * w[idx], start, axis=0) + b
-        z = np.exp(z - z.max(1, keepdims=True))
-        e = (z / z.sum(1, keepdims=True) - y) / len(y)
-        g = np.stack([np.bincount(idx, weights=val * e[owner, c], minlength=FEATURES)
-                      for c in range(len(domains))], axis=1) + ridge * w
-        mw = 0.9 * mw + 0.1 * g
-        vw = 0.999 * vw + 0.001 * g * g
-        w -= 0.05 * (mw / (1 - 0.9 ** k)) / (np.sqrt(vw / (1 - 0.999 ** k)) + 1e-8)
-        b -= 0.5 * e.sum(0)
+        g = x.T @ (_softmax(x @ w) - y) / len(y) + ridge * w
+        m = 0.9 * m + 0.1 * g
+        v = 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
     counts = {r["lang"]: r["count"] for r in lab.groupBy("lang").count().collect()}
     true = np.array([counts[d] for d in domains], dtype=np.float64)
-    bias = b + np.log(true / true.sum()) - np.log(y.mean(0))
-    return DomainModel(domains, none.idf, 10.0 * w, bias)
+    w[-1] += np.log(true / true.sum()) - np.log(y.mean(0))
+    return DomainModel(domains, column, w)
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -167,12 +182,14 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     def run(batches):
         f, m = _Features(), shared.value
         for b in batches:
-            rows = [f.of(t) for t in b.column("text").to_pylist()]
-            ps = []
-            for at in range(0, len(rows), 256):
-                ps += m.posteriors([(i, v) for _, i, v in rows[at:at + 256]]).tolist()
+            count, ps = [], []
+            texts = b.column("text").to_pylist()
+            for at in range(0, len(texts), 256):
+                rows = [f.of(t) for t in texts[at:at + 256]]
+                count += [n for n, _ in rows]
+                ps += m.posteriors([x for _, x in rows]).tolist()
             yield pa.record_batch(
-                [b.column("doc_id"), b.column("text_hash"), pa.array([n for n, _, _ in rows], pa.int64()),
+                [b.column("doc_id"), b.column("text_hash"), pa.array(count, pa.int64()),
                  pa.array(ps, pa.list_(pa.float64()))], names=["doc_id", "text_hash", "tokens", "p"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -269,19 +286,13 @@ def repeat_by_rate(docs: DataFrame, labels: DataFrame, shares: dict[str, float]
     likeliest domain is not a reduced one stays at least once. Texts move once;
     rows that repeat id and text have one rate."""
     rated = mix(docs, labels, shares, reduced)
-    times = rated.withColumn(
-        "draw", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)) \
-        .select(F.coalesce("doc_id", F.lit(-1)).alias("_m_i"),
-                F.xxhash64("text_hash", F.col("doc_id").isNull()).alias("_m_h"),
-                F.greatest(F.floor(F.col("rate") + F.col("draw")),
-                           F.when(F.col("domain").isin(list(reduced)), 0).otherwise(1))
-                .cast("int").alias("_m_n")) \
-        .groupBy("_m_i", "_m_h").agg(F.max("_m_n").alias("_m_n")).filter("_m_n > 0")
-    i, t = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumns({"_m_i": F.coalesce(i, F.lit(-1)), "_m_h": F.xxhash64(t, i.isNull())})
-    return keyed.join(times, ["_m_i", "_m_h"]) \
-        .withColumn("_m_k", F.explode(F.sequence(F.lit(1), F.col("_m_n")))) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
+    least = F.when(F.col("domain").isin(list(reduced)), 0).otherwise(1)
+    times = rated.select(*row_key(F.col("doc_id"), F.col("text_hash")),
+                         F.greatest(F.floor(F.col("rate") + draw), least).cast("int").alias("times")) \
+        .groupBy("key_id", "key_hash").agg(F.max("times").alias("times")).filter("times > 0")
+    return packed(docs).join(times, ["key_id", "key_hash"]) \
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def quality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:

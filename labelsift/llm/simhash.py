@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import keyed_text, prepare, shuffle_width, table, written
+from labelsift.llm.common import (
+    keyed_text, packed, prepare, row_key, shuffle_width, table, written)
 from labelsift.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -246,12 +247,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def _row_key(doc_id, text_hash) -> list:
-    """Non-null join key of a row by id and text hash."""
-    return [F.coalesce(doc_id, F.lit(-1)).alias("_sd_i"),
-            F.xxhash64(text_hash, doc_id.isNull()).alias("_sd_h")]
-
-
 def keep_one_per_component(docs: DataFrame, words: int = SHINGLE_WORDS,
                            max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row per component: the one with the least doc_id
@@ -262,12 +257,10 @@ def keep_one_per_component(docs: DataFrame, words: int = SHINGLE_WORDS,
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"),
                      F.col("text_hash").alias("h"))
     best = near.groupBy("root").agg(F.min(order).alias("w")) \
-        .select(*_row_key(F.col("w.i"), F.col("w.h")))
-    i, h = _row_key(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    keyed = docs.withColumns({"_sd_i": i, "_sd_h": h})
-    same = Window.partitionBy("_sd_i", "_sd_h").orderBy("_sd_i")
-    return keyed.join(best, ["_sd_i", "_sd_h"]).withColumn("_sd_n", F.row_number().over(same)) \
-        .filter("_sd_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*row_key(F.col("w.i"), F.col("w.h")))
+    same = Window.partitionBy("key_id", "key_hash").orderBy("key_id")
+    return packed(docs).join(best, ["key_id", "key_hash"]) \
+        .withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
