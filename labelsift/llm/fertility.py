@@ -26,6 +26,7 @@ from labelsift.llm.common import packed, prepare, row_key, table, written
 
 FENCE = 5.0
 MIN_GROUP = 30
+BROADCAST_BANDS = 100_000   # more groups than these are joined by shuffle
 # Fixed bands (least, greatest) for groups without quartiles.
 FIXED = {"piece_chars": (0.5, 12.0), "byte_chars": (0.25, 16.0), "fallback": (0.0, 0.5),
          "entropy": (1.0, 20.0)}
@@ -180,7 +181,8 @@ def _measure(paths: tuple[str, str]):
                 part = b.slice(at, end - at)
                 yield pa.record_batch(
                     [part.column(c) for c in ("doc_id", "text_hash", "lang")]
-                    + [pa.array(v) for v in m.values()],
+                    + [pa.array(v, pa.string() if k == "script" else pa.float64() if k in FIXED
+                                else pa.int64()) for k, v in m.items()],
                     names=["doc_id", "text_hash", "lang", *m])
                 at = end
     return run
@@ -214,10 +216,12 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
     group = F.coalesce(F.col("lang"), F.col("script")).alias("grp")
     size = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int").alias("cls")
     good = rows.filter(~F.col("base_failed"))
-    bands = good.groupBy(group, size).agg(
+    bands = written(good.groupBy(group, size).agg(
         F.count("*").alias("n"),
         *[F.percentile_approx(m, [0.25, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]) \
-        .withColumnsRenamed({"grp": "b_grp", "cls": "b_cls"})
+        .withColumnsRenamed({"grp": "b_grp", "cls": "b_cls"}), "bands")
+    if bands.count() <= BROADCAST_BANDS:
+        bands = F.broadcast(bands)
     joined = rows.join(bands, (F.coalesce("lang", "script") == F.col("b_grp")) & (size == F.col("b_cls")),
                        "left")
     inside = F.lit(True)
