@@ -1,21 +1,34 @@
 """Sparse feature vectors for Spark ML.
 
-Spark SQL has no expression that builds an ML ``SparseVector``; this small
-per-row helper turns the ``(indices, values)`` arrays produced by the TF-IDF
-operators into one. It runs once per document (not per term), only feeds the
-model fit, and moves rows between the JVM and Python as Arrow batches.
+Spark SQL has no expression that builds an ML ``SparseVector``; ``with_vectors``
+builds the vector column's storage (type, size, indices, values) from the
+arrays of the TF-IDF operators in whole Arrow batches -- no Python object per
+row.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
-def sparse_vector(size: int, indices: str = "indices", values: str = "values") -> Column:
-    @F.udf(VectorUDT(), useArrow=True)
-    def _build(ind, val):
-        return SparseVector(size, list(ind or []), list(val or []))
+def with_vectors(df: DataFrame, size: int, out: str = "features") -> DataFrame:
+    """``df`` with its ``indices`` and ``values`` arrays replaced by one vector
+    column of ``size``; null arrays are empty vectors."""
+    cols = [c for c in df.columns if c not in ("indices", "values")]
 
-    return _build(F.col(indices), F.col(values))
+    def run(batches):
+        for b in batches:
+            m = b.num_rows
+            ind, val = (b.column(c).fill_null([]) if b.column(c).null_count else b.column(c)
+                        for c in ("indices", "values"))
+            vec = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, size, np.int32)), ind, val],
+                names=["type", "size", "indices", "values"])
+            yield pa.record_batch([b.column(c) for c in cols] + [vec], names=[*cols, out])
+
+    schema = T.StructType([df.schema[c] for c in cols]).add(out, VectorUDT())
+    return df.select(*cols, "indices", "values").mapInArrow(run, schema)

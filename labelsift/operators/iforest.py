@@ -2,19 +2,20 @@
 
 Fit (M1), tree-parallel:
 
-1. a *pool* of candidate keys is drawn with one hash test per row, sized
-   ``~POOL_FACTOR * trees * psi`` (every row when the table is small);
-2. each pool key is offered to every tree with a per-(tree, key) hash; a tree
-   keeps the ``psi`` smallest draws (``row_number`` inside ``partition by
-   tree``) -- a uniform sample without replacement per tree;
-3. the selected ``(tree, key)`` list (at most ``trees * psi`` rows, a proven
-   bound) is broadcast into the vector table, and ``groupBy(tree)
-   .applyInPandas`` grows each tree in numpy on its ``psi`` rows.
+1. every row draws one hash per tree (two draws per md5 digest); a tree keeps
+   the ``psi`` smallest draws -- a uniform sample without replacement per tree,
+   by one rule at every table size. Only draws under a threshold that leaves
+   about three times the sample are ranked (``row_number`` inside ``partition
+   by tree``); if a tree comes out short the threshold is raised;
+2. the selected ``(tree, key)`` list (at most ``trees * psi`` rows, a proven
+   bound) is checkpointed and broadcast into the vector table, and
+   ``groupBy(tree).applyInPandas`` grows each tree in numpy on its rows.
 
 Split rule: feature uniform over the features not constant in the node,
 threshold uniform in (min, max); depth limit ``ceil(log2 psi)``; a leaf of
 ``m`` rows adds ``c(m)``. Every random draw is a hash: the sample uses
-``md5('tree:<seed>:<tree>:<key>')``, a node's feature and threshold use
+``md5('tree:<seed>:<tree / 2>:<key>')`` (first or second 15 hex digits by the
+tree's parity), a node's feature and threshold use
 ``md5('node:<seed>:<tree>:<node>:f|t')`` with level-order node ids (children
 of ``i`` are ``2i+1``, ``2i+2``). Inputs are rounded to 9 decimals, so a
 split never hinges on the last bits of a weight (summation order). The forest
@@ -22,7 +23,7 @@ is therefore independent of partitioning and engine: the oracle grows the
 same trees in SQL.
 
 Score (M2): the forest (<= trees * (2**(depth+1) - 1) nodes) is broadcast
-and ``mapInPandas`` walks all trees level by level for a whole Arrow batch;
+and ``mapInArrow`` walks all trees level by level for a whole Arrow batch;
 ``score = 2 ** (-E[h] / c(psi))``. Flags and the shifted anomaly score come
 from the exact contamination percentile (operators.metrics).
 """
@@ -35,14 +36,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelsift.functions.columns import hash60
-from labelsift.session import ship_package
+from labelsift.session import materialize, ship_package
 
 EULER_GAMMA = 0.5772156649015329
-POOL_FACTOR = 4
 TREE_OVERSAMPLE = 3
 TWO60 = float(1 << 60)
 INPUT_DECIMALS = 9
@@ -92,11 +93,6 @@ NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, "
                "right int, leaf_value double")
 
 
-def _tree_hash(seed, tree_col, key) -> F.Column:
-    """60-bit draw per (seed, tree, key): ``hash60('tree:<seed>:<tree>', key)``."""
-    return hash60(F.concat(F.lit(f"tree:{seed}:"), tree_col.cast("string")), key)
-
-
 def node_uniform(seed: int, tree: int, node: int, what: str) -> float:
     """Uniform [0, 1) draw of a node: ``md5('node:<seed>:<tree>:<node>:<what>')``
     (first 15 hex digits) / 2**60 -- the same value as the oracle's SQL."""
@@ -109,23 +105,38 @@ def rounded_inputs(vecs: DataFrame) -> DataFrame:
     return vecs.withColumn("values", F.transform("values", lambda v: F.round(v, INPUT_DECIMALS)))
 
 
+def tree_offers(keys: DataFrame, key: str, trees: int, seed: int, below: int | None = None) -> DataFrame:
+    """``(key, tree, _h)``: the 60-bit draw of every key for every tree, those
+    under ``below`` only. One md5 digest holds the draws of two trees."""
+    pairs = F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // 2))).alias("_pair")
+    digest = F.md5(F.concat(F.lit(f"tree:{seed}:"), F.col("_pair").cast("string"), F.lit(":"),
+                            F.col(key).cast("string")))
+    d = keys.select(key, pairs).withColumn("_d", digest)
+
+    def draw(first: int):
+        return F.conv(F.substring("_d", first, 15), 16, 10).cast("bigint")
+
+    both = d.select(key, F.explode(F.array(
+        F.struct((2 * F.col("_pair")).alias("tree"), draw(1).alias("_h")),
+        F.struct((2 * F.col("_pair") + 1).alias("tree"), draw(16).alias("_h")))).alias("_o"))
+    out = both.select(key, "_o.tree", "_o._h").where(F.col("tree") < trees)
+    return out if below is None else out.where(F.col("_h") < F.lit(below))
+
+
 def sample_trees(vecs: DataFrame, key: str, n: int, trees: int = 200, psi: int = 256,
                  seed: int = 42) -> DataFrame:
-    """``(tree, key)`` of every tree's sub-sample; at most ``trees * psi`` rows."""
+    """``(tree, key)`` of every tree's sub-sample, checkpointed: exactly
+    ``min(psi, n)`` rows a tree."""
     psi = min(psi, n)
-    pool_target = POOL_FACTOR * trees * psi
-    p_pool = min(1.0, pool_target / max(n, 1))
-    keys = vecs.select(key)
-    if p_pool < 1.0:
-        keys = keys.where(hash60(f"pool:{seed}", key) < F.lit(int(p_pool * (1 << 60))))
-    pool_n = min(n, pool_target)
-    q = min(1.0, TREE_OVERSAMPLE * psi / max(pool_n, 1))
-    offers = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    offers = offers.withColumn("_h", _tree_hash(seed, F.col("tree"), key))
-    if q < 1.0:
-        offers = offers.where(F.col("_h") < F.lit(int(q * TWO60)))
     w = Window.partitionBy("tree").orderBy("_h", key)
-    return offers.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", key)
+    q = TREE_OVERSAMPLE * psi / n
+    while True:
+        offers = tree_offers(vecs.select(key), key, trees, seed, int(q * TWO60) if q < 1.0 else None)
+        chosen = materialize(offers.withColumn("_r", F.row_number().over(w))
+                             .where(F.col("_r") <= psi).select("tree", key))
+        if q >= 1.0 or chosen.count() == trees * psi:
+            return chosen
+        q *= 4.0
 
 
 def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: int) -> pd.DataFrame:
@@ -220,11 +231,10 @@ def collect_forest(nodes: DataFrame, psi: int, max_depth: int) -> Forest:
 
 def path_lengths(forest: Forest, X: np.ndarray) -> np.ndarray:
     """Mean path length per row of dense ``X`` over all trees (vectorised)."""
-    m = X.shape[0]
-    T = forest.n_trees
-    node = np.zeros((m, T), dtype=np.int64)
-    tree_ix = np.broadcast_to(np.arange(T), (m, T))
-    rows = np.broadcast_to(np.arange(m)[:, None], (m, T))
+    m, n = X.shape[0], forest.n_trees
+    node = np.zeros((m, n), dtype=np.int64)
+    tree_ix = np.broadcast_to(np.arange(n), (m, n))
+    rows = np.broadcast_to(np.arange(m)[:, None], (m, n))
     for _ in range(forest.max_depth + 1):
         f = forest.feature[tree_ix, node]
         internal = f >= 0
@@ -240,51 +250,51 @@ def path_lengths(forest: Forest, X: np.ndarray) -> np.ndarray:
 SCORE_CHUNK_BYTES = 64 << 20
 
 
-def densify(indices, values, lookup: np.ndarray, width: int) -> np.ndarray:
-    """Dense ``rows x width`` block from sparse rows, keeping only features
-    with a compact column in ``lookup``."""
-    m = len(indices)
+def densify(offsets: np.ndarray, flat_i: np.ndarray, flat_v: np.ndarray, lookup: np.ndarray,
+            width: int) -> np.ndarray:
+    """Dense ``rows x width`` block of the rows between ``offsets``, keeping
+    only features with a compact column in ``lookup``."""
+    m = len(offsets) - 1
     X = np.zeros((m, width))
-    lens = np.fromiter((0 if ind is None else len(ind) for ind in indices), dtype=np.int64, count=m)
-    if lens.sum() == 0:
-        return X
-    flat_i = np.concatenate([np.asarray(ind, dtype=np.int64) for ind in indices if ind is not None and len(ind)])
-    flat_v = np.concatenate([np.asarray(v, dtype=np.float64) for ind, v in zip(indices, values)
-                             if ind is not None and len(ind)])
-    rows = np.repeat(np.arange(m), lens)
-    col = lookup[flat_i]
+    part = slice(int(offsets[0]), int(offsets[-1]))
+    col = lookup[flat_i[part]]
     keep = col >= 0
-    X[rows[keep], col[keep]] = flat_v[keep]
+    rows = np.repeat(np.arange(m), np.diff(offsets))
+    X[rows[keep], col[keep]] = flat_v[part][keep]
     return X
 
 
-def score_rows(forest: Forest, indices, values) -> np.ndarray:
+def score_rows(forest: Forest, offsets: np.ndarray, flat_i: np.ndarray, flat_v: np.ndarray) -> np.ndarray:
     """Scores for a batch of sparse rows, in chunks of bounded dense size."""
-    m = len(indices)
+    m = len(offsets) - 1
     out = np.empty(m)
     step = max(1, SCORE_CHUNK_BYTES // (8 * max(forest.width, forest.n_trees)))
     cpsi = float(c_factor([forest.psi])[0])
     for a in range(0, m, step):
-        X = densify(indices[a:a + step], values[a:a + step], forest.lookup, forest.width)
+        X = densify(offsets[a:min(a + step, m) + 1], flat_i, flat_v, forest.lookup, forest.width)
         out[a:a + step] = np.power(2.0, -path_lengths(forest, X) / cpsi)
     return out
 
 
 def score(vecs: DataFrame, key: str, forest: Forest, n_features: int,
-          out: str = "score") -> DataFrame:
-    """M2: ``(key, score)`` with ``score`` in (0, 1), higher = more isolated."""
+          out: str = "score", carry: tuple = ()) -> DataFrame:
+    """M2: ``(key, *carry, score)`` with ``score`` in (0, 1), higher = more
+    isolated; a map over the rows, so carried columns need no join."""
     sc = vecs.sparkSession.sparkContext
     ship_package(vecs.sparkSession)  # the scorer runs in Python workers
     if forest.lookup is None:
         forest = forest.compact(n_features)
     bc = sc.broadcast(forest)
-    key_type = vecs.schema[key].dataType.simpleString()
+    cols = [key, *[c for c in carry if c != key]]
 
     def run(batches):
         f = bc.value
-        for pdf in batches:
-            s = score_rows(f, list(pdf["indices"]), list(pdf["values"]))
-            yield pd.DataFrame({key: pdf[key], out: s})
-
-    return rounded_inputs(vecs.select(key, "indices", "values")).mapInPandas(
-        run, f"{key} {key_type}, {out} double")
+        for b in batches:
+            ind, val = b.column("indices"), b.column("values")
+            off = np.asarray(ind.offsets)
+            s = score_rows(f, off - off[0], ind.flatten().to_numpy(zero_copy_only=False),
+                           val.flatten().to_numpy(zero_copy_only=False)) if b.num_rows else np.empty(0)
+            yield pa.record_batch([b.column(c) for c in cols] + [pa.array(s)], names=[*cols, out])
+
+    schema = T.StructType([vecs.schema[c] for c in cols]).add(out, "double")
+    return rounded_inputs(vecs.select(*cols, "indices", "values")).mapInArrow(run, schema)

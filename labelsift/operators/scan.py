@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from labelsift.functions.columns import nonblank, safe_div, truncate_display
 from labelsift.operators import metrics as M
 from labelsift.operators import tfidf as TF
+from labelsift.session import materialize, stored
 
 # Preferred text-column names, in priority order.
 PREFERRED_TEXT_COLUMNS = ("text", "content", "review", "message", "sms", "sentence",
@@ -28,30 +29,31 @@ MIN_RECORDS = 5
 
 
 def find_text_column(schema: T.StructType) -> str | None:
-    """Trimmed lower-cased header matched against the preferred names (in
-    priority order; a later duplicate header wins), else the first string
-    column, else None. Metadata only."""
-    normalized = {}
-    for f in schema.fields:
-        normalized[f.name.strip().lower()] = f.name
-    for name in PREFERRED_TEXT_COLUMNS:
-        if name in normalized:
-            return normalized[name]
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            return f.name
-    return None
+    """P3, metadata only: the column with the least (rank of its trimmed
+    lower-cased name in ``PREFERRED_TEXT_COLUMNS``, position; the last of equal
+    names first), else the first string column, else None."""
+    ranked = [(PREFERRED_TEXT_COLUMNS.index(f.name.strip().lower()), -i, f.name)
+              for i, f in enumerate(schema.fields) if f.name.strip().lower() in PREFERRED_TEXT_COLUMNS]
+    if ranked:
+        return min(ranked)[2]
+    return next((f.name for f in schema.fields if isinstance(f.dataType, T.StringType)), None)
+
+
+def require_records(df: DataFrame, n: int, min_rows: int = MIN_RECORDS) -> None:
+    """P7 on a table with ``n`` usable records; reads a row only to word the
+    error."""
+    if n < min_rows:
+        if df.isEmpty():
+            raise ValueError("cannot screen an empty table")
+        raise ValueError(f"screening needs {min_rows} or more records with text, got {n}")
 
 
 def nonblank_rows(df: DataFrame, text_col: str, min_rows: int = MIN_RECORDS) -> DataFrame:
     """P6 + P7: rows whose text is not blank after stripping (the raw text is
     kept); raises when the table is empty or has fewer than ``min_rows``
-    usable records. The guards read at most ``min_rows`` rows."""
-    if df.limit(1).count() == 0:
-        raise ValueError("The uploaded dataset is empty.")
+    usable records. The guard reads at most ``min_rows`` rows."""
     kept = df.where(nonblank(text_col))
-    if kept.limit(min_rows).count() < min_rows:
-        raise ValueError(f"At least {min_rows} non-empty text records are required for anomaly screening.")
+    require_records(df, kept.limit(min_rows).count(), min_rows)
     return kept
 
 
@@ -80,26 +82,45 @@ class ScanResult:
     truth_source: str | None
 
 
+def _require_unique(counted: DataFrame, key: str) -> None:
+    bad = counted.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"column {key!r} is not a row key: {bad[0][0]!r} occurs {bad[0][1]} times")
+
+
 def scan(df: DataFrame, key: str | None = None, text_col: str | None = None,
          trees: int = 200, psi: int = 256, seed: int = 42,
          cfg: TF.TfidfConfig = TF.SCAN) -> ScanResult:
-    from labelsift.plans.detect import featurize, run_forest
+    """M12. The whole input row rides along the tokeniser, the vectors and the
+    forest scores (each a map over the rows), so no exchange or sort carries
+    text; rows are written with their term counts and with their scores."""
+    from labelsift.plans.detect import run_forest
     from labelsift.sources.corpus import with_file_order_key
 
     text_col = text_col or find_text_column(df.schema)
     if text_col is None:
-        raise ValueError("No text column was found. Include a column such as text, message, review, or content.")
+        raise ValueError("the table has no string column to screen")
+    given = key
     if key is None:
         key = SOURCE_ROW
         df = with_file_order_key(df, key)  # P8: raises when the name is taken
-    # not checkpointed: re-reading the source is cheaper than writing its texts
-    working = nonblank_rows(df, text_col)
-    n = working.count()
+    names = [c for c in df.columns if c not in ("anomaly_score", "potentially_suspicious")]
+    rows = df.where(nonblank(text_col)).select(
+        F.col(f"`{key}`").alias("_key"), F.col(f"`{text_col}`").alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    counted = stored(TF.counts(rows, "_key", "_text", cfg, ["_row"]), "counts")
+    n = counted.count()
+    require_records(df, n)
+    if given is not None:
+        _require_unique(counted, "_key")
     contamination = min(0.05, max(1.0 / n, 0.001))
-    vecs, size, _ = featurize(working, key, text_col, cfg, n)
-    scores = run_forest(vecs, key, size, n, contamination, trees, psi, seed)
-    scored = working.join(scores.select(key, "anomaly_score", "detector_flag"), key) \
-        .withColumn("potentially_suspicious", F.col("detector_flag") == 1).drop("detector_flag")
+    vocab = TF.fit_counts(TF.explode_counts(counted, "_key"), cfg, n)
+    vocab.table = materialize(vocab.table)
+    vocab.size = vocab.table.count()
+    vecs = TF.vectorize(counted, "_key", vocab, carry=["_row"])
+    scores = run_forest(vecs, "_key", vocab.size, n, contamination, trees, psi, seed, carry=("_row",))
+    scored = scores.select("_row.*", "anomaly_score",
+                           (F.col("detector_flag") == 1).alias("potentially_suspicious"))
     flagged = scored.where("potentially_suspicious").orderBy(F.desc("anomaly_score"), F.asc(key))
     with_truth, source = M.ground_truth(scored, "_truth")
     pred = F.col("potentially_suspicious").cast("int")

@@ -2,19 +2,20 @@
 
 Plan shape (one corpus):
 
-* the ``(key, text)`` input is hash-partitioned by key once; every per-document
-  step after that -- term counts, the L2-norm window, vector assembly -- runs
-  inside that partitioning with no further exchange. When the input already
-  arrives hash-partitioned by the key (the corpus view at scale is a
-  sort-merge join on it), Spark drops the repartition, so the text crosses
-  the network once either way (checked with ``explain``);
-* the vocabulary is one ``groupBy(term)`` with map-side partial aggregation
-  (a term present in a third of all documents costs one row per partition);
+* a document is one row, so tokens, term counts, weights and the L2 norm are
+  row-local: ``counts`` turns the text into a sorted ``(term, tf)`` array with
+  JVM expressions, ``vectorize`` looks the terms up in the broadcast vocabulary
+  and weighs them in Arrow batches (vectorised hash look-up, numpy). No exchange
+  carries text or per-document terms by key;
+* the vocabulary is one ``explode`` and ``groupBy(term)`` with map-side partial
+  aggregation (a term present in a third of all documents costs one row per
+  partition);
 * the top ``max_features`` cut is an exact threshold (distributed
   order-statistic search), not a single-task ``orderBy().limit()``;
 * the fitted vocabulary has at most ``max_features`` rows, so it is broadcast
-  into the transform (J3); without a cap its size is counted first and a
-  shuffle join is used above ``BROADCAST_MAX_TERMS``.
+  into the transform (J3); without a cap its size is counted first, and above
+  ``BROADCAST_MAX_TERMS`` the most frequent terms are looked up by broadcast
+  and only the rare ones by a shuffle join, so no stop word meets in one task.
 
 Semantics follow the reference's vectoriser: lower-case, tokens are runs of
 two or more word characters, stop words removed before n-grams, n-grams
@@ -27,16 +28,21 @@ scripts would tokenise the string 'nan').
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from labelsift.functions.columns import text_or_empty
 from labelsift.functions.stopwords import ENGLISH_STOP_WORDS
 from labelsift.operators.ordinal import ordinal
 from labelsift.operators.quantile import top_k
-from labelsift.session import materialize
+from labelsift.session import materialize, ship_package, stored
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # (term, idx, idf) rows cost ~64 bytes each in a broadcast hash relation:
@@ -80,20 +86,48 @@ def terms(text: Column | str, cfg: TfidfConfig) -> Column:
     return F.concat(toks, bi)
 
 
-def _by_key(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).repartition("_key")
+COUNTS = "array<struct<term:string,tf:bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row: a lambda variable
+    cannot be inlined again by the optimizer, as a projected column can."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(s: Column) -> Column:
+    """Sorted terms -> their runs as ``(term, tf)``: run starts are found and
+    subtracted."""
+    start = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)),
+                     lambda i: i.isNotNull())
+
+    def build(a: Column) -> Column:
+        end = F.concat(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.size(s)))
+        runs = F.zip_with(a, end, lambda x, y: F.struct(
+            F.get(s, x).alias("term"), (y - x).cast("bigint").alias("tf")))
+        return F.when(F.size(a) > 0, runs).otherwise(F.array().cast(COUNTS))
+
+    return _let(start, build)
+
+
+def counts(df: DataFrame, key: str, text: str, cfg: TfidfConfig, carry: Sequence[str] = ()) -> DataFrame:
+    """T6, row-local: ``(key, *carry, counts)`` with the document's distinct
+    terms in term order and their counts, by array expressions inside the row."""
+    cols = [key, *[c for c in carry if c != key]]
+    return df.select(*cols, _let(F.sort_array(terms(text, cfg)), _runs).cast(COUNTS).alias("counts"))
+
+
+def explode_counts(counted: DataFrame, key: str, keep_empty: bool = False) -> DataFrame:
+    """``(key, term, tf)`` of row-local counts. With ``keep_empty`` a document
+    without terms keeps one row with a null term."""
+    ex = F.explode_outer if keep_empty else F.explode
+    return counted.select(key, ex("counts").alias("_c")).select(key, "_c.term", "_c.tf")
 
 
 def term_counts(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
                 keep_empty: bool = False) -> DataFrame:
-    """Raw ``(key, term, tf)`` per document. With ``keep_empty`` a document
-    without terms keeps one row with a null term (so later per-key steps see
-    every document)."""
-    d = _by_key(df, key, text)
-    ex = F.explode_outer if keep_empty else F.explode
-    return (d.select("_key", ex(terms("_text", cfg)).alias("term"))
-             .groupBy("_key", "term").agg(F.count(F.lit(1)).alias("tf"))
-             .withColumnRenamed("_key", key))
+    """Raw ``(key, term, tf)`` per document; no exchange."""
+    return explode_counts(counts(df, key, text, cfg), key, keep_empty)
 
 
 @dataclass
@@ -115,8 +149,7 @@ def _bounds(cfg: TfidfConfig, n: int) -> tuple[float, float]:
 
 def doc_freq(df: DataFrame, key: str, text: str, cfg: TfidfConfig) -> DataFrame:
     """T4 input: ``(term, df, ctf)`` -- documents containing the term and its
-    corpus count. The per-document counts never leave their partition; the
-    term aggregation is partial-then-final."""
+    corpus count; one partial-then-final aggregation on the term."""
     return doc_freq_from_counts(term_counts(df, key, text, cfg))
 
 
@@ -143,52 +176,119 @@ def fit_counts(tc: DataFrame, cfg: TfidfConfig, n: int) -> Vocabulary:
         # Top max_features by corpus count, ties by term; an exact
         # threshold instead of a single-task orderBy/limit
         st = top_k(materialize(st), "ctf", cfg.max_features, "term")
+    if cfg.max_features is not None and cfg.max_features <= BROADCAST_MAX_TERMS:
         idx = F.row_number().over(Window.orderBy("term")) - 1
         table = st.select("term", idx.cast("int").alias("idx"), "df", "ctf")
     else:
-        # no cap: the vocabulary grows with the data, so the index is a
-        # distributed sort plus per-partition offsets, not a one-task window
+        # the vocabulary may grow with the data: the index is a distributed
+        # sort plus per-partition offsets, not a one-task window
         table = ordinal(st.select("term", "df", "ctf"), ["term"], "idx") \
             .select("term", F.col("idx").cast("int").alias("idx"), "df", "ctf")
     table = table.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     return Vocabulary(table, n, cfg, cfg.max_features)
 
 
-def _vocab_side(vocab: Vocabulary) -> DataFrame:
-    v = vocab.table.select("term", "idx", "idf")
-    size = vocab.size
-    if size is None:
-        size = vocab.table.count()
-        vocab.size = size
-    return F.broadcast(v) if size <= BROADCAST_MAX_TERMS else v
-
+def _vocab_size(vocab: Vocabulary) -> int:
+    if vocab.size is None:
+        vocab.size = vocab.table.count()
+    return vocab.size
+
+
+VECTOR = "indices array<int>, values array<double>"
+
+
+def _row_weights(counts_col: pa.ListArray, terms_: pa.Array, idf: np.ndarray, sublinear: bool):
+    """Per-row (offsets, term indices, L2-normalised weights) of a batch."""
+    offsets = np.asarray(counts_col.offsets)
+    flat = counts_col.flatten()
+    idx = pc.index_in(pc.struct_field(flat, "term"), value_set=terms_)
+    idx = idx.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(counts_col)), np.diff(offsets))
+    tf = pc.struct_field(flat, "tf").to_numpy(zero_copy_only=False).astype(np.float64)
+    known = idx >= 0
+    idx, row, tf = idx[known], row[known], tf[known]
+    w = (1.0 + np.log(tf) if sublinear else tf) * idf[idx]
+    norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(counts_col)))
+    n = np.bincount(row, minlength=len(counts_col))
+    return np.concatenate(([0], np.cumsum(n))).astype(np.int32), idx.astype(np.int32), w / norm[row]
+
+
+def vectorize(counted: DataFrame, key: str, vocab: Vocabulary, carry: Sequence[str] = (),
+              as_vector: int | None = None) -> DataFrame:
+    """T8, T9, J3, map-only: ``(key, *carry, indices, values)`` -- the row's
+    known terms in index order with L2-normalised weights; rows without a known
+    term get empty arrays. ``as_vector=size`` gives one Spark ML vector column
+    ``features`` instead of the arrays."""
+    if _vocab_size(vocab) > BROADCAST_MAX_TERMS:
+        if carry or as_vector is not None:
+            raise ValueError("rows can only be carried through a vocabulary of broadcast size")
+        return _vectorize_by_join(counted, key, vocab)
+    spark = counted.sparkSession
+    ship_package(spark)
+    rows = vocab.table.select("idx", "term", "idf").toArrow().sort_by("idx")
+    shared = spark.sparkContext.broadcast(
+        (rows.column("term").combine_chunks(), rows.column("idf").to_numpy()))
+    cols, sub = [key, *[c for c in carry if c != key]], vocab.cfg.sublinear_tf
+
+    def run(batches):
+        terms_, idf = shared.value
+        for b in batches:
+            off, idx, w = _row_weights(b.column("counts"), terms_, idf, sub)
+            ind = pa.ListArray.from_arrays(pa.array(off), pa.array(idx))
+            val = pa.ListArray.from_arrays(pa.array(off), pa.array(w))
+            if as_vector is None:
+                out, names = [ind, val], ["indices", "values"]
+            else:
+                m = b.num_rows
+                out = [pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, as_vector, np.int32)), ind, val],
+                    names=["type", "size", "indices", "values"])]
+                names = ["features"]
+            yield pa.record_batch([b.column(c) for c in cols] + out, names=[*cols, *names])
+
+    schema = ST.StructType([counted.schema[c] for c in cols])
+    if as_vector is None:
+        schema = ST.StructType(schema.fields + ST.StructType.fromDDL(VECTOR).fields)
+    else:
+        from pyspark.ml.linalg import VectorUDT
+        schema = schema.add("features", VectorUDT())
+    return counted.select(*cols, "counts").mapInArrow(run, schema)
+
+
+def _vectorize_by_join(counted: DataFrame, key: str, vocab: Vocabulary) -> DataFrame:
+    """The same for a vocabulary above the broadcast size: its
+    ``BROADCAST_MAX_TERMS`` most frequent terms by broadcast join, the others
+    -- each in few documents -- by shuffle join, regrouped by key."""
+    table = vocab.table.select("term", "idx", "idf", "df")
+    hot = materialize(top_k(table, "df", BROADCAST_MAX_TERMS, "term").select("term", "idx", "idf"))
+    rare = table.join(F.broadcast(hot.select("term")), "term", "left_anti").select("term", "idx", "idf")
+    tc = explode_counts(counted, key, keep_empty=True)
+    first = tc.join(F.broadcast(hot), "term", "left")
+    found = first.where("idx is not null or term is null").select(key, "term", "tf", "idx", "idf")
+    more = first.where("idx is null and term is not null").select(key, "term", "tf").join(rare, "term", "left")
+    j = found.unionByName(more.select(key, "term", "tf", "idx", "idf"))
+    tf = F.col("tf").cast("double")
+    w = (F.lit(1.0) + F.log(tf) if vocab.cfg.sublinear_tf else tf) * F.col("idf")
+    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
+    return vectors(j.select(key, "term", "idx", F.when(norm > 0, w / norm).otherwise(w).alias("weight")), key)
 
-def transform(df: DataFrame, key: str, text: str, vocab: Vocabulary,
-              keep_empty: bool = False) -> DataFrame:
-    """``(key, term, idx, weight)`` with L2-normalised rows.
 
-    The vocabulary join is a broadcast hash join (size bounded by the cap);
-    the norm is a window partitioned by key, satisfied by the key
-    partitioning of the counts (no exchange). With ``keep_empty`` documents
-    without vocabulary terms keep one row with null ``term/idx/weight``.
-    """
-    tc = term_counts(df, key, text, vocab.cfg, keep_empty=keep_empty)
-    return transform_counts(tc, key, vocab, keep_empty)
+def weights(vecs: DataFrame, key: str, vocab: Vocabulary, keep_empty: bool = False) -> DataFrame:
+    """``(key, term, idx, weight)`` rows of vectors. With ``keep_empty``
+    documents without known terms keep one row of nulls."""
+    ex = F.explode_outer if keep_empty else F.explode
+    e = vecs.select(key, ex(F.arrays_zip("indices", "values")).alias("_e")) \
+        .select(key, F.col("_e.indices").alias("idx"), F.col("_e.values").alias("weight"))
+    names = vocab.table.select("idx", "term")
+    if _vocab_size(vocab) <= BROADCAST_MAX_TERMS:
+        names = F.broadcast(names)
+    return e.join(names, "idx", "left").select(key, "term", "idx", "weight")
 
 
-def transform_counts(tc: DataFrame, key: str, vocab: Vocabulary, keep_empty: bool = False) -> DataFrame:
-    """Transform precomputed ``(key, term, tf)`` counts."""
-    cfg = vocab.cfg
-    how = "left" if keep_empty else "inner"
-    j = tc.join(_vocab_side(vocab), "term", how)
-    if keep_empty:
-        j = j.withColumn("term", F.when(F.col("idx").isNotNull(), F.col("term")))
-    tf = F.col("tf").cast("double")
-    if cfg.sublinear_tf:
-        tf = F.lit(1.0) + F.log(tf)
-    w = tf * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
-    return j.select(key, "term", "idx", F.when(norm > 0, w / norm).otherwise(w).alias("weight"))
+def transform(df: DataFrame, key: str, text: str, vocab: Vocabulary,
+              keep_empty: bool = False) -> DataFrame:
+    """T6, T8, T9, J3 from texts: ``(key, term, idx, weight)``."""
+    return weights(vectorize(counts(df, key, text, vocab.cfg), key, vocab), key, vocab, keep_empty)
 
 
 def vectors(weights: DataFrame, key: str) -> DataFrame:
@@ -201,7 +301,20 @@ def vectors(weights: DataFrame, key: str) -> DataFrame:
                       F.transform("_e", lambda e: e["weight"]).alias("values"))
 
 
+def fit_vectors(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
+                n_docs: int | None = None, carry: Sequence[str] = ()) -> tuple[Vocabulary, DataFrame, DataFrame]:
+    """Tokenise once: the counts are stored, the vocabulary is fitted on them
+    and the vectors are a map over them. Returns ``(vocabulary, stored counts,
+    vectors)``; ``carry`` columns (the text, labels) ride along both."""
+    counted = stored(counts(df, key, text, cfg, carry), "counts")
+    n = int(n_docs if n_docs is not None else counted.count())
+    vocab = fit_counts(explode_counts(counted, key), cfg, n)
+    vocab.table = materialize(vocab.table)
+    vocab.size = vocab.table.count()
+    return vocab, counted, vectorize(counted, key, vocab, carry)
+
+
 def fit_transform(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
                   keep_empty: bool = False, n_docs: int | None = None) -> tuple[Vocabulary, DataFrame]:
-    vocab = fit(df, key, text, cfg, n_docs)
-    return vocab, transform(df, key, text, vocab, keep_empty)
+    vocab, _, vecs = fit_vectors(df, key, text, cfg, n_docs)
+    return vocab, weights(vecs, key, vocab, keep_empty)

@@ -1,9 +1,10 @@
 """E1 detect plan: poisoned corpus -> detect TF-IDF -> isolation forest ->
 flags -> metrics (the reference's detection stage, as lazy Spark plans).
 
-Materialisation points (checkpoints in the shared checkpoint folder): the
-sparse vectors (read by the forest sample join and by scoring) and the
-``(key, score)`` table (read by the exact-percentile passes and the joins).
+Written intermediates (in the shared checkpoint folder): the row-local term
+counts (read by the vocabulary fit and, as vectors, by the forest's sample and
+by scoring) and the ``(key, score)`` table (read by the exact-percentile passes
+and the joins).
 The poisoned corpus itself is never checkpointed: it is the source scan plus
 the key join plus a row-local predicate with fitted constants, so re-deriving
 it is cheaper than writing the texts again, and consumers that need no text
@@ -22,7 +23,7 @@ from labelsift.operators import metrics as M
 from labelsift.operators import poison as X
 from labelsift.operators import tfidf as T
 from labelsift.plans.common import RATE, SEED, corpus
-from labelsift.session import materialize
+from labelsift.session import stored
 
 
 @dataclass
@@ -35,27 +36,20 @@ class Detection:
 
 def featurize(df: DataFrame, key: str, text: str, cfg: T.TfidfConfig,
               n: int | None = None) -> tuple[DataFrame, int, T.Vocabulary]:
-    """Fit + transform and materialise sparse vectors ``(key, indices, values)``
-    for every row (rows without vocabulary terms get empty arrays)."""
-    n = int(n if n is not None else df.count())
-    # tokenise and count once; the vocabulary fit and the transform both read
-    # the persisted counts (recomputed from lineage if an executor is lost)
-    tc = materialize(T.term_counts(df, key, text, cfg, keep_empty=True), reliable=False)
-    vocab = T.fit_counts(tc, cfg, n)
-    vocab.table = materialize(vocab.table)
-    vocab.size = vocab.table.count()
-    w = T.transform_counts(tc, key, vocab, keep_empty=True)
-    vecs = materialize(T.vectors(w, key))
-    tc.unpersist()
+    """Fit + transform: sparse vectors ``(key, indices, values)`` of every row
+    (rows without vocabulary terms get empty arrays), a map over the stored
+    counts."""
+    vocab, _, vecs = T.fit_vectors(df, key, text, cfg, n)
     return vecs, int(vocab.size), vocab
 
 
 def run_forest(vecs: DataFrame, key: str, n_features: int, n: int, contamination: float,
-               trees: int = 200, psi: int = 256, seed: int = SEED) -> DataFrame:
-    """M1 + M2 + M5: ``(key, score, anomaly_score, detector_flag)``."""
+               trees: int = 200, psi: int = 256, seed: int = SEED, carry: tuple = ()) -> DataFrame:
+    """M1 + M2 + M5: ``(key, *carry, score, anomaly_score, detector_flag)``.
+    Scores are written once; the percentile passes read their column alone."""
     nodes, psi_eff, depth = IF.fit_nodes(vecs, key, n_features, n, trees, psi, seed)
     forest = IF.collect_forest(nodes, psi_eff, depth)
-    scored = materialize(IF.score(vecs, key, forest, n_features, "score"))
+    scored = stored(IF.score(vecs, key, forest, n_features, "score", carry), "scores")
     return M.flag_by_contamination(scored, "score", contamination, "detector_flag", "anomaly_score")
 
 

@@ -20,8 +20,7 @@ from labelsift.operators import logreg as LR
 from labelsift.operators import poison as X
 from labelsift.operators import tfidf as T
 from labelsift.plans.common import RATE, SEED, corpus
-from labelsift.plans.detect import featurize
-from labelsift.session import materialize
+from labelsift.session import materialize, stored
 from labelsift.sources.corpus import train_test_split
 
 TEST_RATE = 0.5
@@ -34,9 +33,19 @@ def splits(df: DataFrame, key: str = "row_id", test_rate: float = TEST_RATE,
             s.where(F.col("split") == "test").drop("split"))
 
 
-def _vectors_for(df: DataFrame, vocab: T.Vocabulary, key: str, text: str) -> DataFrame:
-    w = T.transform(df, key, text, vocab, keep_empty=True)
-    return materialize(T.vectors(w, key))
+def _frame(counted: DataFrame, vocab: T.Vocabulary, key: str, labels: dict[str, str]) -> DataFrame:
+    """Vectors of counted rows with label columns (``out name -> column``), all
+    carried on the row: no join, no exchange."""
+    carry = list(dict.fromkeys(labels.values()))
+    v = T.vectorize(counted, key, vocab, carry=carry, as_vector=int(vocab.size))
+    return v.select(key, *[F.col(src).cast("double").alias(dst) for dst, src in labels.items()], "features")
+
+
+def _vocabulary(counted: DataFrame, key: str, cfg: T.TfidfConfig, n: int) -> T.Vocabulary:
+    vocab = T.fit_counts(T.explode_counts(counted, key), cfg, n)
+    vocab.table = materialize(vocab.table)
+    vocab.size = vocab.table.count()
+    return vocab
 
 
 def train_and_evaluate(train: DataFrame, test: DataFrame, cfg: T.TfidfConfig = T.MITIGATION,
@@ -44,42 +53,49 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, cfg: T.TfidfConfig = T
                        max_iter: int = 1000) -> DataFrame:
     """M8: fit a vectoriser + model on ``train``, score ``test``; one row
     ``(n_train, n_test, accuracy, f1, ...)``."""
-    n_train = train.count()
-    train_vecs, size, vocab = featurize(train, key, text, cfg, n_train)
-    test_vecs = _vectors_for(test, vocab, key, text)
-    frame = LR.training_frame(materialize(LR.model_frame(train_vecs, train, key, size, label)))
+    counted = stored(T.counts(train, key, text, cfg, [label]), "counts")
+    tested = stored(T.counts(test, key, text, cfg, [label]), "counts")
+    return _fit_and_score(counted, tested, cfg, key, label, max_iter)
+
+
+def _fit_and_score(counted: DataFrame, tested: DataFrame, cfg: T.TfidfConfig, key: str, label: str,
+                   max_iter: int) -> DataFrame:
+    n_train = counted.count()
+    vocab = _vocabulary(counted, key, cfg, n_train)
+    frame = LR.training_frame(materialize(_frame(counted, vocab, key, {"label": label})))
     model = LR.fit_logreg(frame, n_train, max_iter)
     frame.unpersist()
-    ev = LR.evaluate(model, LR.model_frame(test_vecs, test, key, size, label), key)
+    test_label = label if label in tested.columns else "label"
+    ev = LR.evaluate(model, _frame(tested, vocab, key, {"label": test_label}), key)
     return ev.select(F.lit(n_train).cast("bigint").alias("n_train"), "*")
 
 
 def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
            cfg: T.TfidfConfig = T.EXPERIMENT, max_iter: int = 1000,
            dataset_name: str = "documents+labels") -> DataFrame:
-    """The results document as one nested row."""
+    """The results document as one nested row.
+
+    Flips leave text unchanged, so both models share one frame: the training
+    texts are tokenised once, with both label columns carried on the row."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
-    # only the narrow label columns are checkpointed; texts are re-read
-    poisoned = materialize(X.flip_labels(train, "row_id", "label", rate, seed)
-                           .select("row_id", "label", "original_label", "is_poisoned"))
-    n_train = train.count()
-    vecs, size, vocab = featurize(train, "row_id", "text", cfg, n_train)
-    # flips leave text unchanged: one frame carries both label columns
-    both = poisoned.select("row_id", F.col("original_label").alias("clean_label"),
-                           F.col("label").alias("poisoned_label"))
-    frame = LR.training_frame(materialize(LR.model_frame(
-        vecs, both, "row_id", size, {"clean_label": "clean_label", "poisoned_label": "poisoned_label"})))
-    # the two fits and the test-split vectors (which need only the fitted
-    # vocabulary) are independent jobs: run them side by side
-    clean_m, pois_m, test_vecs = LR.fit_concurrently([
+    flipped = X.flip_labels(train, "row_id", "label", rate, seed)
+    counted = stored(T.counts(flipped, "row_id", "text", cfg,
+                              ["label", "original_label", "is_poisoned"]), "counts")
+    n_train = counted.count()
+    vocab = _vocabulary(counted, "row_id", cfg, n_train)
+    frame = LR.training_frame(materialize(_frame(
+        counted, vocab, "row_id", {"clean_label": "original_label", "poisoned_label": "label"})))
+    # the two fits and the test frame (which needs only the fitted vocabulary)
+    # are independent jobs: run them side by side
+    clean_m, pois_m, test_frame = LR.fit_concurrently([
         (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "clean_label"),
         (LR.fit_logreg, frame, n_train, max_iter, LR.LR_TOL, "poisoned_label"),
-        (_vectors_for, test, vocab, "row_id", "text")])
+        (lambda: materialize(_frame(T.counts(test, "row_id", "text", cfg, ["label"]), vocab, "row_id",
+                                    {"label": "label"})),)])
     frame.unpersist()
-    test_frame = LR.model_frame(test_vecs, test, "row_id", size)
     c, p = LR.fit_concurrently([(lambda m: LR.evaluate(m, test_frame).first(), clean_m),
                                 (lambda m: LR.evaluate(m, test_frame).first(), pois_m)])
-    n_poisoned = poisoned.agg(F.sum("is_poisoned")).first()[0] or 0
+    n_poisoned = counted.agg(F.sum("is_poisoned")).first()[0] or 0
     row = {
         "config": (dataset_name, "TF-IDF + Logistic Regression", n_train, int(c["n_test"]),
                    int(n_poisoned), seed, cfg.max_features),
@@ -101,18 +117,24 @@ def conditions(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RAT
                mitigate_by: str = "is_poisoned") -> DataFrame:
     """Recovery experiment: ``(condition, n_train, n_test, accuracy, f1)`` for
     clean, poisoned and mitigated training sets. ``mitigate_by='is_poisoned'``
-    removes the known flips (the reference; an upper bound)."""
+    removes the known flips (the reference; an upper bound).
+
+    Training and test texts are tokenised once for all three conditions; each
+    condition fits its own vocabulary and model on the shared counts."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
-    poisoned = X.flip_labels(train, "row_id", "label", rate, seed)
-    mitigated = X.mitigate(poisoned, mitigate_by)
-    def one(name: str, tr: DataFrame) -> DataFrame:
-        r = train_and_evaluate(tr, test, cfg, max_iter=max_iter).select(
-            F.lit(name).alias("condition"), "n_train", "n_test", "accuracy", "f1")
-        return materialize(r)
-
-    # the three conditions are independent pipelines: run them as concurrent jobs
-    parts = LR.fit_concurrently([(one, "clean", train), (one, "poisoned", poisoned),
-                                 (one, "mitigated", mitigated)])
+    flipped = X.flip_labels(train, "row_id", "label", rate, seed)
+    carry = list(dict.fromkeys(["label", "original_label", "is_poisoned", mitigate_by]))
+    counted = stored(T.counts(flipped, "row_id", "text", cfg, carry), "counts")
+    tested = stored(T.counts(test, "row_id", "text", cfg, ["label"]), "counts")
+
+    def one(name: str, rows: DataFrame, label: str) -> DataFrame:
+        r = _fit_and_score(rows, tested, cfg, "row_id", label, max_iter)
+        return materialize(r.select(F.lit(name).alias("condition"), "n_train", "n_test", "accuracy", "f1"))
+
+    # independent fits over the same stored counts: run them as concurrent jobs
+    parts = LR.fit_concurrently([(one, "clean", counted, "original_label"),
+                                 (one, "poisoned", counted, "label"),
+                                 (one, "mitigated", X.mitigate(counted, mitigate_by), "label")])
     return reduce(DataFrame.unionByName, parts)
 
 

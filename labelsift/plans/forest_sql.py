@@ -2,7 +2,8 @@
 ``labelsift.operators.iforest``, grown level by level in SQL.
 
 Every random draw of the forest is a hash, so SQL can repeat it: the tree
-sample ranks ``md5('tree:<seed>:<tree>:<key>')``, a node's feature and
+sample ranks ``md5('tree:<seed>:<tree / 2>:<key>')`` (first or second 15 hex
+digits by the tree's parity), a node's feature and
 threshold come from ``md5('node:<seed>:<tree>:<node>:f|t')``; inputs are the
 TF-IDF weights rounded to 9 decimals. Levels are unrolled up to the deepest
 possible tree (``ceil(log2 256) = 8``); the depth limit of the data is a
@@ -40,7 +41,6 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
     to it, ``score = 2 ** (-E[h] / c(psi))``."""
     if psi > 2 ** MAX_LEVELS:
         raise ValueError("the oracle unrolls trees of psi <= 256")
-    pool_target = f"({IF.POOL_FACTOR * trees} * psi_e)"
     tf = "(1.0 + ln(c.tf))" if cfg.sublinear_tf else "CAST(c.tf AS DOUBLE)"
     ctes = [
         f"V AS MATERIALIZED ({vocab_sql(source, cfg, key, text)})",
@@ -48,19 +48,14 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
         f"FROM (SELECT c.{key} AS k, v.idx AS f, {tf} * v.idf AS w "
         f"FROM ({term_counts_sql(source, cfg, key, text)}) c JOIN V v USING (term)))",
         f"K AS MATERIALIZED (SELECT {key} AS k FROM ({source}))",
-        f"PRM AS MATERIALIZED (SELECT n, psi_e, CAST(ceil(log2(greatest(psi_e, 2))) AS INTEGER) AS md, "
-        f"least(1.0, {pool_target} / greatest(n, 1)) AS p_pool, "
-        f"least(1.0, {IF.TREE_OVERSAMPLE} * psi_e / greatest(least(n, {pool_target}), 1)) AS q "
+        f"PRM AS MATERIALIZED (SELECT n, psi_e, CAST(ceil(log2(greatest(psi_e, 2))) AS INTEGER) AS md "
         f"FROM (SELECT n, least({psi}, n) AS psi_e FROM (SELECT count(*) AS n FROM K)))",
-        f"POOL AS MATERIALIZED (SELECT k FROM K, PRM WHERE p_pool >= 1.0 OR "
-        f"{_h60(f"'pool:{seed}:' || CAST(k AS VARCHAR)")} < CAST(floor(p_pool * {_TWO60}) AS BIGINT))",
-        f"OFFERS AS MATERIALIZED (SELECT k, tree, "
-        f"{_h60(f"'tree:{seed}:' || CAST(tree AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} AS h "
-        f"FROM POOL, (SELECT range AS tree FROM range({trees})))",
+        f"OFFERS AS MATERIALIZED (SELECT k, tree, ('0x' || substr(md5('tree:{seed}:' || "
+        f"CAST(tree // 2 AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1 + 15 * (tree % 2), 15))::BIGINT AS h "
+        f"FROM K, (SELECT range AS tree FROM range({trees})))",
         "M0 AS MATERIALIZED (SELECT tree, 0 AS node, k FROM ("
         "SELECT o.tree, o.k, row_number() OVER (PARTITION BY o.tree ORDER BY o.h, o.k) AS rn "
-        f"FROM OFFERS o, PRM WHERE PRM.q >= 1.0 OR o.h < CAST(floor(PRM.q * {_TWO60}) AS BIGINT)), PRM "
-        "WHERE rn <= PRM.psi_e)",
+        "FROM OFFERS o), PRM WHERE rn <= PRM.psi_e)",
     ]
     for d in range(MAX_LEVELS + 1):
         ctes += [

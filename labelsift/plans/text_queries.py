@@ -26,9 +26,10 @@ def _mitigated_train(spark, sf):
 
 
 def _weights(df, cfg, apply=None, key="row_id"):
+    if apply is None:
+        return r6(T.fit_transform(df, key, "text", cfg)[1].select(key, "term", "weight"))
     vocab = T.fit(df, key, "text", cfg)
-    out = T.transform(apply if apply is not None else df, key, "text", vocab)
-    return r6(out.select(key, "term", "weight"))
+    return r6(T.transform(apply, key, "text", vocab).select(key, "term", "weight"))
 
 
 def q_tokens(spark, sf):

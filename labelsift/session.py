@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
@@ -80,12 +81,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._labelsift_shipped = True
 
 
+def is_local(master: str) -> bool:
+    """One JVM on this machine: ``local``, ``local[N]``, ``local[*, F]``."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` (a shared folder on a cluster) wins. Only when it
-    is unset -- local tests, the bench, the smoke entry -- a fresh scratch
-    folder is created and registered.
+    ``spark.checkpoint.dir`` (a shared folder on a cluster) wins. Where it is
+    unset, a ``local[...]`` master (tests, the bench, the smoke entry) gets a
+    fresh scratch folder; any other master raises, as the nodes of a cluster
+    cannot read one machine's folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -93,12 +100,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="labelsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not configured:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share "
+                             f"(master {sc.master!r} runs on more than this machine)")
+        configured = tempfile.mkdtemp(prefix="labelsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the checkpoint folder and read it back: a
+    lineage cut for wide intermediates (rows with text), compressed and
+    column-pruned when read again."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,24 +41,45 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     return df
 
 
+MAX_SPLITS_BROADCAST = 1_000_000  # one small row per input split
+
+
 def with_file_order_key(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Give a key-less file source a BIGINT key in file order (0-based):
-    the position of each row in the order (file, position in the scan),
-    computed by a distributed sort plus per-partition offsets (no row passes
-    through Python or the driver)."""
+    """Give a key-less file source a BIGINT key in file order (0-based): rows
+    per input split (file, block start) are counted, and a row's key is the sum
+    over the splits before its own plus its index inside the split. No sort, no
+    copy of the rows; one row per split reaches the driver. A frame that is no
+    plain scan of files falls back to its partition order."""
     from labelsift.operators.ordinal import ordinal
 
     if key in df.columns:
         raise ValueError(f"column {key!r} already exists")
-    tagged = (df.withColumn("_file", F.input_file_name())
-                .withColumn("_pos", F.monotonically_increasing_id()))
-    return ordinal(tagged, ["_file", "_pos"], key).drop("_file", "_pos")
+    try:
+        tagged = df.select("*", F.col("_metadata.file_path").alias("_f"),
+                           F.col("_metadata.file_block_start").alias("_b"),
+                           F.monotonically_increasing_id().alias("_m"))
+        tagged.schema  # noqa: B018 -- analysis: other frames have no file metadata
+    except AnalysisException:
+        tagged = df.withColumn("_pos", F.monotonically_increasing_id())
+        return ordinal(tagged, ["_pos"], key).drop("_pos")
+    splits = sorted((r["_f"], r["_b"], r["n"], r["lo"]) for r in tagged.groupBy("_f", "_b")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("lo")).collect())
+    base, run = [], 0
+    for f, b, n, lo in splits:
+        base.append((f, b, run - lo))
+        run += n
+    table_ = df.sparkSession.createDataFrame(base, "_f string, _b bigint, _off bigint")
+    if len(base) <= MAX_SPLITS_BROADCAST:
+        table_ = F.broadcast(table_)
+    return tagged.join(table_, ["_f", "_b"]).select(
+        (F.col("_off") + F.col("_m")).alias(key), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None,
                 required: Iterable[str] = (), fmt: str = "csv", key: str = "row_id",
-                null_values: Iterable[str] = ()) -> DataFrame:
-    """S1 + S2 + P2: read a corpus file.
+                null_values: Iterable[str] = (), multi_line: bool = True) -> DataFrame:
+    """S1 + S2 + P2: read a corpus file. ``multi_line=False`` lets Spark split
+    a large CSV whose fields hold no line breaks (a multi-line file is one task).
 
     CSV is read with ``header``, ``multiLine`` and ``escape='"'`` -- Spark's
     defaults corrupt rows with embedded newlines or doubled quotes. A missing
@@ -67,7 +89,7 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = No
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        r = (spark.read.option("header", True).option("multiLine", True)
+        r = (spark.read.option("header", True).option("multiLine", multi_line)
              .option("escape", '"').option("quote", '"'))
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
         df = r.csv(path)

@@ -15,8 +15,10 @@ def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame | Non
         r = r.schema(schema)
     try:
         df = r.json(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     if df.columns == ["_corrupt_record"] or not df.columns:
         return None
     if "_corrupt_record" in df.columns:

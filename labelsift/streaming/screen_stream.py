@@ -4,16 +4,20 @@
 isolation forest and the contamination offset of the training scores.
 ``start_screen_stream`` then scores files as they arrive with
 ``foreachBatch``: every micro-batch is a bounded DataFrame that goes through
-the same batch operators (vocabulary broadcast join, forest ``mapInPandas``)
-and the fitted offset, so a new row is flagged exactly as the fitted
-detector would flag it. Output is appended to a table under the query's
-checkpointed progress, so a restarted query resumes where it stopped.
+the same batch operators (row-local counts, vocabulary look-up, forest
+``mapInArrow``) and the fitted offset, so a new row is flagged exactly as the
+fitted detector would flag it. Output is appended to a table under the query's
+checkpointed progress; with the screen saved by ``save_screen``, a restarted
+driver resumes with the same model.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +28,10 @@ from labelsift.operators import tfidf as T
 from labelsift.session import materialize
 
 
+SETTINGS = ("psi int, max_depth int, n_features int, offset double, contamination double, n_docs bigint, "
+            "config string")
+
+
 @dataclass
 class FittedScreen:
     vocab: T.Vocabulary
@@ -47,11 +55,41 @@ def fit_screen(df: DataFrame, key: str, text: str, cfg: T.TfidfConfig = T.SCAN,
     return FittedScreen(vocab, forest, size, offset, c)
 
 
+def save_screen(fitted: FittedScreen, path: str) -> None:
+    """Write a fitted screen: vocabulary, forest nodes and one row of settings."""
+    spark = fitted.vocab.table.sparkSession
+    f, cfg = fitted.forest, fitted.vocab.cfg
+    used = np.flatnonzero(f.lookup >= 0)[np.argsort(f.lookup[f.lookup >= 0])] if f.lookup is not None else None
+    live = ~np.isnan(f.leaf_value) | (f.feature >= 0)
+    t, n = np.nonzero(live)
+    feat = f.feature[t, n]
+    if used is not None and used.size:
+        feat = np.where(feat >= 0, used[np.maximum(feat, 0)], -1)
+    nodes = pd.DataFrame({"tree": t.astype("int32"), "node": n.astype("int32"), "feature": feat.astype("int32"),
+                          "threshold": f.threshold[t, n], "left": f.left[t, n].astype("int32"),
+                          "right": f.right[t, n].astype("int32"), "leaf_value": f.leaf_value[t, n]})
+    fitted.vocab.table.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark.createDataFrame(nodes, IF.NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    row = (f.psi, f.max_depth, fitted.n_features, fitted.offset, fitted.contamination, fitted.vocab.n_docs,
+           json.dumps(asdict(cfg)))
+    spark.createDataFrame([row], SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_screen(spark: SparkSession, path: str) -> FittedScreen:
+    """Read what ``save_screen`` wrote."""
+    r = spark.read.parquet(f"{path}/settings").first()
+    cfg = json.loads(r["config"])
+    cfg["stop_words"] = tuple(cfg["stop_words"]) if cfg["stop_words"] else None
+    vocab = T.Vocabulary(spark.read.parquet(f"{path}/vocabulary"), r["n_docs"], T.TfidfConfig(**cfg))
+    vocab.size = vocab.table.count()
+    forest = IF.collect_forest(spark.read.parquet(f"{path}/nodes"), r["psi"], r["max_depth"])
+    return FittedScreen(vocab, forest.compact(r["n_features"]), r["n_features"], r["offset"], r["contamination"])
+
+
 def screen_batch(df: DataFrame, key: str, text: str, fitted: FittedScreen) -> DataFrame:
     """Score a bounded DataFrame with a fitted screen:
     ``(key, score, anomaly_score, potentially_suspicious)``."""
-    w = T.transform(df, key, text, fitted.vocab, keep_empty=True)
-    vecs = T.vectors(w, key)
+    vecs = T.vectorize(T.counts(df, key, text, fitted.vocab.cfg), key, fitted.vocab)
     s = IF.score(vecs, key, fitted.forest, fitted.n_features)
     out = M.apply_offset(s, "score", fitted.offset, "_flag", "anomaly_score")
     return out.select(key, "score", "anomaly_score", (F.col("_flag") == 1).alias("potentially_suspicious"))

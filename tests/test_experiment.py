@@ -6,8 +6,10 @@ import math
 import numpy as np
 
 from labelsift.operators import logreg as LR
+from labelsift.operators import tfidf as T
 from labelsift.plans import experiment as E
-from tests.conftest import SF001
+from labelsift.session import stored
+from tests.conftest import SF001, SF01
 
 
 def _numpy_logreg(X, y, iters=20000, lr=0.5):
@@ -43,6 +45,26 @@ def test_objective_matches_numpy(spark):
     assert abs(m.intercept - b) < 2e-3
 
 
+def test_gradient_of_the_objective_at_the_shipped_setting(spark):
+    """Real TF-IDF features, the tolerance that ships: every entry of the mean
+    objective's gradient, the intercept's included, is at most 1e-4."""
+    train, _ = E.splits(E.corpus(spark, SF01))
+    counted = stored(T.counts(train, "row_id", "text", T.EXPERIMENT, ["label"]))
+    n = counted.count()
+    vocab = E._vocabulary(counted, "row_id", T.EXPERIMENT, n)
+    frame = E._frame(counted, vocab, "row_id", {"label": "label"})
+    m = LR.fit_logreg(LR.training_frame(frame), n)
+    w, b = m.coefficients.toArray(), m.intercept
+    g, gb = w / n, 0.0
+    for r in frame.collect():
+        z = float(r["features"].dot(w)) + b
+        e = (1.0 / (1.0 + math.exp(-z)) - r["label"]) / n
+        g[r["features"].indices] += e * r["features"].values
+        gb += e
+    assert np.abs(g).max() <= 1e-4 and abs(gb) <= 1e-4
+    assert m.summary.totalIterations < 1000
+
+
 def test_binary_f1_not_weighted(spark):
     # predictions fixed by a model that always says 1: F1 of class 1 only
     X = np.array([[1.0], [1.0], [1.0], [1.0]])

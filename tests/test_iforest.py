@@ -1,6 +1,7 @@
 """M1, M2, M5: forest invariants on a planted outlier, path-length maths and
 partition invariance."""
 
+import hashlib
 import numpy as np
 import pytest
 
@@ -66,3 +67,26 @@ def test_tree_samples_are_exact_size(spark):
     s = IF.sample_trees(keys, "k", 5000, trees=20, psi=64, seed=1)
     counts = {r["tree"]: r["count"] for r in s.groupBy("tree").count().collect()}
     assert len(counts) == 20 and set(counts.values()) == {64}
+
+
+def _plain_sample(n, trees, psi, seed):
+    out = set()
+    for t in range(trees):
+        h = sorted((int(hashlib.md5(f"tree:{seed}:{t // 2}:{k}".encode()).hexdigest()[15 * (t % 2):][:15], 16), k)
+                   for k in range(n))
+        out |= {(t, k) for _, k in h[:psi]}
+    return out
+
+
+def test_sampling_rule_is_one_rule_at_every_size(spark):
+    # above 4 * 200 * 256 rows as below: the psi least draws of all keys
+    for n, trees, psi in ((230_000, 3, 64), (900, 5, 64), (40, 3, 64)):
+        keys = spark.range(n).withColumnRenamed("id", "k")
+        got = {(r["tree"], r["k"]) for r in IF.sample_trees(keys, "k", n, trees=trees, psi=psi, seed=3).collect()}
+        assert got == _plain_sample(n, trees, min(psi, n), 3)
+
+
+def test_small_samples_are_widened_until_whole(spark):
+    keys = spark.range(3000).withColumnRenamed("id", "k")
+    got = IF.sample_trees(keys, "k", 3000, trees=60, psi=2, seed=5)
+    assert {(r["tree"], r["k"]) for r in got.collect()} == _plain_sample(3000, 60, 2, 5)

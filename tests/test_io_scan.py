@@ -49,7 +49,7 @@ def test_nonblank_guards(spark):
     texts = [None, "", "  ", "\t\n", " ", "　"] + ["ok text"] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     assert nonblank_rows(df, "text").count() == 5
-    with pytest.raises(ValueError, match="At least 5"):
+    with pytest.raises(ValueError, match="5 or more"):
         nonblank_rows(df.limit(10), "text")
     with pytest.raises(ValueError, match="empty"):
         nonblank_rows(df.limit(0), "text")

@@ -3,7 +3,7 @@ screen; a row scored by the stream equals the batch score."""
 
 from pyspark.sql import functions as F
 
-from labelsift.streaming import fit_screen, screen_batch, start_screen_stream
+from labelsift.streaming import fit_screen, load_screen, save_screen, screen_batch, start_screen_stream
 
 
 def test_stream_scores_new_files(spark, tmp_path):
@@ -15,7 +15,10 @@ def test_stream_scores_new_files(spark, tmp_path):
     new = spark.createDataFrame([(1000, "ordinary text about topic1 with common words extra3"),
                                  (1001, "zebra quantum xylophone")], "k long, text string")
     new.write.parquet(str(src / "part1"))
-    q = start_screen_stream(spark, str(src / "part1"), new.schema, "k", "text", fitted,
+    # a restarted driver scores with the saved screen
+    save_screen(fitted, str(tmp_path / "screen"))
+    restarted = load_screen(spark, str(tmp_path / "screen"))
+    q = start_screen_stream(spark, str(src / "part1"), new.schema, "k", "text", restarted,
                             str(tmp_path / "out"), str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     out = {r["k"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}

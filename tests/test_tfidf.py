@@ -99,9 +99,9 @@ def test_uncapped_vocabulary_index_is_sorted_position(spark):
     assert len(rows) == len({t for t, _ in rows})
 
 
-def test_text_shuffled_once_after_key_join(spark, capsys):
-    # the corpus view at scale: a sort-merge join on the key; the TF-IDF plan
-    # must not shuffle the text again (only the join's two exchanges remain)
+def test_no_exchange_carries_text(spark, capsys):
+    """Counts and vectors are row-local: on a scan there is no exchange at all,
+    on the corpus view at scale (a sort-merge join) only the join's two."""
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -111,10 +111,31 @@ def test_text_shuffled_once_after_key_join(spark, capsys):
         c = d.join(lab, "doc_id").select(F.col("doc_id").alias("row_id"), "text", "label")
         cfg = T.TfidfConfig(max_features=5)
         vocab = T.fit(c, "row_id", "text", cfg)
-        capsys.readouterr()
-        T.vectors(T.transform(c, "row_id", "text", vocab), "row_id").explain()
-        plan = capsys.readouterr().out
-        assert plan.count("Exchange hashpartitioning") == 2, plan
-        assert "SortMergeJoin" in plan
+        for df, key, n in ((d, "doc_id", 0), (c, "row_id", 2)):
+            capsys.readouterr()
+            T.vectorize(T.counts(df, key, "text", cfg), key, vocab).explain()
+            assert capsys.readouterr().out.count("Exchange") == n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_vocabulary_above_the_broadcast_size_gives_the_same_vectors(spark, monkeypatch):
+    texts = [f"the common w{i % 30} w{(i * 7) % 40} rare{i}" for i in range(80)] + ["", None, "the"]
+    df = docs(spark, texts)
+    for cfg in (T.TfidfConfig(), T.TfidfConfig(sublinear_tf=True, ngram_max=2)):
+        vocab = T.fit(df, "row_id", "text", cfg)
+        c = T.counts(df, "row_id", "text", cfg)
+        row = lambda d: sorted((r["row_id"], r["indices"], [round(v, 12) for v in r["values"]])
+                               for r in d.collect())
+        want = row(T.vectorize(c, "row_id", vocab))
+        monkeypatch.setattr(T, "BROADCAST_MAX_TERMS", 6)
+        assert row(T.vectorize(c, "row_id", vocab)) == want
+        monkeypatch.undo()
+
+
+def test_row_local_counts(spark):
+    got = T.counts(docs(spark, ["b a b c a b", "", None, "z"]), "row_id", "text",
+                   T.TfidfConfig(name="x")).collect()
+    assert [[tuple(x) for x in r["counts"]] for r in got] == [[], [], [], []]
+    got = T.counts(docs(spark, ["bb aa bb cc aa bb", None]), "row_id", "text", T.TfidfConfig()).collect()
+    assert [tuple(x) for x in got[0]["counts"]] == [("aa", 2), ("bb", 3), ("cc", 1)]
