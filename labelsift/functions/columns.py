@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 _EDGE_WS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
+# Fixed value: what a display shows for an absent value.
+DASH = "—"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -59,6 +63,21 @@ def pct(col) -> Column:
     return F.when(F.abs(x) <= 1, x * 100).otherwise(x)
 
 
+def fmt_num(col, decimals: int = 2) -> Column:
+    """Number with thousands separators and ``decimals`` places."""
+    return F.format_number(num(col), decimals)
+
+
+def fmt_pct(col, decimals: int = 1) -> Column:
+    """Percentage points (see ``pct``) with ``decimals`` places and a sign."""
+    return F.format_string(f"%.{decimals}f%%", pct(col))
+
+
+def fmt_mb(col) -> Column:
+    """Bytes as megabytes with two places; a dash for zero or null."""
+    return F.when(num(col) > 0, F.format_string("%.2f MB", num(col) / (1 << 20))).otherwise(F.lit(DASH))
+
+
 def truncate_display(col, width: int = 180) -> Column:
     """Texts longer than ``width`` become the first ``width-3`` chars + '...'."""
     c = _c(col).cast("string")

@@ -46,7 +46,7 @@ def duplicate_count(df: DataFrame, col: str = "text") -> DataFrame:
     digest = F.unhex(F.md5(c.cast("string")))
     return df.agg(
         (F.count(F.lit(1)) - F.count_distinct(digest)
-         - F.max(F.when(c.isNull(), 1).otherwise(0))).cast("bigint").alias("n_duplicates"))
+         - F.coalesce(F.max(F.when(c.isNull(), 1).otherwise(0)), F.lit(0))).cast("bigint").alias("n_duplicates"))
 
 
 def length_stats(df: DataFrame, col: str = "text") -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelsift.functions.columns import DASH, fmt_num, fmt_pct, num
+
 RUN_SCHEMA = (
     "seed int, clean struct<accuracy double, f1 double>, "
     "poisoned struct<accuracy double, f1 double>, "
@@ -261,15 +263,62 @@ def runs_of(doc: DataFrame) -> DataFrame:
     return exploded.unionByName(synth, allowMissingColumns=True)
 
 
+# The parameters of the configuration table, in display order
+# (label, field of the config section, format).
+CONFIG_PARAMETERS = (
+    ("Dataset", "dataset_name", "text"),
+    ("Model", "model_name", "text"),
+    ("Training samples", "train_samples", "count"),
+    ("Test samples", "test_samples", "count"),
+    ("Poison rate", "poison_rate", "percent"),
+    ("Poison strategy", "poison_strategy", "text"),
+    ("Max sequence length", "max_seq_len", "text"),
+    ("Epochs", "epochs", "text"),
+    ("Learning rate", "learning_rate", "text"),
+    ("Batch size", "batch_size", "text"),
+    ("Seeds", "seeds", "list"),
+    ("Detector", "detector", "text"),
+    ("Detector contamination", "detector_contamination", "percent"),
+)
+
+
 def config_rows(doc: DataFrame) -> DataFrame:
-    """The config section as ``(parameter, value)`` rows; arrays are
-    comma-joined, absent values become '—'."""
-    if "config" not in doc.columns or not isinstance(doc.schema["config"].dataType, T.StructType):
-        return doc.sparkSession.createDataFrame([], "parameter string, value string")
-    cdt = doc.schema["config"].dataType
-    entries = []
-    for f in cdt.fields:
-        c = F.col("config").getField(f.name)
-        v = F.concat_ws(", ", c.cast("array<string>")) if isinstance(f.dataType, T.ArrayType) else c.cast("string")
-        entries.append(F.struct(F.lit(f.name).alias("parameter"), F.coalesce(v, F.lit("—")).alias("value")))
-    return doc.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    """The thirteen configuration parameters as ``(parameter, value)``
+    rows: counts with thousands separators, rates in percent, lists joined by
+    commas, a dash for absent text."""
+    def shown(name: str, kind: str) -> Column:
+        c = field(doc, f"config.{name}")
+        if kind == "count":
+            return fmt_num(F.floor(num(c)), 0)
+        if kind == "percent":
+            return fmt_pct(c, 1)
+        if kind == "list":
+            is_list = "config" in doc.columns and name in doc.schema["config"].dataType.fieldNames() and \
+                isinstance(doc.schema["config"].dataType[name].dataType, T.ArrayType)
+            return F.concat_ws(", ", c.cast("array<string>")) if is_list else F.coalesce(c.cast("string"), F.lit(""))
+        return F.coalesce(c.cast("string"), F.lit(DASH))
+
+    rows = [F.struct(F.lit(label).alias("parameter"), shown(name, kind).alias("value"))
+            for label, name, kind in CONFIG_PARAMETERS]
+    return doc.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+
+
+def merged_summary(doc: DataFrame) -> DataFrame:
+    """The raw ``summary`` section with the fifteen normalised metrics
+    written over it; entries of other names stay as they are."""
+    n = _normalised(doc)
+    dt = doc.schema["summary"].dataType if "summary" in doc.columns else None
+    raw = [f for f in dt.fieldNames() if f not in SUMMARY_METRICS] if isinstance(dt, T.StructType) else []
+    return doc.select(*[F.col("summary").getField(f).alias(f) for f in raw],
+                      *[n[m].alias(m) for m in SUMMARY_METRICS])
+
+
+def run_export(runs: DataFrame) -> DataFrame:
+    """K5 rows: the ten columns of the per-run export, from the run's own fields
+    (no fallbacks); absent values stay null."""
+    cells = ("true_positive", "false_positive", "false_negative", "true_negative")
+    return runs.select(
+        field(runs, "seed").alias("seed"),
+        *[_d(field(runs, f"{c}.{m}")).alias(f"{c}_{m}") for m in ("accuracy", "f1") for c in ("clean", "poisoned")],
+        _d(field(runs, "detection.n_flagged")).alias("n_flagged"),
+        *[_d(field(runs, f"detection.confusion_matrix.{c}")).alias(c) for c in cells])

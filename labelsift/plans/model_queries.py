@@ -1,6 +1,6 @@
 """Registered queries whose results depend on fitted models (isolation
-forest, logistic regression) or on file metadata. SQL cannot express them,
-so the driver records the rows-only check; pytest covers their invariants."""
+forest, logistic regression) or on file metadata. The forest's draws are
+hashes, so its oracle grows the same trees in SQL."""
 
 from __future__ import annotations
 
@@ -73,6 +73,13 @@ def q_scan_metrics(spark, sf):
     return r6(_scan(spark, sf).metrics)
 
 
+def q_scan_truth_metrics(spark, sf):
+    """M12 on a table with verified ground truth: the poisoned corpus (P12 finds
+    its ``is_poisoned`` column), so precision, recall and F1 are reported."""
+    p = D.poisoned_corpus(spark, sf)
+    return r6(scan(p, key="row_id").metrics)
+
+
 def q_scan_flagged_display(spark, sf):
     return _scan(spark, sf).display
 
@@ -90,7 +97,8 @@ def q_artifact_manifest(spark, sf):
     names = ["documents", "labels", "conversations"]
     expected = {n: f"{sf.rstrip('/')}/{n}.parquet" for n in names}
     expected["detection_results"] = f"{sf.rstrip('/')}/detection_results.csv"
-    return artifact_manifest(spark, expected).select("artifact", "status", F.col("size") > 0)
+    return artifact_manifest(spark, expected).select(
+        "artifact", "status", (F.col("size") > 0).alias("has_size"))
 
 
 QUERIES = {
@@ -104,6 +112,7 @@ QUERIES = {
     "logreg_recovery": q_logreg_recovery,
     "dataset_scan": q_dataset_scan,
     "scan_metrics": q_scan_metrics,
+    "scan_truth_metrics": q_scan_truth_metrics,
     "scan_flagged_display": q_scan_flagged_display,
     "conversation_scan": q_conversation_scan,
     "artifact_manifest": q_artifact_manifest,
@@ -128,6 +137,11 @@ _SCAN_FLAGS_SQL = flags_sql(
     scores_sql(_SCAN_SRC, T.SCAN, key="doc_id"),
     f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_SCAN_SRC})", key="doc_id")
 
+_TRUTH_SRC = f"SELECT row_id, text FROM ({CORPUS_SQL}) WHERE {_NONBLANK_SQL}"
+_TRUTH_FLAGS_SQL = flags_sql(
+    scores_sql(_TRUTH_SRC, T.SCAN),
+    f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_TRUTH_SRC})")
+
 # Spark numbers the conversations rows in file order itself; the driver
 # file is stored in (conv_id, turn) order with unique keys (checked at every
 # scale), which SQL can state.
@@ -171,6 +185,18 @@ ORACLE: dict[str, str] = {
                CAST(NULL AS DOUBLE) AS f1, 'text' AS text_column, CAST(NULL AS VARCHAR) AS truth_source
         FROM (SELECT count(*) AS total, count(*) FILTER (WHERE detector_flag = 1) AS flagged
               FROM ({_SCAN_FLAGS_SQL}))""",
+    "scan_truth_metrics": f"""
+        SELECT total, flagged, round(flagged / total, 6) AS flag_rate, ap > 0 AND ac > 0 AS both_classes,
+               round(CASE WHEN ap > 0 AND ac > 0 THEN coalesce(tp / nullif(tp + fp, 0), 0.0) END, 6) AS precision,
+               round(CASE WHEN ap > 0 AND ac > 0 THEN coalesce(tp / nullif(tp + fn, 0), 0.0) END, 6) AS recall,
+               round(CASE WHEN ap > 0 AND ac > 0 THEN coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) END, 6) AS f1,
+               'text' AS text_column, 'is_poisoned column' AS truth_source
+        FROM (SELECT count(*) AS total, count(*) FILTER (WHERE f.detector_flag = 1) AS flagged,
+                     count(*) FILTER (WHERE p.is_poisoned = 1) AS ap, count(*) FILTER (WHERE p.is_poisoned = 0) AS ac,
+                     count(*) FILTER (WHERE p.is_poisoned = 1 AND f.detector_flag = 1) AS tp,
+                     count(*) FILTER (WHERE p.is_poisoned = 0 AND f.detector_flag = 1) AS fp,
+                     count(*) FILTER (WHERE p.is_poisoned = 1 AND f.detector_flag = 0) AS fn
+              FROM ({_TRUTH_FLAGS_SQL}) f JOIN ({_POISONED_SQL}) p USING (row_id))""",
     "scan_flagged_display": f"""
         SELECT f.doc_id AS source_row,
                CASE WHEN length(d.text) > 180 THEN substr(d.text, 1, 177) || '...' ELSE d.text END AS text,

@@ -102,6 +102,33 @@ def _doc(spark, sf) -> DataFrame:
         .alias("detection"))
 
 
+def _config_doc(spark, sf) -> DataFrame:
+    """A results document whose config section is measured on seed 1's run."""
+    r = _seed_row(corpus(spark, sf), 1, with_conditions=True)
+    cm = "detection.confusion_matrix"
+    poisoned = F.col(f"{cm}.true_positive") + F.col(f"{cm}.false_negative")
+    return r.select(F.struct(
+        F.lit("documents+labels").alias("dataset_name"), F.lit("majority class").alias("model_name"),
+        F.col("n_clean").alias("train_samples"), F.col("n_test").alias("test_samples"),
+        safe_div(poisoned, F.col("n_clean")).alias("poison_rate"), F.lit("label flip").alias("poison_strategy"),
+        F.array(*[F.lit(s) for s in SEEDS]).alias("seeds"), F.lit("seeded draw").alias("detector"),
+        safe_div(F.col("detection.n_flagged"), F.col("n_clean")).alias("detector_contamination")).alias("config"))
+
+
+def _summary_doc(spark, sf) -> DataFrame:
+    """The seed-1 document with a raw summary section: one entry of a name that
+    normalisation does not know (kept) and one that it overwrites."""
+    d = _doc(spark, sf)
+    return d.withColumn("summary", F.struct(
+        F.struct(F.col("detection.total_samples").cast("double").alias("mean")).alias("rows_seen"),
+        F.lit(-1.0).alias("clean_accuracy")))
+
+
+def _merged_summary(spark, sf) -> DataFrame:
+    m = R.merged_summary(_summary_doc(spark, sf))
+    return r6(m.withColumn("rows_seen", F.col("rows_seen.mean")))
+
+
 def standin_conditions(spark, sf, seed: int = 1) -> DataFrame:
     """Conditions table ``(condition, n_train, n_test, accuracy, f1)`` of the
     stand-in model for clean, poisoned and mitigated training labels."""
@@ -119,7 +146,9 @@ def _recovery(spark, sf):
 
 QUERIES = {
     "impact_recovery": _recovery,
-    "config_table": lambda spark, sf: R.config_rows(_doc(spark, sf)),
+    "config_table": lambda spark, sf: R.config_rows(_config_doc(spark, sf)),
+    "summary_merged": _merged_summary,
+    "run_export": lambda spark, sf: r6(R.run_export(standin_runs(spark, sf))),
     "seed_runs": lambda spark, sf: r6(R.run_rows(standin_runs(spark, sf))),
     "run_table": lambda spark, sf: r6(R.run_table(standin_runs(spark, sf))),
     "impact_table": lambda spark, sf: r6(R.impact_table(standin_runs(spark, sf))),
@@ -211,7 +240,34 @@ ORACLE = {
                round(mitigated_f1 - poisoned_f1, 6) AS f1_recovery,
                n_clean AS clean_samples, n_clean AS poisoned_samples, n_mitigated AS mitigated_samples
         FROM ({_S1})""",
-    "config_table": "SELECT 'random_state' AS parameter, '1' AS value",
+    "config_table": f"""
+        WITH c AS (SELECT n_clean AS n, tp + fn AS poisoned, n_flagged,
+                          (SELECT count(*) FROM ({CORPUS_SQL}) WHERE {hash60_sql('1', 'row_id')} < {_CUT}) AS n_test
+                   FROM ({_S1}))
+        SELECT 'Dataset' AS parameter, 'documents+labels' AS value FROM c
+        UNION ALL SELECT 'Model', 'majority class' FROM c
+        UNION ALL SELECT 'Training samples', format('{{:,}}', n) FROM c
+        UNION ALL SELECT 'Test samples', format('{{:,}}', n_test) FROM c
+        UNION ALL SELECT 'Poison rate', printf('%.1f%%', 100 * poisoned / n) FROM c
+        UNION ALL SELECT 'Poison strategy', 'label flip' FROM c
+        UNION ALL SELECT unnest(['Max sequence length', 'Epochs', 'Learning rate', 'Batch size']), '—' FROM c
+        UNION ALL SELECT 'Seeds', '1, 2, 3' FROM c
+        UNION ALL SELECT 'Detector', 'seeded draw' FROM c
+        UNION ALL SELECT 'Detector contamination', printf('%.1f%%', 100 * n_flagged / n) FROM c""",
+    "summary_merged": f"""
+        SELECT round(tp + fp + fn + tn, 6) AS rows_seen,
+               {_round('clean_accuracy poisoned_accuracy clean_f1 poisoned_f1')},
+               round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop, round(clean_f1 - poisoned_f1, 6) AS f1_drop,
+               round(det_precision, 6) AS detection_precision, round(det_recall, 6) AS detection_recall,
+               round(det_f1, 6) AS detection_f1, round(n_flagged, 6) AS avg_n_flagged,
+               round(coalesce(n_flagged / nullif(floor(tp + fp + fn + tn), 0), 0), 6) AS avg_flag_rate,
+               round(tp, 6) AS true_positive, round(fp, 6) AS false_positive,
+               round(fn, 6) AS false_negative, round(tn, 6) AS true_negative
+        FROM ({_S1})""",
+    "run_export": f"""
+        SELECT seed, {_round('clean_accuracy poisoned_accuracy clean_f1 poisoned_f1 n_flagged')},
+               round(tp, 6) AS true_positive, round(fp, 6) AS false_positive,
+               round(fn, 6) AS false_negative, round(tn, 6) AS true_negative FROM ({_RUNS})""",
     "seed_runs": f"SELECT seed, {_round('clean_accuracy clean_f1 poisoned_accuracy poisoned_f1 n_flagged det_precision det_recall det_f1 tp fp fn tn')} FROM ({_RUNS})",
     "run_table": f"""SELECT seed, round(clean_accuracy, 6) AS clean_accuracy, round(poisoned_accuracy, 6) AS poisoned_accuracy,
                             round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop,
@@ -226,14 +282,6 @@ ORACLE = {
     "run_stats": f"""SELECT n_seeds, {_round(_STAT_COLS)},
                             n_seeds > 1 AND abs(accuracy_drop_std) > abs(coalesce(accuracy_drop_mean, 0)) * 0.5 AS variance_caution
                      FROM ({_STATS.format(runs=_RUNS)})""",
-    "impact_mean_std": f"""
-        SELECT * FROM (
-          SELECT 'clean' AS condition, 'accuracy' AS metric, round(clean_accuracy_mean, 6) AS mean, round(clean_accuracy_std, 6) AS std FROM s
-          UNION ALL SELECT 'clean', 'f1', round(clean_f1_mean, 6), round(clean_f1_std, 6) FROM s
-          UNION ALL SELECT 'poisoned', 'accuracy', round(poisoned_accuracy_mean, 6), round(poisoned_accuracy_std, 6) FROM s
-          UNION ALL SELECT 'poisoned', 'f1', round(poisoned_f1_mean, 6), round(poisoned_f1_std, 6) FROM s)
-        , (SELECT 1) AS one(x) WHERE false
-        UNION ALL SELECT 1""",
     "metric_resolution": f"""
         SELECT {_round('clean_accuracy poisoned_accuracy clean_f1 poisoned_f1')},
                round(clean_accuracy - poisoned_accuracy, 6) AS accuracy_drop, round(clean_f1 - poisoned_f1, 6) AS f1_drop,

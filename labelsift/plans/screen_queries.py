@@ -13,6 +13,7 @@ from labelsift.plans.common import (
     CORPUS_SQL, RATE, SEED, corpus, docs, hash60_sql, poisoned_sql, r6,
     standin_flag_sql, strip_sql,
 )
+from labelsift.session import stored
 from labelsift.sources.corpus import train_test_split
 
 # ---------------------------------------------------------------- step 1
@@ -95,8 +96,8 @@ def q_clean_anti_join(spark, sf):
 
 # ---------------------------------------------------------------- step 2
 # Detection metrics are scored against a stand-in detector flag (an exact
-# seeded draw) so that every metric has an exact SQL oracle; the forest's own
-# flags are scored by the detect plan (rows-only check).
+# seeded draw) so that each metric is checked in isolation; the forest's own
+# flags are scored by the detect plan (model_queries).
 
 
 def _flagged(spark, sf):
@@ -135,12 +136,14 @@ def q_contamination(spark, sf):
 
 
 def _length_scored(spark, sf):
-    return docs(spark, sf).select("doc_id", "text",
-                                  F.char_length("text").cast("double").alias("score"))
+    """Scores by text length, written once: the percentile and histogram passes
+    read the score column alone, never the text again."""
+    d = docs(spark, sf).select("doc_id", "text", F.char_length("text").cast("double").alias("score"))
+    return stored(d, "lengths")
 
 
 def q_score_histogram(spark, sf):
-    return r6(M.histogram(_length_scored(spark, sf), "score", 30))
+    return r6(M.histogram(_length_scored(spark, sf).select("score"), "score", 30))
 
 
 def _threshold(spark, sf):
@@ -272,7 +275,7 @@ ORACLE = {
               FROM ({_PRF.format(flagged=_F)}))""",
     "ground_truth_norm": f"""
         SELECT row_id,
-               CASE WHEN lower({strip_sql('CAST(is_poisoned AS VARCHAR)')}) IN ('1','true','yes','y','poisoned','poison') THEN 1 ELSE 0 END AS truth_flag,
+               CASE WHEN lower({strip_sql('CAST(is_poisoned AS VARCHAR)')}) IN ({", ".join(repr(w) for w in M.TRUTHY)}) THEN 1 ELSE 0 END AS truth_flag,
                CASE WHEN {strip_sql('CAST(original_label AS VARCHAR)')} IS NOT DISTINCT FROM {strip_sql('CAST(label AS VARCHAR)')} THEN 0 ELSE 1 END AS truth_labels
         FROM ({_P})""",
     "contamination": f"""

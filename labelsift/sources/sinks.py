@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
 
-from labelsift.operators.runs import run_matrix
+from labelsift.operators.runs import run_export
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -29,38 +31,59 @@ def results_json(doc: DataFrame) -> DataFrame:
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))
 
 
+def _leaves(schema: T.StructType, prefix: tuple = ()) -> list[tuple[tuple, T.DataType]]:
+    out = []
+    for f in schema.fields:
+        path = (*prefix, f.name)
+        out += _leaves(f.dataType, path) if isinstance(f.dataType, T.StructType) else [(path, f.dataType)]
+    return out
+
+
 def metrics_long(record: DataFrame, run_id: str, section: str) -> DataFrame:
-    """K4 input: a flat one-row record as ``(run_id, section, metric, value)``."""
-    num = [c for c, t in record.dtypes if t in ("double", "float", "int", "bigint", "smallint")]
-    long = record.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
-        [], num, "metric", "value")
-    return long.select(F.lit(run_id).alias("run_id"), F.lit(section).alias("section"), "metric", "value",
-                       F.current_timestamp().alias("written_at"))
+    """K4 input: a one-row record, nested or flat, as ``(run_id, section,
+    metric, value, text)``: dotted names for nested fields, numbers in
+    ``value``, everything else (strings, booleans, arrays as JSON) in
+    ``text``. Nothing is dropped; ``write_seq`` orders the writes of a driver."""
+    rows = []
+    for path, t in _leaves(record.schema):
+        c = F.col(f"`{path[0]}`")
+        for p in path[1:]:
+            c = c.getField(p)
+        number = isinstance(t, T.NumericType)
+        text = F.to_json(c) if isinstance(t, (T.ArrayType, T.MapType)) else c.cast("string")
+        rows.append(F.struct(F.lit(".".join(path)).alias("metric"),
+                             (c.cast("double") if number else F.lit(None).cast("double")).alias("value"),
+                             (F.lit(None).cast("string") if number else text).alias("text")))
+    long = record.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return long.select(F.lit(run_id).alias("run_id"), F.lit(section).alias("section"), "metric", "value", "text",
+                       F.current_timestamp().alias("written_at"),
+                       F.lit(time.time_ns()).cast("bigint").alias("write_seq"))
 
 
 def write_metrics(record: DataFrame, path: str, run_id: str, section: str) -> None:
-    """K4: append a section's metrics; the reference's read-merge-write of one
+    """K4: append a section's fields; the reference's read-merge-write of one
     JSON section becomes an append plus ``latest_metrics`` on read, so
     sections written in any order never erase each other."""
     metrics_long(record, run_id, section).write.mode("append").parquet(path)
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
-    """Latest value per (run_id, section, metric)."""
-    w = Window.partitionBy("run_id", "section", "metric").orderBy(F.desc("written_at"))
-    return metrics.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Latest entry per (run_id, section, metric): the greatest write sequence
+    (a time in nanoseconds), one aggregation combined map-side."""
+    return metrics.groupBy("run_id", "section", "metric").agg(
+        F.max(F.struct("write_seq", "written_at", "value", "text")).alias("m")) \
+        .select("run_id", "section", "metric", "m.value", "m.text", "m.written_at", "m.write_seq")
 
 
 def export_runs(runs: DataFrame, path: str) -> None:
-    """K5: per-run metrics as a flat CSV (seed + 9 metrics)."""
-    write_table(run_matrix(runs), path, "csv")
+    """K5: per-run metrics as a flat CSV (seed + 9 metrics), absent values empty."""
+    write_table(run_export(runs), path, "csv")
 
 
 def export_flagged(flagged: DataFrame, path: str, fmt: str = "csv") -> None:
     """K7: every flagged record, written by the executors (the reference ships
     them through the browser); nested values are serialised with to_json.
     P15: typed columns need no JSON-safe value recode."""
-    from pyspark.sql import types as T
     cols = [F.to_json(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f.name)
             for f in flagged.schema.fields]

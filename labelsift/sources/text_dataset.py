@@ -4,65 +4,134 @@
 first; then *any tab in the first 50 non-blank lines* means ``label<TAB>text``
 (split once, both parts stripped; a line without a tab gives only ``text``);
 then a ``.csv`` / ``.tsv`` suffix; then content that parses as a header CSV
-with more than one column; else one non-blank line per record. Only the
-50-line sample is looked at on the driver; the data itself is read by Spark.
-Malformed UTF-8 is replaced (Spark's text reader does this).
+with more than one column; else one non-blank line per record. A table parse
+fails when any row of the file has more fields than the header; the next
+branch is taken then, so no field is ever lost (missing fields are null).
+Column types are inferred as integers, doubles, booleans or strings.
 
-Differences (supersets): JSON Lines is accepted; ``header=True`` forces the
-header-CSV branch for ``.csv`` / ``.tsv`` even when tabs occur.
+Only the 50-line sample is looked at on the driver; the data itself is read by
+Spark. Malformed UTF-8 is replaced (Spark's text reader does this).
+
+JSON: an array of records, JSON Lines, or one object of columns (arrays, or
+objects keyed by row; scalars are repeated). Nested objects stay nested
+(``flatten_structs`` gives dotted columns).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelsift.functions.columns import strip_ws
 
 SNIFF_LINES = 50
+_PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType,
+          T.StringType)
 
 
-def _csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _reader(spark: SparkSession, sep: str):
     return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("sep", sep).csv(path))
+            .option("sep", sep))
+
+
+def _csv(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
+    """The file as a header table, or None when a row has more fields than the
+    header. One look at the header, one pass for the widths, one for types."""
+    names = _reader(spark, sep).csv(path).columns
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    if not _reader(spark, sep).schema(wide).csv(path).where(F.col(f"c{len(names)}").isNotNull()).isEmpty():
+        return None
+    inferred = _reader(spark, sep).option("inferSchema", True).csv(path).schema
+    schema = T.StructType([f if isinstance(f.dataType, _PLAIN) else T.StructField(f.name, T.StringType())
+                           for f in inferred.fields])
+    return _reader(spark, sep).schema(schema).csv(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines in file order with their position among non-blank lines."""
-    from labelsift.sources.corpus import with_file_order_key
-    raw = spark.read.text(path)
-    return with_file_order_key(raw.where(strip_ws(F.col("value")) != ""), "_line")
+    return spark.read.text(path).where(strip_ws(F.col("value")) != "")
+
+
+def _as_array(c, t: T.DataType, keys: list[str]):
+    """A column object's values in key order, or the array itself."""
+    if isinstance(t, T.ArrayType):
+        return c
+    kinds = {f.name: f.dataType for f in t.fields}
+    same = len({k.simpleString() for k in kinds.values()}) == 1
+    kind = next(iter(kinds.values())) if same else T.StringType()
+    return F.array(*[(c.getField(k) if k in kinds else F.lit(None)).cast(kind) for k in keys])
+
+
+def _columns_document(df: DataFrame) -> DataFrame:
+    """One object of columns -> its rows."""
+    many = [f for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    if not many:
+        return df
+    keys = list(dict.fromkeys(k.name for f in many if isinstance(f.dataType, T.StructType)
+                              for k in f.dataType.fields))
+    names = [f.name for f in many]
+    arrays = [_as_array(F.col(f"`{f.name}`"), f.dataType, keys).alias(f"_{i}") for i, f in enumerate(many)]
+    single = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    rows = df.select(*single, F.arrays_zip(*arrays).alias("_rows")) \
+        .select(*single, F.explode("_rows").alias("_r"))
+    out = rows.select(*single, *[F.col("_r").getField(f"_{i}").alias(n) for i, n in enumerate(names)])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.json(path)  # JSON Lines, or a document on one line
+    whole = "_corrupt_record" in lines.columns
+    df = spark.read.option("multiLine", True).json(path) if whole else lines
+    if "_corrupt_record" in df.columns:
+        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    first = _lines(spark, path).limit(1).collect()
+    if first and first[0]["value"].lstrip().startswith("{") and (whole or len(df.limit(2).collect()) == 1):
+        return _columns_document(df)
+    return df
+
+
+def flatten_structs(df: DataFrame) -> DataFrame:
+    """Nested objects as columns with dotted names."""
+    def leaves(t: T.StructType, path: tuple):
+        for f in t.fields:
+            at = (*path, f.name)
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, at)
+            else:
+                c = F.col(f"`{at[0]}`")
+                for p in at[1:]:
+                    c = c.getField(p)
+                yield c.alias(".".join(at))
+    return df.select(*leaves(df.schema, ()))
 
 
 def read_text_dataset(spark: SparkSession, path: str, mode: str = "reference",
                       header: bool | None = None) -> DataFrame:
+    """The dataset as a table. ``header=True`` forces the header-table branch
+    for ``.csv`` / ``.tsv`` even when tabs occur."""
     name = path.lower().rstrip("/")
     if name.endswith(".json"):
-        df = spark.read.json(path)  # JSON Lines (or a one-line document)
-        if "_corrupt_record" in df.columns:
-            # some line is not a whole JSON value: a pretty-printed document
-            df = spark.read.option("multiLine", True).json(path)
-        if "_corrupt_record" in df.columns:
-            df = df.drop("_corrupt_record")
-        return df
-    suffix_csv = name.endswith(".csv") or name.endswith(".tsv")
-    if header and suffix_csv:
-        return _csv(spark, path, "\t" if name.endswith(".tsv") else ",")
+        return _json(spark, path)
+    suffix = name.endswith(".csv") or name.endswith(".tsv")
+    sep = "\t" if name.endswith(".tsv") else ","
     lines = _lines(spark, path)
-    sample = lines.orderBy("_line").limit(SNIFF_LINES)
-    has_tab = sample.where(F.instr("value", "\t") > 0).limit(1).count() > 0
-    if has_tab:
+    stripped = strip_ws(F.col("value"))
+    if header and suffix:
+        table = _csv(spark, path, sep)
+        return table if table is not None else lines.select(stripped.alias("text"))
+    sample = [r["value"] for r in lines.limit(SNIFF_LINES).collect()]
+    if not sample:
+        raise ValueError("the dataset holds no text")
+    if any("\t" in v for v in sample):
         parts = F.split(F.col("value"), "\t", 2)
         two = F.size(parts) == 2
-        return lines.select(
-            F.when(two, strip_ws(parts.getItem(0))).alias("label"),
-            F.when(two, strip_ws(parts.getItem(1))).otherwise(strip_ws(F.col("value"))).alias("text"),
-            "_line")
-    if suffix_csv:
-        if lines.limit(1).count() == 0:
-            raise ValueError("The uploaded dataset is empty.")
-        return _csv(spark, path, "\t" if name.endswith(".tsv") else ",")
-    probe = _csv(spark, path, ",")
-    if len(probe.columns) > 1:
-        return probe
-    return lines.select(strip_ws(F.col("value")).alias("text"), "_line")
+        return lines.select(F.when(two, strip_ws(F.get(parts, F.lit(0)))).alias("label"),
+                            F.when(two, strip_ws(F.get(parts, F.lit(1)))).otherwise(stripped).alias("text"))
+    if suffix:
+        table = _csv(spark, path, sep)
+        if table is not None:
+            return table
+    table = _csv(spark, path, ",")
+    if table is not None and len(table.columns) > 1:
+        return table
+    return lines.select(stripped.alias("text"))

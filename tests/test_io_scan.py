@@ -8,7 +8,8 @@ from labelsift.operators.scan import find_text_column, flagged_view, nonblank_ro
 from labelsift.sources.artifacts import artifact_manifest
 from labelsift.sources.corpus import CORPUS_SCHEMA, read_corpus
 from labelsift.sources.sinks import latest_metrics, write_metrics, write_table
-from labelsift.sources.text_dataset import read_text_dataset
+from labelsift.sources.text_dataset import flatten_structs, read_text_dataset
+from tests.conftest import SF001
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -62,31 +63,73 @@ def test_display_truncation(spark):
     assert rows[1]["text"] == "a" * 180
 
 
+def _write(tmp_path, name, text):
+    p = tmp_path / name
+    p.write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(p)
+
+
 def test_sniffing_reader(spark, tmp_path):
-    f = tmp_path / "f"
-    f.write_text("spam\tbuy now\tcheap\n\nno tab here\n")
-    rows = read_text_dataset(spark, str(f)).orderBy("_line").collect()
+    rows = read_text_dataset(spark, _write(tmp_path, "f", "spam\tbuy now\tcheap\n\nno tab here\n")).collect()
     assert [(r["label"], r["text"]) for r in rows] == [("spam", "buy now\tcheap"), (None, "no tab here")]
-    e = tmp_path / "e.csv"
-    e.write_text("a,b\n1,2\nx\ty\n")
-    assert set(read_text_dataset(spark, str(e)).columns) == {"label", "text", "_line"}
-    g = tmp_path / "g"
-    g.write_text("text,label\nhello,1\nworld,0\n")
-    assert read_text_dataset(spark, str(g)).columns == ["text", "label"]
-    h = tmp_path / "h.txt"
-    h.write_bytes(b"first line\n\n  second \xff line \n")
-    rows = read_text_dataset(spark, str(h)).orderBy("_line").collect()
-    assert [r["text"] for r in rows] == ["first line", "second � line"]
-    j = tmp_path / "a.json"
-    j.write_text('[{"text": "x", "m": {"k": 1}}, {"text": "y", "m": {"k": 2}}]')
-    assert read_text_dataset(spark, str(j)).count() == 2
-    jl = tmp_path / "b.json"
-    jl.write_text('{"text": "x"}\n{"text": "y"}\n')
-    assert read_text_dataset(spark, str(jl)).count() == 2
-    c = tmp_path / "c.tsv"
-    c.write_text("label\ttext\n1\thello\n")
-    assert read_text_dataset(spark, str(c)).count() == 2  # reference mode: header becomes a row
-    assert read_text_dataset(spark, str(c), header=True).count() == 1
+    e = read_text_dataset(spark, _write(tmp_path, "e.csv", "a,b\n1,2\nx\ty\n"))
+    assert e.columns == ["label", "text"]
+    g = read_text_dataset(spark, _write(tmp_path, "g", "text,label\nhello,1\nworld,0\n"))
+    assert g.dtypes == [("text", "string"), ("label", "int")]
+    rows = read_text_dataset(spark, _write(tmp_path, "h.txt", b"first line\n\n  second \xff line \n")).collect()
+    assert [r["text"] for r in rows] == ["first line", "second \ufffd line"]
+    c = _write(tmp_path, "c.tsv", "label\ttext\n1\thello\n")
+    assert read_text_dataset(spark, c).count() == 2  # reference mode: header becomes a row
+    assert read_text_dataset(spark, c, header=True).count() == 1
+    with pytest.raises(ValueError, match="no text"):
+        read_text_dataset(spark, _write(tmp_path, "i.csv", "\n  \n"))
+
+
+def test_sniffing_reader_ragged_rows_lose_nothing(spark, tmp_path):
+    prose = "Hello, world\nfoo, bar, baz\nplain line\n"
+    for name in ("p", "p.csv"):
+        got = read_text_dataset(spark, _write(tmp_path, name, prose))
+        assert got.columns == ["text"] and [r[0] for r in got.collect()] == prose.splitlines()
+    one = "title\nanother, with comma\nlast\n"
+    got = read_text_dataset(spark, _write(tmp_path, "q.csv", one))
+    assert [r["text"] for r in got.collect()] == one.splitlines()
+    late = "a,b\n" + "1,2\n" * 300 + "3,4,5\n"       # far below the sniffed lines
+    assert read_text_dataset(spark, _write(tmp_path, "r", late)).columns == ["text"]
+    short = read_text_dataset(spark, _write(tmp_path, "s.csv", "a,b\n1\n2,3\n")).collect()
+    assert [tuple(r) for r in short] == [(1, None), (2, 3)]
+
+
+def test_sniffing_reader_infers_types(spark, tmp_path):
+    t = read_text_dataset(spark, _write(tmp_path, "t.csv", "id,foo,x,day\n1,abc,0.5,2024-01-01\n2,def,1,2024-02-01\n"))
+    assert t.dtypes == [("id", "int"), ("foo", "string"), ("x", "double"), ("day", "string")]
+    assert find_text_column(t.schema) == "foo"
+
+
+def test_sniffing_reader_json_forms(spark, tmp_path):
+    def read(name, text):
+        return read_text_dataset(spark, _write(tmp_path, name, text))
+
+    records = read("a.json", '[{"text": "x", "m": {"k": 1}}, {"text": "y", "m": {"k": 2}}]')
+    assert [(r["text"], r["m"]["k"]) for r in records.collect()] == [("x", 1), ("y", 2)]
+    assert flatten_structs(records).columns == ["m.k", "text"] or flatten_structs(records).columns == ["text", "m.k"]
+    assert read("b.json", '{"text": "x"}\n{"text": "y"}\n').count() == 2
+    cols = read("c.json", '{"text":["a","b","c"],"label":[0,1,0]}')
+    assert sorted((r["text"], r["label"]) for r in cols.collect()) == [("a", 0), ("b", 1), ("c", 0)]
+    pretty = read("d.json", '{\n "text": ["a", "b"],\n "label": 1\n}')
+    assert sorted((r["text"], r["label"]) for r in pretty.collect()) == [("a", 1), ("b", 1)]
+    keyed = read("e.json", '{"text":{"0":"a","1":"b"},"l":{"0":1}}')
+    assert [(r["text"], r["l"]) for r in keyed.collect()] == [("a", 1), ("b", None)]
+
+
+def test_file_forms_of_a_table_read_back(spark, tmp_path):
+    """A given table written as CSV, TSV and JSON Lines reads back alike."""
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang").limit(40)
+    want = sorted(tuple(r) for r in d.collect())
+    write_table(d.coalesce(1), str(tmp_path / "x.csv"), "csv")
+    d.coalesce(1).write.json(str(tmp_path / "y.json"))
+    for name in ("x.csv", "y.json"):
+        got = read_text_dataset(spark, str(tmp_path / name), header=True).select("doc_id", "text", "lang")
+        assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_artifact_manifest(spark, tmp_path):
@@ -95,6 +138,15 @@ def test_artifact_manifest(spark, tmp_path):
     m = {r["artifact"]: r for r in artifact_manifest(spark, {"x": str(p), "y": str(tmp_path / "missing")}).collect()}
     assert m["x"]["status"] == "READY" and m["x"]["size"] == 3
     assert m["y"]["status"] == "MISSING" and m["y"]["size"] == 0
+    assert m["y"]["modified"] == m["y"]["size_shown"] == "—" and m["x"]["size_shown"] == "0.00 MB"
+
+
+def test_artifact_manifest_of_a_folder(spark, tmp_path):
+    out = str(tmp_path / "table")
+    spark.range(1000).repartition(3).write.parquet(out)
+    m = artifact_manifest(spark, {"t": out}).first()
+    size = sum(f.stat().st_size for f in (tmp_path / "table").iterdir() if f.name.startswith("part-"))
+    assert m["status"] == "READY" and m["size"] == size
 
 
 def test_metrics_append_latest(spark, tmp_path):
@@ -106,6 +158,33 @@ def test_metrics_append_latest(spark, tmp_path):
     assert got == {"precision": 0.7, "flagged": 12.0}
 
 
+def test_metrics_keep_strings_and_nested_cells(spark, tmp_path):
+    rec = spark.sql("SELECT 'Isolation Forest' AS detector, 0.5D AS f1, true AS ok, "
+                    "named_struct('tp', 3L, 'fp', CAST(NULL AS BIGINT)) AS cells, array(1, 2) AS seeds")
+    out = str(tmp_path / "m")
+    write_metrics(rec, out, "r1", "detection")
+    got = {r["metric"]: (r["value"], r["text"]) for r in latest_metrics(spark.read.parquet(out)).collect()}
+    assert got == {"detector": (None, "Isolation Forest"), "f1": (0.5, None), "ok": (None, "true"),
+                   "cells.tp": (3.0, None), "cells.fp": (None, None), "seeds": (None, "[1,2]")}
+
+
+def test_scan_refuses_a_key_that_repeats(spark):
+    rows = [(i % 9, f"text number {i} with words") for i in range(10)]
+    with pytest.raises(ValueError, match="not a row key"):
+        scan(spark.createDataFrame(rows, "k long, text string"), key="k", trees=5, psi=8)
+
+
+def test_scan_plan_moves_no_text(spark, capsys):
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "source")
+    for df, key in ((d, "doc_id"), (d.select("text", "source"), None)):
+        res = scan(df, key=key, trees=10, psi=16)
+        capsys.readouterr()
+        res.scored.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and "Sort" not in plan and "Join" not in plan
+        assert res.scored.count() == d.count()
+
+
 def test_scan_end_to_end(spark):
     texts = [f"regular review about the film number {i % 5} with shared words" for i in range(60)]
     texts += ["zebra quantum xylophone anomaly", "zebra quantum violin anomaly"]

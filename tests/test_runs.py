@@ -95,7 +95,7 @@ def test_missing_or_invalid_results(spark, tmp_path):
 def test_config_rows(spark, tmp_path):
     doc = read_results(spark, write_json(tmp_path, "c.json", {"config": {"dataset_name": "X", "seeds": [1, 2]}}))
     rows = {r["parameter"]: r["value"] for r in R.config_rows(doc).collect()}
-    assert rows == {"dataset_name": "X", "seeds": "1, 2"}
+    assert rows["Dataset"] == "X" and rows["Seeds"] == "1, 2" and rows["Detector"] == "—"
 
 
 def test_recovery_record_and_sinks(spark, tmp_path):
@@ -124,3 +124,42 @@ def test_recovery_record_and_sinks(spark, tmp_path):
     export_flagged(flagged, str(tmp_path / "flagged"))
     back = spark.read.option("header", True).option("escape", "\"").csv(str(tmp_path / "flagged"))
     assert back.first()["m"] == '{"a":1}'
+
+
+def test_run_export_keeps_nulls_and_ten_columns(spark, tmp_path):
+    doc = read_results(spark, write_json(tmp_path, "x.json", {"runs": RUNS3}))
+    rows = {r["seed"]: r for r in R.run_export(R.runs_of(doc)).collect()}
+    assert R.run_export(R.runs_of(doc)).columns == [
+        "seed", "clean_accuracy", "poisoned_accuracy", "clean_f1", "poisoned_f1", "n_flagged",
+        "true_positive", "false_positive", "false_negative", "true_negative"]
+    assert rows[2]["clean_f1"] is None and rows[2]["n_flagged"] is None and rows[2]["true_positive"] is None
+    assert rows[1]["true_negative"] == 88 and rows[3]["n_flagged"] == 8
+
+
+def test_merged_summary_keeps_unknown_entries(spark, tmp_path):
+    doc = read_results(spark, write_json(tmp_path, "m.json", {
+        "summary": {"note": "kept", "clean_accuracy": 0.1, "extra": {"mean": 3, "std": 1}},
+        "clean_model": {"accuracy": 0.9, "f1": 0.8}}))
+    m = R.merged_summary(doc).first()
+    assert m["note"] == "kept" and m["extra"]["mean"] == 3 and m["clean_accuracy"] == 0.9
+    assert set(R.SUMMARY_METRICS) <= set(R.merged_summary(doc).columns)
+
+
+def test_config_table_defaults_and_formats(spark, tmp_path):
+    doc = read_results(spark, write_json(tmp_path, "c.json", {
+        "config": {"train_samples": 25000.7, "poison_rate": 0.05, "seeds": [1, 2], "epochs": 3,
+                   "detector_contamination": 12.5}}))
+    got = {r["parameter"]: r["value"] for r in R.config_rows(doc).collect()}
+    assert len(got) == 13
+    assert got["Training samples"] == "25,000" and got["Test samples"] == "0"
+    assert got["Poison rate"] == "5.0%" and got["Detector contamination"] == "12.5%"
+    assert got["Seeds"] == "1, 2" and got["Epochs"] == "3" and got["Model"] == "—"
+    none = {r["parameter"]: r["value"] for r in R.config_rows(spark.sql("SELECT 1 AS x")).collect()}
+    assert len(none) == 13 and none["Seeds"] == "" and none["Poison rate"] == "0.0%"
+
+
+def test_number_formats(spark):
+    from labelsift.functions.columns import fmt_mb, fmt_num, fmt_pct
+    r = spark.sql("SELECT 1234567.891D AS x, 0.0576D AS p, 5767168L AS b, 'n/a' AS bad, CAST(NULL AS BIGINT) AS z").select(
+        fmt_num("x"), fmt_num("x", 0), fmt_pct("p"), fmt_pct("x", 2), fmt_mb("b"), fmt_num("bad"), fmt_mb("z")).first()
+    assert tuple(r) == ("1,234,567.89", "1,234,568", "5.8%", "1234567.89%", "5.50 MB", "0.00", "—")
