@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +113,25 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
     return spark.createDataFrame([tuple(row.values())], schema)
 
 
+def fitted_model(spark: SparkSession, sf: str, poisoned: bool, seed: int = SEED, rate: float = RATE,
+                 cfg: T.TfidfConfig = T.EXPERIMENT) -> DataFrame:
+    """M6/M7: intercept and mean held-out probability of one fitted model (the
+    real-valued part that predicted classes hide), one row."""
+    train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
+    flipped = X.flip_labels(train, "row_id", "label", rate, seed)
+    counted = stored(T.counts(flipped, "row_id", "text", cfg, ["label", "original_label"]), "counts")
+    n_train = counted.count()
+    vocab = _vocabulary(counted, "row_id", cfg, n_train)
+    label = "label" if poisoned else "original_label"
+    frame = LR.training_frame(materialize(_frame(counted, vocab, "row_id", {"label": label})))
+    model = LR.fit_logreg(frame, n_train)
+    frame.unpersist()
+    held = _frame(T.counts(test, "row_id", "text", cfg, ["label"]), vocab, "row_id", {"label": "label"})
+    return model.transform(held).agg(F.avg(vector_to_array("probability")[1]).alias("mean_probability")) \
+        .select(F.lit(n_train).cast("bigint").alias("n_train"), F.lit(model.intercept).alias("intercept"),
+                "mean_probability")
+
+
 def conditions(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
                cfg: T.TfidfConfig = T.MITIGATION, max_iter: int = 1000,
                mitigate_by: str = "is_poisoned") -> DataFrame:

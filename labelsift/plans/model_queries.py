@@ -13,6 +13,8 @@ from labelsift.plans import experiment as E
 from labelsift.operators import tfidf as T
 from labelsift.plans.common import CORPUS_SQL, RATE, SEED, docs, poisoned_sql, r6, strip_sql
 from labelsift.plans.forest_sql import flags_sql, scores_sql
+from labelsift.plans.logreg_sql import confusion_sql, scores_of
+from labelsift.plans.text_queries import MITIGATED_SQL, TEST_SQL, TRAIN_SQL
 from labelsift.sources.artifacts import artifact_manifest
 
 
@@ -49,7 +51,19 @@ def q_mitigate_by_detector(spark, sf):
 
 
 def q_logreg_impact(spark, sf):
-    return E.impact(spark, sf)
+    """The impact document's fields as columns."""
+    d = E.impact(spark, sf)
+    return r6(d.select("config.train_samples", "config.test_samples", "config.poisoned_samples",
+                       *[F.col(f"{m}.{x}").alias(f"{m}_{x}") for m in ("clean_model", "poisoned_model")
+                         for x in ("accuracy", "f1")], "impact.accuracy_drop", "impact.f1_drop"))
+
+
+def q_logreg_fit(spark, sf):
+    """Real-valued results of the two fits at 2 decimals (what the solver tolerance
+    supports)."""
+    rows = [E.fitted_model(spark, sf, poisoned).select(F.lit(name).alias("model"), "*")
+            for name, poisoned in (("clean", False), ("poisoned", True))]
+    return r6(rows[0].unionByName(rows[1]), 2)
 
 
 def q_logreg_conditions(spark, sf):
@@ -108,6 +122,7 @@ QUERIES = {
     "detection_metrics": q_detection_metrics,
     "mitigate_by_detector": q_mitigate_by_detector,
     "logreg_impact": q_logreg_impact,
+    "logreg_fit": q_logreg_fit,
     "logreg_conditions": q_logreg_conditions,
     "logreg_recovery": q_logreg_recovery,
     "dataset_scan": q_dataset_scan,
@@ -151,7 +166,38 @@ _CONV_FLAGS_SQL = flags_sql(
     scores_sql(_CONV_SRC, T.SCAN, key="source_row"),
     f"SELECT least(0.05, greatest(1.0 / count(*), 0.001)) AS c FROM ({_CONV_SRC})", key="source_row")
 
+_FLIPPED_TRAIN = poisoned_sql(SEED, RATE, TRAIN_SQL)
+_CLEAN_LR = scores_of(confusion_sql(TRAIN_SQL, TEST_SQL, T.EXPERIMENT))
+_FLIPPED_LR = scores_of(confusion_sql(_FLIPPED_TRAIN, TEST_SQL, T.EXPERIMENT))
+_CONDITIONS = " UNION ALL ".join(
+    f"SELECT '{name}' AS condition, * FROM ({scores_of(confusion_sql(train, TEST_SQL, T.MITIGATION))})"
+    for name, train in (("clean", TRAIN_SQL), ("poisoned", _FLIPPED_TRAIN), ("mitigated", MITIGATED_SQL)))
+
 ORACLE: dict[str, str] = {
+    "logreg_impact": f"""
+        SELECT c.n_train AS train_samples, c.n_test AS test_samples,
+               (SELECT CAST(sum(is_poisoned) AS BIGINT) FROM ({_FLIPPED_TRAIN})) AS poisoned_samples,
+               round(c.accuracy, 6) AS clean_model_accuracy, round(c.f1, 6) AS clean_model_f1,
+               round(p.accuracy, 6) AS poisoned_model_accuracy, round(p.f1, 6) AS poisoned_model_f1,
+               round(c.accuracy - p.accuracy, 6) AS accuracy_drop, round(c.f1 - p.f1, 6) AS f1_drop
+        FROM ({_CLEAN_LR}) c, ({_FLIPPED_LR}) p""",
+    "logreg_fit": " UNION ALL ".join(
+        f"SELECT '{name}' AS model, n_train, round(intercept, 2) AS intercept, "
+        f"round(mean_probability, 2) AS mean_probability FROM ({confusion_sql(train, TEST_SQL, T.EXPERIMENT)})"
+        for name, train in (("clean", TRAIN_SQL), ("poisoned", _FLIPPED_TRAIN))),
+    "logreg_conditions": f"""
+        SELECT condition, n_train, n_test, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM ({_CONDITIONS})""",
+    "logreg_recovery": f"""
+        WITH k AS MATERIALIZED ({_CONDITIONS}),
+        c AS (SELECT * FROM k WHERE condition = 'clean'), p AS (SELECT * FROM k WHERE condition = 'poisoned'),
+        m AS (SELECT * FROM k WHERE condition = 'mitigated')
+        SELECT round(c.accuracy, 6) AS clean_accuracy, round(p.accuracy, 6) AS poisoned_accuracy,
+               round(m.accuracy, 6) AS mitigated_accuracy, round(c.f1, 6) AS clean_f1, round(p.f1, 6) AS poisoned_f1,
+               round(m.f1, 6) AS mitigated_f1, round(c.accuracy - p.accuracy, 6) AS accuracy_drop,
+               round(c.f1 - p.f1, 6) AS f1_drop, round(m.accuracy - p.accuracy, 6) AS accuracy_recovery,
+               round(m.f1 - p.f1, 6) AS f1_recovery, c.n_train AS clean_samples, p.n_train AS poisoned_samples,
+               m.n_train AS mitigated_samples
+        FROM c, p, m""",
     "iforest_scores": f"SELECT row_id, round(score, 6) AS score FROM ({_SCORES_SQL})",
     "iforest_flags": f"SELECT row_id, round(anomaly_score, 6) AS anomaly_score, detector_flag FROM ({_FLAGS_SQL})",
     "detection_output": f"""

@@ -87,9 +87,9 @@ QUERIES = {
 }
 
 _CUT = int(TEST_RATE * (1 << 60))
-_TRAIN = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(SEED), 'row_id')} >= {_CUT}"
-_TEST = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(SEED), 'row_id')} < {_CUT}"
-_MITIGATED = f"SELECT * FROM ({poisoned_sql(SEED, RATE, _TRAIN)}) WHERE is_poisoned = 0"
+TRAIN_SQL = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(SEED), 'row_id')} >= {_CUT}"
+TEST_SQL = f"SELECT * FROM ({CORPUS_SQL}) WHERE {hash60_sql(str(SEED), 'row_id')} < {_CUT}"
+MITIGATED_SQL = f"SELECT * FROM ({poisoned_sql(SEED, RATE, TRAIN_SQL)}) WHERE is_poisoned = 0"
 _DOCS = "SELECT doc_id, text FROM documents"
 
 
@@ -104,8 +104,8 @@ ORACLE = {
     "doc_freq": doc_freq_sql(CORPUS_SQL, T.DETECT),
     "vocabulary_topk": f"SELECT term, idx, df, ctf, round(idf, 6) AS idf FROM ({vocab_sql(CORPUS_SQL, T.DETECT)})",
     "tfidf_detect": _w(tfidf_sql(CORPUS_SQL, T.DETECT)),
-    "tfidf_experiment": _w(tfidf_sql(_TRAIN, T.EXPERIMENT)),
-    "tfidf_heldout_transform": _w(tfidf_sql(_TRAIN, T.EXPERIMENT, _TEST)),
-    "tfidf_mitigation": _w(tfidf_sql(_MITIGATED, T.MITIGATION)),
+    "tfidf_experiment": _w(tfidf_sql(TRAIN_SQL, T.EXPERIMENT)),
+    "tfidf_heldout_transform": _w(tfidf_sql(TRAIN_SQL, T.EXPERIMENT, TEST_SQL)),
+    "tfidf_mitigation": _w(tfidf_sql(MITIGATED_SQL, T.MITIGATION)),
     "tfidf_scan": _w(tfidf_sql(_DOCS, T.SCAN, key="doc_id"), key="doc_id"),
 }
