@@ -68,11 +68,11 @@ class _Layer:
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Span of the original text behind ``start:end`` here."""
-        if self.parent is None:
-            return start, end
-        if self.whole:
-            return self.parent.origin(*self.whole)
-        return self.parent.origin(self._back(start, 0), self._back(end - 1, 1))
+        layer = self
+        while layer.parent is not None:        # layers can be nested thousands deep
+            start, end = layer.whole or (layer._back(start, 0), layer._back(end - 1, 1))
+            layer = layer.parent
+        return start, end
 
     def _back(self, i: int, after: int) -> int:
         k = bisect_right(self.at, i) - 1
@@ -282,4 +282,4 @@ def op8_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
-        "spans", "n_layers")
+        "spans", "n_layers", "truncated")

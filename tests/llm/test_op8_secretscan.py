@@ -66,6 +66,12 @@ def test_part_encoded_secrets_and_neighbours():
     assert [k for k, _ in spans(both)] == ["assign", "assign"]
 
 
+def test_thousands_of_nested_layers():
+    t = "x %" + "25" * 3000 + "41KIA" + "Z" * 14 + " y"
+    _, spans_, n, cut = secretscan.scan_text(t)
+    assert n == 3001 and not cut and spans_ == [(2, "access", len(t) - 2)]
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     assert secretscan.scan_text("%25" * 2000)[2] >= 1        # unwraps layer by layer
     t = "%2525252541KIA"
