@@ -37,13 +37,17 @@ def model_frame(vecs: DataFrame, labels: DataFrame, key: str, size: int,
     return with_vectors(vecs.join(lab, key).select(key, *names.keys(), "indices", "values"), size)
 
 
-def training_frame(frame: DataFrame) -> DataFrame:
+ROWS_PER_TASK = 512  # below this a task's gradient costs less than its launch
+
+
+def training_frame(frame: DataFrame, n: int | None = None) -> DataFrame:
     """Size a training frame for the many passes of L-BFGS: at most one
     partition per core of the cluster (an iteration costs a job whose tasks
-    each emit a dense gradient), cached once."""
+    each emit a dense gradient) and, for ``n`` rows, none of a few rows only;
+    cached once."""
     sc = frame.sparkSession.sparkContext
     parts = frame.rdd.getNumPartitions()
-    target = max(1, min(parts, sc.defaultParallelism))
+    target = max(1, min(parts, sc.defaultParallelism, -(-n // ROWS_PER_TASK) if n else parts))
     if target < parts:
         frame = frame.coalesce(target)
     return frame.persist(StorageLevel.MEMORY_AND_DISK)

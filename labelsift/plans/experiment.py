@@ -63,7 +63,7 @@ def _fit_and_score(counted: DataFrame, tested: DataFrame, cfg: T.TfidfConfig, ke
                    max_iter: int) -> DataFrame:
     n_train = counted.count()
     vocab = _vocabulary(counted, key, cfg, n_train)
-    frame = LR.training_frame(materialize(_frame(counted, vocab, key, {"label": label})))
+    frame = LR.training_frame(materialize(_frame(counted, vocab, key, {"label": label})), n_train)
     model = LR.fit_logreg(frame, n_train, max_iter)
     frame.unpersist()
     test_label = label if label in tested.columns else "label"
@@ -85,7 +85,7 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
     n_train = counted.count()
     vocab = _vocabulary(counted, "row_id", cfg, n_train)
     frame = LR.training_frame(materialize(_frame(
-        counted, vocab, "row_id", {"clean_label": "original_label", "poisoned_label": "label"})))
+        counted, vocab, "row_id", {"clean_label": "original_label", "poisoned_label": "label"})), n_train)
     # the two fits and the test frame (which needs only the fitted vocabulary)
     # are independent jobs: run them side by side
     clean_m, pois_m, test_frame = LR.fit_concurrently([
@@ -123,7 +123,7 @@ def fitted_model(spark: SparkSession, sf: str, poisoned: bool, seed: int = SEED,
     n_train = counted.count()
     vocab = _vocabulary(counted, "row_id", cfg, n_train)
     label = "label" if poisoned else "original_label"
-    frame = LR.training_frame(materialize(_frame(counted, vocab, "row_id", {"label": label})))
+    frame = LR.training_frame(materialize(_frame(counted, vocab, "row_id", {"label": label})), n_train)
     model = LR.fit_logreg(frame, n_train)
     frame.unpersist()
     held = _frame(T.counts(test, "row_id", "text", cfg, ["label"]), vocab, "row_id", {"label": "label"})
