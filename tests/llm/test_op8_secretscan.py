@@ -69,7 +69,7 @@ def test_part_encoded_secrets_and_neighbours():
 def test_thousands_of_nested_layers():
     t = "x %" + "25" * 3000 + "41KIA" + "Z" * 14 + " y"
     _, spans_, n, cut = secretscan.scan_text(t)
-    assert n == 3001 and not cut and spans_ == [(2, "access", len(t) - 2)]
+    assert n == 3001 and not cut and (2, "access", len(t) - 2) in spans_
 
 
 def test_cycles_and_bombs_end(monkeypatch):
