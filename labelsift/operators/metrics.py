@@ -18,16 +18,18 @@ from labelsift.operators.quantile import exact_percentile
 TRUTHY = ("1", "true", "yes", "y", "poisoned", "poison")
 
 
+def _cells(truth: str, pred: str) -> list[Column]:
+    """A9 aggregates over the fixed labels {0, 1}."""
+    t, p = F.col(truth), F.col(pred)
+    return [F.count_if((t == a) & (p == b)).alias(name)
+            for name, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+
+
 def confusion(df: DataFrame, truth: str = "is_poisoned", pred: str = "detector_flag",
               by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts over the fixed labels {0, 1}; an absent class still
     yields 0. Columns ``tn, fp, fn, tp`` (BIGINT)."""
-    t, p = F.col(truth), F.col(pred)
-    aggs = [F.count_if((t == 0) & (p == 0)).alias("tn"),
-            F.count_if((t == 0) & (p == 1)).alias("fp"),
-            F.count_if((t == 1) & (p == 0)).alias("fn"),
-            F.count_if((t == 1) & (p == 1)).alias("tp")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return df.groupBy(*by).agg(*_cells(truth, pred))
 
 
 def with_prf(conf: DataFrame) -> DataFrame:
@@ -46,12 +48,8 @@ def score_flags(df: DataFrame, truth: str = "is_poisoned", pred: str = "detector
     aggs = [F.count(F.lit(1)).alias("total"),
             F.count_if(t == 1).alias("actual_poisoned"),
             F.count_if(t == 0).alias("actual_clean"),
-            F.count_if(p == 1).alias("flagged"),
-            F.count_if((t == 0) & (p == 0)).alias("tn"),
-            F.count_if((t == 0) & (p == 1)).alias("fp"),
-            F.count_if((t == 1) & (p == 0)).alias("fn"),
-            F.count_if((t == 1) & (p == 1)).alias("tp")]
-    base = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+            F.count_if(p == 1).alias("flagged"), *_cells(truth, pred)]
+    base = df.groupBy(*by).agg(*aggs)
     return with_prf(base).withColumn("flag_rate", safe_div("flagged", "total")) \
                          .withColumn("poison_rate", safe_div("actual_poisoned", "total"))
 
@@ -112,6 +110,11 @@ def contamination_unsupervised(n: Column | int) -> Column:
     return F.least(F.lit(0.05), F.greatest(F.lit(1.0) / c, F.lit(0.001)))
 
 
+def contamination_for(n: int) -> float:
+    """M4 as a number."""
+    return min(0.05, max(1.0 / n, 0.001))
+
+
 def contamination_offset(df: DataFrame, score: str, contamination: float) -> float:
     """M5 offset: the interpolated ``100*contamination`` percentile of
     ``-score`` (exact, no global sort)."""
@@ -130,10 +133,7 @@ def flag_by_contamination(df: DataFrame, score: str, contamination: float,
                           flag: str = "flag", shifted: str = "anomaly_score") -> DataFrame:
     """M5 + P14: offset from the training scores themselves, then a row is
     flagged iff it lies strictly beyond the percentile."""
-    offset = contamination_offset(df, score, contamination)
-    shifted_col = F.col(score) + F.lit(offset)
-    return df.withColumn(shifted, shifted_col).withColumn(
-        flag, F.when(F.col(shifted) > 0, 1).otherwise(0))
+    return apply_offset(df, score, contamination_offset(df, score, contamination), flag, shifted)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

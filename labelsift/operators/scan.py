@@ -113,7 +113,7 @@ def scan(df: DataFrame, key: str | None = None, text_col: str | None = None,
     require_records(df, n)
     if given is not None:
         _require_unique(counted, "_key")
-    contamination = min(0.05, max(1.0 / n, 0.001))
+    contamination = M.contamination_for(n)
     vocab = TF.fit_counts(TF.explode_counts(counted, "_key"), cfg, n)
     vocab.table = materialize(vocab.table)
     vocab.size = vocab.table.count()

@@ -46,7 +46,7 @@ def fit_screen(df: DataFrame, key: str, text: str, cfg: T.TfidfConfig = T.SCAN,
                seed: int = 42) -> FittedScreen:
     from labelsift.plans.detect import featurize
     n = df.count()
-    c = contamination if contamination is not None else min(0.05, max(1.0 / n, 0.001))
+    c = contamination if contamination is not None else M.contamination_for(n)
     vecs, size, vocab = featurize(df, key, text, cfg, n)
     nodes, psi_eff, depth = IF.fit_nodes(vecs, key, size, n, trees, psi, seed)
     forest = IF.collect_forest(nodes, psi_eff, depth).compact(size)
