@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,22 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def blocks(batches, column: str = "text", limit: int = 1 << 22):
+    """Arrow batches cut into slices of at most ``limit`` bytes of ``column``
+    (one row at least), so that a worker never holds Python objects of a whole
+    batch of long texts."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > at and held + n > limit:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if b.num_rows > at:
+            yield b.slice(at)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partition count (the cluster's choice)."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

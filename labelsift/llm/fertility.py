@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import packed, prepare, row_key, table, written
+from labelsift.llm.common import blocks, packed, prepare, row_key, table, written
 
 FENCE = 5.0
 MIN_GROUP = 30
@@ -169,7 +169,7 @@ _SCHEMA = ("doc_id bigint, text_hash bigint, lang string, n_words bigint, word_c
 def _measure(paths: tuple[str, str]):
     def run(batches):
         memo = _Words(paths)
-        for b in batches:
+        for b in blocks(batches):
             texts = b.column("text").to_pylist()
             at = 0
             while at < len(texts):

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import keyed_text, prepare, table
+from labelsift.llm.common import blocks, keyed_text, prepare, table
 
 PER_LANG = 1000
 LANDMARKS = 384
@@ -109,7 +109,7 @@ class LanguageModel:
 
 
 def _sample_grams(batches):
-    for b in batches:
+    for b in blocks(batches):
         out = []
         for lang, order, text in zip(*(b.column(c).to_pylist() for c in ("lang", "k", "text"))):
             _, cols = _presence([text.lower().encode()], _byte_classes(), _BASE)
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             lang, score = shared.value.predict(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)],
                                   names=["doc_id", "lang_pred", "score"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import packed, prepare, row_key, table, written
+from labelsift.llm.common import blocks, packed, prepare, row_key, table, written
 from labelsift.llm.langid import labelled_sample
 
 PER_DOMAIN = 1200
@@ -36,8 +36,8 @@ MAX_FEATURES = 2000
 MIN_CHI2 = 12.0
 # The query's domains, their target share of all tokens, and the domains that
 # may fall below what the corpus has of them.
-TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
-REDUCED = ("toxic",)
+TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
+REDUCED = ("low", "toxic")
 MAX_STEPS = 100
 TOLERANCE = 1e-6
 REWRITE = 16
@@ -105,8 +105,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _sample_features(batches):
-    for b in batches:
-        f = _Features()
+    f = _Features()
+    for b in blocks(batches):
         rows = [np.sort(f.of(t)[1]) for t in b.column("text").to_pylist()]
         yield pa.record_batch([b.column("lang"),
                                pa.array([i.astype("<i4").tobytes() for i in rows], pa.binary())],
@@ -181,7 +181,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
     def run(batches):
         f, m = _Features(), shared.value
-        for b in batches:
+        for b in blocks(batches):
             count, ps = [], []
             texts = b.column("text").to_pylist()
             for at in range(0, len(texts), 256):

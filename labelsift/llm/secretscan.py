@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import keyed_text, prepare, table
+from labelsift.llm.common import blocks, keyed_text, prepare, table
 
 KINDS = ("assign", "access", "hex")
 MAX_DECODED = 1 << 26
@@ -221,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null text is empty and has no spans; repeated rows are scanned each; an
     empty table gives no rows."""
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 base, every, n, cut = scan_text(t)
@@ -262,7 +262,7 @@ def redact(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             old = b.column("text").to_pylist()
             new = [None if t is None else redacted(t) for t in old]
             cols = list(b.columns)

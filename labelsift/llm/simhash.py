@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelsift.llm.common import (
-    keyed_text, packed, prepare, row_key, shuffle_width, table, written)
+    blocks, keyed_text, packed, prepare, row_key, shuffle_width, table, written)
 from labelsift.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> DataFrame:
     """``(doc_id, text_hash, fp BIGINT)``, one row per input row."""
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             fps = [simhash64(t, words, seed) for t in b.column("text").to_pylist()]
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("text_hash"),

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import keyed_text, prepare, table, written
+from labelsift.llm.common import blocks, keyed_text, prepare, table, written
 
 LENGTH = 400
 QGRAM = 64
@@ -122,7 +122,7 @@ def _runs(length: int, q: int):
             names=["doc_id", "text_hash", "pos", "lo", "hi", "core", "extent"])
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             rows, size = [], 0
             for r in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(),
                          b.column("text").to_pylist()):
@@ -146,7 +146,7 @@ def _contexts(length: int):
     """Rows (doc, its open runs) -> one row per run with the bytes its windows
     cover."""
     def run(batches):
-        for b in batches:
+        for b in blocks(batches):
             out, size = [], 0
             for i, h, t, runs in zip(*(b.column(c).to_pylist()
                                        for c in ("doc_id", "text_hash", "text", "runs"))):
@@ -177,7 +177,7 @@ def _blocks(length: int, step: int):
     """Rows with a context and a block (from, to) of offsets to split -> its
     aligned sub-blocks of ``step`` offsets, with core and extent."""
     def run(batches):
-        for b in batches:
+        for b in blocks(batches, "around"):
             out = []
             for i, h, p, top, o, around, x, y in zip(*(
                     b.column(c).to_pylist() for c in
@@ -233,7 +233,7 @@ def _refine(items: DataFrame, length: int, last: bool) -> tuple[DataFrame, DataF
 
 def _cut(batches):
     """Rows (doc_id, text, spans) -> lengths, counts, kept text."""
-    for b in batches:
+    for b in blocks(batches):
         out = []
         for i, t, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
             t = t.encode()

@@ -18,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsift.llm.common import keyed_text, prepare, table
+from labelsift.llm.common import blocks, keyed_text, prepare, table
 from labelsift.llm.pretoken import pretokens
 
 MAX_NODES = 400_000     # a worker's trie starts afresh beyond these
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         counter = TrieCounter(path)
-        for b in batches:
+        for b in blocks(batches):
             cols = list(zip(*[counter.text(t) for t in b.column("text").to_pylist()])) or [()] * 3
             yield pa.record_batch(
                 [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),

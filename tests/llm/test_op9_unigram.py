@@ -63,3 +63,16 @@ def test_edge_rows_and_query(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF001, "documents").collect()]
     got = {r.doc_id: tuple(r) for r in unigram.op9_trie_unigram(spark, SF001).collect()}
     assert len(got) == len(rows) and all(got[w[0]] == w for w in wanted(rows))
+
+
+def test_blocks_keep_every_row_in_order():
+    import pyarrow as pa
+
+    from labelsift.llm.common import blocks
+    texts = ["a" * 10, None, "é" * 9, "", "b" * 100, "c", "d" * 30, "e"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["i", "text"])
+    for limit in (1, 25, 40, 1000):
+        got = list(blocks([batch, batch.slice(2, 3), batch.slice(0, 0)], limit=limit))
+        assert [r for b in got for r in b.column("text").to_pylist()] == texts + texts[2:5]
+        assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("text").to_pylist()) <= limit
+                   for b in got)
