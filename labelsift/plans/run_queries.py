@@ -5,21 +5,19 @@ Their input is a per-seed runs table derived from the corpus for seeds
 detector flag (exact seeded draw) and a majority-class stand-in model for the
 clean and poisoned training labels. Every number in it has an exact SQL
 oracle; the runs produced by the real models come from ``model_queries``.
-Each seed's row is one conditional aggregation over its split corpus.
+All seeds' rows come from one conditional aggregation over keys and labels.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.functions.columns import safe_div
+from labelsift.functions.columns import hash60, safe_div
 from labelsift.operators import poison as X
 from labelsift.operators import runs as R
 from labelsift.plans.common import CORPUS_SQL, RATE, corpus, hash60_sql, poisoned_sql, r6, standin_flag_sql
-from labelsift.session import run_concurrently
+from labelsift.session import materialize, run_concurrently
 from labelsift.sources.corpus import train_test_split
 
 SEEDS = (1, 2, 3)
@@ -31,28 +29,32 @@ def _cnt(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def _seed_row(c: DataFrame, s: int, with_conditions: bool = False) -> DataFrame:
-    sp = train_test_split(c, "row_id", TEST_RATE, s)
-    train = sp.where(F.col("split") == "train")
-    p = X.flip_labels(train.drop("split"), "row_id", "label", RATE, s)
-    f = X.mark_draw(p, "row_id", RATE, f"flag:{s}", "detector_flag").withColumn("split", F.lit("train"))
-    test = sp.where(F.col("split") == "test").select("row_id", "label", "split")
-    u = f.select("split", "label", "original_label", "is_poisoned", "detector_flag") \
-         .unionByName(test.select("split", "label"), allowMissingColumns=True)
-    tr, te = F.col("split") == "train", F.col("split") == "test"
-    a = u.agg(_cnt(tr & (F.col("original_label") == 1)).alias("tr1"),
-              _cnt(tr & (F.col("original_label") == 0)).alias("tr0"),
-              _cnt(tr & (F.col("label") == 1)).alias("pr1"),
-              _cnt(tr & (F.col("label") == 0)).alias("pr0"),
-              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("label") == 1)).alias("mr1"),
-              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("label") == 0)).alias("mr0"),
-              _cnt(te & (F.col("label") == 1)).alias("te1"),
-              _cnt(te & (F.col("label") == 0)).alias("te0"),
-              _cnt(tr & (F.col("detector_flag") == 1)).alias("flagged"),
-              _cnt(tr & (F.col("is_poisoned") == 1) & (F.col("detector_flag") == 1)).alias("tp"),
-              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("detector_flag") == 1)).alias("fp"),
-              _cnt(tr & (F.col("is_poisoned") == 1) & (F.col("detector_flag") == 0)).alias("fn"),
-              _cnt(tr & (F.col("is_poisoned") == 0) & (F.col("detector_flag") == 0)).alias("tn"))
+def _seed_counts(c: DataFrame, seeds: tuple) -> DataFrame:
+    """One row of counts per seed. The keys and labels are written once, without
+    texts; each seed's two exact draws are fitted on them side by side, and all
+    seeds are counted in one pass of row-local predicates."""
+    keys = materialize(c.select("row_id", "label"))
+
+    def draws(s: int):
+        train = train_test_split(keys, "row_id", TEST_RATE, s).where(F.col("split") == "train")
+        return X.draw(train, "row_id", RATE, s), X.draw(train, "row_id", RATE, f"flag:{s}")
+
+    aggs = []
+    for s, (flip, flag) in zip(seeds, run_concurrently([(draws, s) for s in seeds])):
+        te = hash60(s, "row_id") < F.lit(_CUT)
+        tr, one, zero = ~te, F.col("label") == 1, F.col("label") == 0
+        p, f = flip.predicate("row_id"), flag.predicate("row_id")
+        counts = {"tr1": tr & one, "tr0": tr & zero, "te1": te & one, "te0": te & zero,
+                  # a flip turns 0 into 1 and 1 into 0
+                  "pr1": tr & ((~p & one) | (p & zero)), "pr0": tr & ((~p & zero) | (p & one)),
+                  "mr1": tr & ~p & one, "mr0": tr & ~p & zero, "flagged": tr & f,
+                  "tp": tr & p & f, "fp": tr & ~p & f, "fn": tr & p & ~f, "tn": tr & ~p & ~f}
+        aggs.append(F.struct(F.lit(s).alias("seed"), *[_cnt(x).alias(n) for n, x in counts.items()]))
+    return keys.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
+def _seed_rows(c: DataFrame, seeds: tuple, with_conditions: bool = False) -> DataFrame:
+    a = _seed_counts(c, seeds)
 
     def model(n1, n0):
         maj1 = F.col(n1) >= F.col(n0)
@@ -68,7 +70,7 @@ def _seed_row(c: DataFrame, s: int, with_conditions: bool = False) -> DataFrame:
                    F.struct(tp.alias("true_positive"), fp.alias("false_positive"),
                             fn.alias("false_negative"), F.col("tn").alias("true_negative"))
                    .alias("confusion_matrix"))
-    cols = [F.lit(s).alias("seed"), model("tr1", "tr0").alias("clean"),
+    cols = [F.col("seed"), model("tr1", "tr0").alias("clean"),
             model("pr1", "pr0").alias("poisoned"), det.alias("detection")]
     if with_conditions:
         n = F.col("tr1") + F.col("tr0")
@@ -78,14 +80,12 @@ def _seed_row(c: DataFrame, s: int, with_conditions: bool = False) -> DataFrame:
 
 
 def standin_runs(spark, sf, seeds=SEEDS) -> DataFrame:
-    c = corpus(spark, sf)
-    # each seed's exact draws are fitted eagerly; the seeds are independent
-    return reduce(DataFrame.unionByName, run_concurrently([(_seed_row, c, s) for s in seeds]))
+    return _seed_rows(corpus(spark, sf), tuple(seeds))
 
 
 def _doc(spark, sf) -> DataFrame:
     """A results document (no ``runs``) whose sections come from seed 1."""
-    r = _seed_row(corpus(spark, sf), 1)
+    r = _seed_rows(corpus(spark, sf), (1,))
     return r.select(
         F.struct(F.lit(1).alias("random_state")).alias("config"),
         F.col("clean").alias("clean_model"), F.col("poisoned").alias("poisoned_model"),
@@ -104,7 +104,7 @@ def _doc(spark, sf) -> DataFrame:
 
 def _config_doc(spark, sf) -> DataFrame:
     """A results document whose config section is measured on seed 1's run."""
-    r = _seed_row(corpus(spark, sf), 1, with_conditions=True)
+    r = _seed_rows(corpus(spark, sf), (1,), with_conditions=True)
     cm = "detection.confusion_matrix"
     poisoned = F.col(f"{cm}.true_positive") + F.col(f"{cm}.false_negative")
     return r.select(F.struct(
@@ -132,7 +132,7 @@ def _merged_summary(spark, sf) -> DataFrame:
 def standin_conditions(spark, sf, seed: int = 1) -> DataFrame:
     """Conditions table ``(condition, n_train, n_test, accuracy, f1)`` of the
     stand-in model for clean, poisoned and mitigated training labels."""
-    r = _seed_row(corpus(spark, sf), seed, with_conditions=True)
+    r = _seed_rows(corpus(spark, sf), (seed,), with_conditions=True)
     rows = [F.struct(F.lit(name).alias("condition"), F.col(n).alias("n_train"), F.col("n_test"),
                      F.col(f"{name}.accuracy").alias("accuracy"), F.col(f"{name}.f1").alias("f1"))
             for name, n in (("clean", "n_clean"), ("poisoned", "n_clean"), ("mitigated", "n_mitigated"))]
