@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm.common import keyed_text, prepare, shuffle_width, table
+from labelsift.llm.common import blocks, keyed_text, prepare, shuffle_width, table
 
 WINDOW = 7
 SIGNATURE = 64      # characters at the block size; half as many at twice that
@@ -196,8 +196,8 @@ def edited_text(text: str, nxt: str) -> str:
     return text[:len(text) - k] + nxt[:k]
 
 
-def _neighbours(docs: DataFrame, slices: int) -> DataFrame:
-    """Rows dealt to ``slices`` ranges of descending doc_id, each followed by a
+def _neighbours(docs: DataFrame, slices: int) -> tuple[DataFrame, int]:
+    """Rows dealt to at most ``slices`` ranges (and how many there are) of descending doc_id, each followed by a
     copy (``ghost``) of the first row of the next range. Range bounds and the
     greatest id of each range are the only values on the driver; the texts move
     once."""
@@ -221,7 +221,7 @@ def _neighbours(docs: DataFrame, slices: int) -> DataFrame:
         F.struct(F.col("part").alias("slice"), F.lit(0).alias("ghost")),
         F.struct(F.element_at(goes, F.col("part") + 1).alias("slice"), F.lit(1).alias("ghost")),
     )).otherwise(F.array(F.struct(F.col("part").alias("slice"), F.lit(0).alias("ghost"))))
-    return docs.withColumn("to", F.explode(to)).select("to.slice", "to.ghost", "doc_id", "text")
+    return docs.withColumn("to", F.explode(to)).select("to.slice", "to.ghost", "doc_id", "text"), n
 
 
 def _compare(batches):
@@ -252,7 +252,7 @@ def _compare(batches):
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                    "near_edited", "near_next"])
 
-    for b in batches:
+    for b in blocks(batches):
         slices, ghosts = b.column("slice").to_pylist(), b.column("ghost").to_pylist()
         ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
         rows = []
@@ -275,9 +275,10 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     row the first; rows of one id are ordered by their text's hash). Null text
     is empty; an empty text has fingerprint ``3::``. An empty table gives no
     rows, a single row is its own next."""
-    n = slices or 2 * shuffle_width(docs.sparkSession)
-    rows = _neighbours(keyed_text(docs, id_col, text_col), n)
-    return rows.repartition(shuffle_width(docs.sparkSession), "slice").sortWithinPartitions(
+    rows, n = _neighbours(keyed_text(docs, id_col, text_col),
+                          slices or shuffle_width(docs.sparkSession))
+    # one range a partition, by its number: hashing the number would pile some up
+    return rows.repartitionById(n, F.col("slice")).sortWithinPartitions(
         F.col("slice"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text")
     ).mapInArrow(_compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
                            "edited_fingerprint string, near_edited double, near_next double")
