@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from functools import lru_cache
 
 import regex
 
 _UNASSIGNED = chr(0x378)
+# The same pattern over ASCII, for the faster standard matcher.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
 @lru_cache(maxsize=1)
@@ -28,7 +31,9 @@ def _rules():
 
 def pretokens(text: str) -> list[str]:
     """``text`` cut into pre-tokens; joined they are the text again."""
+    if text.isascii():
+        return _ASCII.findall(text)
     find, new, table = _rules()
-    if text.isascii() or new.isdisjoint(text):
+    if new.isdisjoint(text):
         return find.findall(text)
     return [text[m.start():m.end()] for m in find.finditer(text.translate(table))]
