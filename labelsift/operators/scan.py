@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from labelsift.functions.columns import nonblank, safe_div, truncate_display
 from labelsift.operators import metrics as M
 from labelsift.operators import tfidf as TF
-from labelsift.session import materialize, stored
+from labelsift.session import materialize, spread, stored
 
 # Preferred text-column names, in priority order.
 PREFERRED_TEXT_COLUMNS = ("text", "content", "review", "message", "sms", "sentence",
@@ -108,7 +108,7 @@ def scan(df: DataFrame, key: str | None = None, text_col: str | None = None,
     rows = df.where(nonblank(text_col)).select(
         F.col(f"`{key}`").alias("_key"), F.col(f"`{text_col}`").alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    counted = stored(TF.counts(rows, "_key", "_text", cfg, ["_row"]), "counts")
+    counted = stored(TF.counts(spread(rows), "_key", "_text", cfg, ["_row"]), "counts")
     n = counted.count()
     require_records(df, n)
     if given is not None:

@@ -42,7 +42,7 @@ from labelsift.functions.columns import text_or_empty
 from labelsift.functions.stopwords import ENGLISH_STOP_WORDS
 from labelsift.operators.ordinal import ordinal
 from labelsift.operators.quantile import top_k
-from labelsift.session import materialize, ship_package, stored
+from labelsift.session import materialize, ship_package, spread, stored
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # (term, idx, idf) rows cost ~64 bytes each in a broadcast hash relation:
@@ -306,7 +306,7 @@ def fit_vectors(df: DataFrame, key: str, text: str, cfg: TfidfConfig,
     """Tokenise once: the counts are stored, the vocabulary is fitted on them
     and the vectors are a map over them. Returns ``(vocabulary, stored counts,
     vectors)``; ``carry`` columns (the text, labels) ride along both."""
-    counted = stored(counts(df, key, text, cfg, carry), "counts")
+    counted = stored(counts(spread(df), key, text, cfg, carry), "counts")
     n = int(n_docs if n_docs is not None else counted.count())
     vocab = fit_counts(explode_counts(counted, key), cfg, n)
     vocab.table = materialize(vocab.table)

@@ -21,7 +21,7 @@ from labelsift.operators import logreg as LR
 from labelsift.operators import poison as X
 from labelsift.operators import tfidf as T
 from labelsift.plans.common import RATE, SEED, corpus
-from labelsift.session import materialize, stored
+from labelsift.session import materialize, spread, stored
 from labelsift.sources.corpus import train_test_split
 
 TEST_RATE = 0.5
@@ -80,7 +80,7 @@ def impact(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RATE,
     texts are tokenised once, with both label columns carried on the row."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
     flipped = X.flip_labels(train, "row_id", "label", rate, seed)
-    counted = stored(T.counts(flipped, "row_id", "text", cfg,
+    counted = stored(T.counts(spread(flipped), "row_id", "text", cfg,
                               ["label", "original_label", "is_poisoned"]), "counts")
     n_train = counted.count()
     vocab = _vocabulary(counted, "row_id", cfg, n_train)
@@ -119,7 +119,7 @@ def fitted_model(spark: SparkSession, sf: str, poisoned: bool, seed: int = SEED,
     real-valued part that predicted classes hide), one row."""
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
     flipped = X.flip_labels(train, "row_id", "label", rate, seed)
-    counted = stored(T.counts(flipped, "row_id", "text", cfg, ["label", "original_label"]), "counts")
+    counted = stored(T.counts(spread(flipped), "row_id", "text", cfg, ["label", "original_label"]), "counts")
     n_train = counted.count()
     vocab = _vocabulary(counted, "row_id", cfg, n_train)
     label = "label" if poisoned else "original_label"
@@ -144,8 +144,8 @@ def conditions(spark: SparkSession, sf: str, seed: int = SEED, rate: float = RAT
     train, test = splits(corpus(spark, sf), "row_id", TEST_RATE, seed)
     flipped = X.flip_labels(train, "row_id", "label", rate, seed)
     carry = list(dict.fromkeys(["label", "original_label", "is_poisoned", mitigate_by]))
-    counted = stored(T.counts(flipped, "row_id", "text", cfg, carry), "counts")
-    tested = stored(T.counts(test, "row_id", "text", cfg, ["label"]), "counts")
+    counted = stored(T.counts(spread(flipped), "row_id", "text", cfg, carry), "counts")
+    tested = stored(T.counts(spread(test), "row_id", "text", cfg, ["label"]), "counts")
 
     def one(name: str, rows: DataFrame, label: str) -> DataFrame:
         r = _fit_and_score(rows, tested, cfg, "row_id", label, max_iter)
