@@ -102,3 +102,14 @@ def test_stage_repeats_and_drops_by_rate(spark):
     edge = docs(spark, edge_rows(), clash=True)
     same = mixing.repeat_by_rate(edge, labelled(spark, []))
     assert same.count() == edge.count() and same.columns == edge.columns
+
+
+def test_no_document_but_toxic_ones_can_go(spark):
+    # plenty of low-quality tokens for each high-quality one: still none vanishes
+    d, lab = table(spark, SF01, "documents"), mixing.quality_domains(spark, SF01)
+    rated = written(mixing.mix(d, lab).select("doc_id", "domain"))
+    some = d.join(rated.filter("domain != 'high' or doc_id % 8 = 0").select("doc_id"), "doc_id", "left_semi")
+    again = {r.doc_id: r.domain for r in mixing.mix(some, lab).collect()}
+    out = {r.doc_id for r in mixing.repeat_by_rate(some, lab).select("doc_id").collect()}
+    assert sum(x == "low" for x in again.values()) > 0
+    assert {k for k, x in again.items() if x != "toxic"} <= out
