@@ -4,8 +4,9 @@ Public vocabularies measure how well a text fits real writing: characters per
 token (a byte-fallback piece vocabulary and a byte-level vocabulary), the share
 of byte-fallback pieces and the entropy of the text's pieces. Each measure has
 a rejection band per language (per script where the language is null) and
-length class: fences ``FENCE`` interquartile ranges outside the quartiles of
-all texts of that group. Groups too small for quartiles use fixed bands.
+length class: fences ``FENCE`` interquartile ranges, and never less than
+``LEAST``, outside the quartiles of the distinct texts of that group. Groups too
+small for quartiles use fixed bands.
 
 Words are tokenised once per block of texts and remembered (a bounded memo), as
 no piece of the vocabularies crosses white space.
@@ -31,6 +32,10 @@ BROADCAST_BANDS = 100_000   # more groups than these are joined by shuffle
 FIXED = {"piece_chars": (0.5, 12.0), "byte_chars": (0.25, 16.0), "fallback": (0.0, 0.5),
          "entropy": (1.0, 20.0)}
 MEASURES = list(FIXED)
+# Least distance of a fence from its quartile: a share of the median, for byte
+# fallback an absolute share on top of the pieces of one rare sign.
+LEAST = {"piece_chars": 0.2, "byte_chars": 0.2, "fallback": 0.02, "entropy": 0.2}
+SIGN_PIECES = 4
 MIN_WORDS = 50
 _MEMO_WORDS = 300_000
 _BLOCK = 1 << 20
@@ -209,16 +214,17 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
 
     ``kept`` is false where the base rules fail, else true if every measure
     lies in the band of its language (script) and length class. Null and empty
-    texts have no words and fail the base rules; repeated rows are judged each
-    and count each in the quartiles; null languages are judged by script; an
+    texts have no words and fail the base rules; repeated rows are judged each,
+    but a text counts once in the quartiles; null languages are judged by script; an
     empty table gives no rows."""
     rows = written(measures(docs, vocabularies).withColumn("base_failed", _base_failed()), "measures")
     group = F.coalesce(F.col("lang"), F.col("script")).alias("grp")
     size = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int").alias("cls")
-    good = rows.filter(~F.col("base_failed"))
-    bands = written(good.groupBy(group, size).agg(
+    texts = rows.filter(~F.col("base_failed")).groupBy(group, size, "text_hash") \
+        .agg(*[F.min(m).alias(m) for m in MEASURES])
+    bands = written(texts.groupBy("grp", "cls").agg(
         F.count("*").alias("n"),
-        *[F.percentile_approx(m, [0.25, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]) \
+        *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]) \
         .withColumnsRenamed({"grp": "b_grp", "cls": "b_cls"}), "bands")
     if bands.count() <= BROADCAST_BANDS:
         bands = F.broadcast(bands)
@@ -226,10 +232,12 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
                        "left")
     inside = F.lit(True)
     for m in MEASURES:
-        q1, q3 = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
+        q1, mid, q3 = (F.col(f"q_{m}")[i] for i in range(3))
+        least = LEAST[m] + SIGN_PIECES / F.greatest("n_tokens", F.lit(1)) if m == "fallback" else LEAST[m] * mid
+        reach = F.greatest(fence * (q3 - q1), least)
         enough = F.coalesce(F.col("n") >= MIN_GROUP, F.lit(False))
-        low = F.when(enough, q1 - fence * (q3 - q1)).otherwise(F.lit(FIXED[m][0]))
-        high = F.when(enough, q3 + fence * (q3 - q1)).otherwise(F.lit(FIXED[m][1]))
+        low = F.when(enough, q1 - reach).otherwise(F.lit(FIXED[m][0]))
+        high = F.when(enough, q3 + reach).otherwise(F.lit(FIXED[m][1]))
         inside = inside & F.col(m).between(low - 1e-9, high + 1e-9)
     return joined.select("doc_id", "text_hash", *_COUNTS, "base_failed", *MEASURES,
                          inside.alias("method_ok"),

@@ -107,3 +107,20 @@ def test_empty_table_and_missing_language(spark):
     assert fertility.judge(docs(spark, rows).select("doc_id", "text")).count() == len(rows)
     kept = fertility.keep_good(docs(spark, rows, clash=True))
     assert len([r for r in kept.collect() if r.doc_id == 4]) == 2      # repeated rows stay repeated
+
+
+def test_one_rare_sign_does_not_reject_a_clean_document(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 100), "en") for i in range(60)] + \
+           [(500, prose(rng, 60) + " \u20bf", "en"), (501, prose(rng, 100) + " \u20bf", "en")]
+    got = {r.doc_id: r for r in fertility.judge(docs(spark, rows)).collect()}
+    assert got[500].fallback > 0 and got[501].fallback > 0
+    assert got[500].kept and got[501].kept
+
+
+def test_copies_do_not_set_the_bands(spark):
+    rng = random.Random(9)
+    copy = prose(rng, 100)
+    rows = [(i, copy, "en") for i in range(200)] + [(1000 + i, prose(rng, 100), "en") for i in range(50)]
+    got = fertility.judge(docs(spark, rows)).collect()
+    assert sum(r.kept for r in got) == len(rows)
