@@ -2,8 +2,9 @@
 
 A text is scanned as it stands, then every encoded layer in it: percent escapes
 and Unicode escapes (the text with all of them decoded is a new layer, mapped
-piecewise), runs of base64 and, inside those, gzip or zlib streams (a decoded
-run is a new layer, all of it mapped to the run). Each new layer is scanned and
+piecewise), runs of base64, also those wrapped into lines or behind a part of a
+path, and, inside those, gzip or zlib streams (a decoded run is a new layer, all
+of it mapped to the run). Each new layer is scanned and
 unwrapped again until nothing new appears. A layer that repeats a content
 already seen for the same place is not followed, which ends cycles. Spans are
 code point offsets of the original text.
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _UNIT = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++={0,2})+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_CUT = re.compile("[/_-]")
+_CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -120,17 +126,26 @@ def _unicode(run: str) -> str | None:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _is_stream(data) -> bool:
+    """Whether bytes start like a gzip or zlib stream."""
+    return data[:2] == b"\x1f\x8b" or (
+        len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
 def _inflate(data: bytes, room: int) -> tuple[bytes | None, bool]:
-    """A gzip or zlib stream unpacked (at most ``room`` bytes); None if it is
-    neither."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+    """A gzip or zlib stream and those that follow it, unpacked (at most
+    ``room`` bytes); None if it is neither."""
+    parts, over = [], False
+    while room > 0 and _is_stream(data):
         d = zlib.decompressobj(47)
         try:
-            out = d.decompress(data, room)
-            return out, bool(d.unconsumed_tail)
+            parts.append(d.decompress(data, room))
         except zlib.error:
-            return None, False
-    return None, False
+            break
+        room -= len(parts[-1])
+        over = bool(d.unconsumed_tail) or (room <= 0 and (not d.eof or _is_stream(d.unused_data)))
+        data = d.unused_data
+    return (b"".join(parts), over) if parts else (None, False)
 
 
 def _readable(data: bytes) -> str | None:
@@ -143,16 +158,88 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
+def _decoded(run: str) -> bytes | None:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _wrapped(text: str):
+    """Spans of base64 broken into lines: runs of equal length one line break
+    apart, with and without the shorter run that may follow them."""
+    for m in _WRAPPED.finditer(text):
+        lines = list(_LINE.finditer(text, m.start(), m.end()))
+        at = 0
+        while at < len(lines) - 1:
+            width, end = len(lines[at].group()), at + 1
+            while end < len(lines) and len(lines[end].group()) == width:
+                end += 1
+            if width >= 16:
+                if end < len(lines) and len(lines[end].group()) < width:
+                    yield lines[at].start(), lines[end].end()
+                if end - at > 1:
+                    yield lines[at].start(), lines[end - 1].end()
+            at = end
+
+
+def _parts(run: str):
+    """``(start, end, bytes)`` inside a run that is not base64 as a whole: the
+    stretches between two of its '/', '-' and '_' that are readable, and what
+    starts like a stream. Boundaries a multiple of four apart share one decoding."""
+    run = run.rstrip("=")
+    cuts = [m.start() for m in _CUT.finditer(run)]
+    ends = [*cuts, len(run)]
+    for turn in range(4):
+        starts = [c for c in [0] + [c + 1 for c in cuts] if c % 4 == turn and len(run) - c >= 16]
+        if not starts:
+            continue
+        tail = run[turn:]
+        data = memoryview(_decoded(tail[:-1] if len(tail) % 4 == 1 else tail) or b"")
+        bad = [m.start() for m in _CONTROL.finditer(data)] + [len(data)]
+        done = 0
+        for s in starts:
+            at = (s - turn) // 4 * 3
+            if _is_stream(data[at:at + 3]):
+                yield s, len(run), bytes(data[at:])
+            if at < done:
+                continue
+            stop = bad[bisect_left(bad, at)]
+            try:
+                codecs.utf_8_decode(data[at:stop], "strict", True)
+            except UnicodeDecodeError as e:
+                stop = at + e.start
+            done = stop
+            # the last boundary up to which all is readable
+            k = bisect_right(ends, len(run) if stop == len(data) else turn + stop * 4 // 3) - 1
+            if k >= 0 and ends[k] - s >= 16:
+                part = _decoded(run[s:ends[k] - ((ends[k] - s) % 4 == 1)])
+                if part:
+                    yield s, ends[k], part
+
+
+def _base64_runs(text: str):
+    """``(start, end, bytes)`` of base64 in a text: unbroken runs, wrapped ones
+    and, of runs that give no text, their parts."""
+    for m in _BASE64.finditer(text):
+        data = _decoded(m.group())
+        if data is not None:
+            yield m.start(), m.end(), data
+        if (data is None or not (_is_stream(data) or _readable(data))) and _CUT.search(m.group()):
+            for s, e, part in _parts(m.group()):
+                yield m.start() + s, m.start() + e, part
+    for s, e in _wrapped(text):
+        data = _decoded(re.sub("[\r\n]", "", text[s:e]))
+        if data is not None:
+            yield s, e, data
+
+
 def _base64_layers(layer: _Layer, room: int):
     """Layers inside base64 runs; yields (layer, bytes unfolded, truncated)."""
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
+    for start, end, data in _base64_runs(layer.text):
         seen, cut = set(), False
         while room > 0:          # compressed layers, one inside the other
             mark = hashlib.sha1(data).digest()
@@ -168,7 +255,7 @@ def _base64_layers(layer: _Layer, room: int):
         text = _readable(data)
         if text is not None:
             room -= len(text)
-            yield _Layer(text, layer, whole=(m.start(), m.end())), len(data), cut
+            yield _Layer(text, layer, whole=(start, end)), len(data), cut
 
 
 def scan_text(text: str) -> tuple[list, list, int, bool]:

@@ -104,3 +104,44 @@ def test_edge_rows_and_redaction_stage(spark):
     assert by[81].text == "[SECRET]" and by[1].text is None and by[2].text == ""
     assert by[6].text == dict(rows)[6] and by[6].n_chars == len(by[6].text)
     assert secretscan.scan(df.limit(0)).count() == 0 and secretscan.redact(df.limit(0)).count() == 0
+
+
+def lines_of(s, width=76, end="\n"):
+    return end.join(s[i:i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_base64_is_one_run(end):
+    rng = random.Random(12)
+    noise = "".join(rng.choice("abcdefghij klmnop") for _ in range(400))
+    long = f"{noise} {SECRET} {noise}"
+    for at in range(50, 60):                    # the break falls inside the secret
+        plain = base64.b64encode(f"{'é ' * 2}{noise[:at - 6]} {SECRET} {noise}".encode()).decode()
+        text = f"see:{end}{lines_of(plain, end=end)}{end}{end}bye"
+        assert secretscan.redacted(text) == f"see:{end}[SECRET]{end}{end}bye"
+    packed = base64.b64encode(gzip.compress(long.encode())).decode()
+    assert "[SECRET]" in secretscan.redacted(f"see{end}{end}{lines_of(packed, end=end)}")
+    # prose on the line after the last one does not hide it
+    whole = base64.b64encode((" " * 57 + SECRET).ljust(114).encode()).decode()
+    assert secretscan.redacted(f"{lines_of(whole, end=end)}{end}Hello all").startswith("[SECRET]")
+
+
+@pytest.mark.parametrize("before", ["https://x.example/cb/", "a-b_c/dd/e-", "/", "x/yy/zzz/"])
+@pytest.mark.parametrize("wrap", [str.encode, lambda s: gzip.compress(s.encode())])
+@pytest.mark.parametrize("after", ["", " y", "/next", "-x/long_path_here"])
+def test_base64_inside_a_path(before, wrap, after):
+    b = base64.b64encode(wrap(f"user {SECRET} ok!")).decode().rstrip("=")
+    assert "[SECRET]" in secretscan.redacted(f"go {before}{b}{after}")
+
+
+def test_every_gzip_member_is_read():
+    b = base64.b64encode(b"".join(gzip.compress(x.encode()) for x in ("one ", "two ", SECRET))).decode()
+    assert secretscan.redacted(f"a {b} z") == "a [SECRET] z"
+
+
+def test_long_paths_stay_linear():
+    import time
+    at = time.time()
+    rng = random.Random(13)
+    secretscan.scan_text("".join(rng.choice("abcXYZ019/-_") for _ in range(300_000)))
+    assert time.time() - at < 20
