@@ -9,8 +9,10 @@ unwrapped again until nothing new appears. A layer that repeats a content
 already seen for the same place is not followed, which ends cycles. Spans are
 code point offsets of the original text.
 
-``MAX_DECODED`` bounds what one text may unfold to (decompression bombs); it
-is a guard far above any real text, and ``truncated`` tells where it acted.
+``MAX_DECODED`` bounds what inflating may add to one text (decompression
+bombs); nothing else is charged to it. A stream beyond it is unpacked up to the
+bound and the rest of the worklist goes on; ``truncated`` tells where it acted,
+and ``redacted`` replaces the whole run of such a stream.
 """
 
 from __future__ import annotations
@@ -238,32 +240,34 @@ def _base64_runs(text: str):
 
 
 def _base64_layers(layer: _Layer, room: int):
-    """Layers inside base64 runs; yields (layer, bytes unfolded, truncated)."""
+    """Layers inside base64 runs; yields (layer or None, start, end, bytes
+    gained by inflating, truncated)."""
     for start, end, data in _base64_runs(layer.text):
-        seen, cut = set(), False
-        while room > 0:          # compressed layers, one inside the other
+        seen, cut, gained = set(), False, 0
+        while True:              # compressed layers, one inside the other
             mark = hashlib.sha1(data).digest()
             if mark in seen:
                 break
             seen.add(mark)
-            more, over = _inflate(data, room)
+            more, over = _inflate(data, len(data) + max(room, 0))
             if more is None:
                 break
-            room -= len(more)
+            gain = max(0, len(more) - len(data))
+            room -= gain
+            gained += gain
             cut |= over
             data = more
         text = _readable(data)
-        if text is not None:
-            room -= len(text)
-            yield _Layer(text, layer, whole=(start, end)), len(data), cut
+        if text is not None or cut or gained:
+            yield None if text is None else _Layer(text, layer, whole=(start, end)), start, end, gained, cut
 
 
-def scan_text(text: str) -> tuple[list, list, int, bool]:
+def _unfold(text: str) -> tuple[list, list, int, list]:
     """Base spans, all spans (both sorted by start, then kind), number of
-    layers unfolded, and whether the guard cut one."""
+    layers unfolded, and the spans of streams the guard cut."""
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted(base_spans(text), key=lambda s: (s[0], order[s[1]]))
-    found, n, cut = set(base), 0, False
+    found, n, refused = set(base), 0, set()
     work, seen, room = [_Layer(text)], set(), MAX_DECODED
     while work:
         layer = work.pop()
@@ -272,9 +276,10 @@ def scan_text(text: str) -> tuple[list, list, int, bool]:
             new.append(_replaced(layer, _PERCENT, _percent))
         if "\\" in layer.text:
             new.append(_replaced(layer, _UNICODE, _unicode))
-        for inner, size, over in _base64_layers(layer, room):
-            room -= size
-            cut |= over
+        for inner, start, end, gained, over in _base64_layers(layer, room):
+            room -= gained
+            if over:
+                refused.add(layer.origin(start, end))
             new.append(inner)
         for inner in new:
             if inner is None:
@@ -284,18 +289,19 @@ def scan_text(text: str) -> tuple[list, list, int, bool]:
             if mark in seen:
                 continue
             seen.add(mark)
-            room -= len(inner.text)
-            if room <= 0:
-                cut = True
-                break
             n += 1
             for s, kind, e in base_spans(inner.text):
                 s, e = inner.origin(s, e)
                 found.add((s, kind, e))
             work.append(inner)
-        if room <= 0:
-            break
-    return base, sorted(found, key=lambda s: (s[0], order[s[1]], s[2])), n, cut
+    return base, sorted(found, key=lambda s: (s[0], order[s[1]], s[2])), n, sorted(refused)
+
+
+def scan_text(text: str) -> tuple[list, list, int, bool]:
+    """Base spans, all spans (both sorted by start, then kind), number of
+    layers unfolded, and whether the guard cut one."""
+    base, every, n, refused = _unfold(text)
+    return base, every, n, bool(refused)
 
 
 def _joined(spans) -> str:
@@ -326,9 +332,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(text: str) -> str:
-    """``text`` with every span (overlaps merged) replaced by a placeholder."""
+    """``text`` with every span, and every run that unfolds to more than the
+    guard allows (overlaps merged), replaced by a placeholder."""
+    _, every, _, refused = _unfold(text)
     merged: list[list[int]] = []
-    for s, _, e in scan_text(text)[1]:
+    for s, e in sorted([(s, e) for s, _, e in every] + refused):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:

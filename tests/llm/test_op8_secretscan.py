@@ -145,3 +145,21 @@ def test_long_paths_stay_linear():
     rng = random.Random(13)
     secretscan.scan_text("".join(rng.choice("abcXYZ019/-_") for _ in range(300_000)))
     assert time.time() - at < 20
+
+
+def test_only_inflating_is_charged(monkeypatch):
+    monkeypatch.setattr(secretscan, "MAX_DECODED", 1000)
+    filler = "word " * 1000                     # escapes of a text longer than the guard
+    inner = base64.b64encode(SECRET.encode()).decode()
+    text = f"{filler}%41 \\u0041 pass%77ord: abcdefgh%31 {urllib.parse.quote(inner, safe='')} \\x41KIA{'B' * 14}"
+    _, _, _, cut = secretscan.scan_text(text)
+    assert not cut and [k for k, _ in spans(text)] == ["assign", "assign", "access"]
+
+
+def test_a_refused_stream_is_redacted_and_the_rest_goes_on(monkeypatch):
+    monkeypatch.setattr(secretscan, "MAX_DECODED", 10_000)
+    bomb = base64.b64encode(gzip.compress(b" " * 500_000 + SECRET.encode())).decode()
+    late = base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    text = f"a {bomb} b {late} c pass%77ord: abcdefgh%31 d {base64.b64encode(bomb.encode()).decode()}"
+    assert secretscan.scan_text(text)[3]
+    assert secretscan.redacted(text) == "a [SECRET] b [SECRET] c [SECRET] d [SECRET]"
