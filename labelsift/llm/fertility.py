@@ -5,8 +5,8 @@ token (a byte-fallback piece vocabulary and a byte-level vocabulary), the share
 of byte-fallback pieces and the entropy of the text's pieces. Each measure has
 a rejection band per language (per script where the language is null) and
 length class: fences ``FENCE`` interquartile ranges, and never less than
-``LEAST``, outside the quartiles of the distinct texts of that group. Groups too
-small for quartiles use fixed bands.
+``LEAST``, outside the quartiles of the distinct texts of that group, drawn
+towards fixed bands that weigh as much as ``PRIOR`` texts: one rule at every size.
 
 Words are tokenised once per block of texts and remembered (a bounded memo), as
 no piece of the vocabularies crosses white space.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from labelsift.llm.common import blocks, packed, prepare, row_key, table, written
 
 FENCE = 5.0
-MIN_GROUP = 30
+PRIOR = 10
 BROADCAST_BANDS = 100_000   # more groups than these are joined by shuffle
-# Fixed bands (least, greatest) for groups without quartiles.
+# Fixed bands (least, greatest) that a group's own are drawn towards.
 FIXED = {"piece_chars": (0.5, 12.0), "byte_chars": (0.25, 16.0), "fallback": (0.0, 0.5),
          "entropy": (1.0, 20.0)}
 MEASURES = list(FIXED)
@@ -235,9 +235,9 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
         q1, mid, q3 = (F.col(f"q_{m}")[i] for i in range(3))
         least = LEAST[m] + SIGN_PIECES / F.greatest("n_tokens", F.lit(1)) if m == "fallback" else LEAST[m] * mid
         reach = F.greatest(fence * (q3 - q1), least)
-        enough = F.coalesce(F.col("n") >= MIN_GROUP, F.lit(False))
-        low = F.when(enough, q1 - reach).otherwise(F.lit(FIXED[m][0]))
-        high = F.when(enough, q3 + reach).otherwise(F.lit(FIXED[m][1]))
+        own = F.coalesce(F.col("n") / (F.col("n") + PRIOR), F.lit(0.0))
+        low = F.coalesce(own * (q1 - reach), F.lit(0.0)) + (1 - own) * FIXED[m][0]
+        high = F.coalesce(own * (q3 + reach), F.lit(0.0)) + (1 - own) * FIXED[m][1]
         inside = inside & F.col(m).between(low - 1e-9, high + 1e-9)
     return joined.select("doc_id", "text_hash", *_COUNTS, "base_failed", *MEASURES,
                          inside.alias("method_ok"),

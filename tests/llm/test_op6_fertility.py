@@ -124,3 +124,23 @@ def test_copies_do_not_set_the_bands(spark):
     rows = [(i, copy, "en") for i in range(200)] + [(1000 + i, prose(rng, 100), "en") for i in range(50)]
     got = fertility.judge(docs(spark, rows)).collect()
     assert sum(r.kept for r in got) == len(rows)
+
+
+def test_one_more_text_flips_no_verdict(spark):
+    rng = random.Random(10)
+
+    def text(signs):
+        words = prose(rng, 60 - signs).split()
+        for i in range(signs):
+            words.insert(2 * i, "\u20bf")
+        return " ".join(words)
+
+    junk = text(22)
+    clean = [(i, text(i % 2), lang) for lang, n in (("aa", 4), ("bb", 28), ("cc", 29), ("dd", 300))
+             for i in range(n)]
+    rows = clean + [(1000, junk, lang) for lang in ("aa", "bb", "cc", "dd")]
+    got = fertility.judge(docs(spark, rows)).collect()
+    bad = [r for r in got if r.doc_id == 1000]
+    assert all(0.4 < r.fallback < 0.5 and not r.base_failed for r in bad)
+    assert [r.kept for r in bad] == [False] * 4
+    assert all(r.kept for r in got if r.doc_id != 1000)
