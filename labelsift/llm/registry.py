@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from labelsift.llm import bpe, ctph, fertility, langid, mixing, secretscan, simhash, substrings, unigram, urlfilter
+from labelsift.llm import (bpe, ctph, fertility, langid, mixing, secretscan, sharding, simhash, substrings,
+                           unigram, urlfilter)
 
 
 def queries() -> dict:
@@ -17,8 +18,12 @@ def queries() -> dict:
         "op8_secret_worklist": secretscan.op8_secret_worklist,
         "op9_trie_unigram": unigram.op9_trie_unigram,
         "op10_soft_mixing": mixing.op10_soft_mixing,
+        "op11_minimax_shards": sharding.op11_minimax_shards,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_cascade": urlfilter.OP3_SQL}
+    return {
+        "op3_url_cascade": urlfilter.OP3_SQL,
+        "op11_minimax_shards": sharding.OP11_SQL,
+    }
