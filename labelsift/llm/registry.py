@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import (bpe, ctph, fertility, langid, mixing, secretscan, sharding, simhash, substrings,
+from labelsift.llm import (bpe, ctph, fertility, fim, langid, mixing, secretscan, sharding, simhash, substrings,
                            unigram, urlfilter)
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_trie_unigram": unigram.op9_trie_unigram,
         "op10_soft_mixing": mixing.op10_soft_mixing,
         "op11_minimax_shards": sharding.op11_minimax_shards,
+        "op12_arrow_fim": fim.op12_arrow_fim,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
     return {
         "op3_url_cascade": urlfilter.OP3_SQL,
         "op11_minimax_shards": sharding.OP11_SQL,
+        "op12_arrow_fim": fim.OP12_SQL,
     }
