@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelsift.llm import (bpe, ctph, fertility, fim, langid, mixing, secretscan, sharding, simhash, substrings,
+from labelsift.llm import (bpe, ctph, fertility, fim, langid, merkle, mixing, secretscan, sharding, simhash, substrings,
                            unigram, urlfilter)
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_soft_mixing": mixing.op10_soft_mixing,
         "op11_minimax_shards": sharding.op11_minimax_shards,
         "op12_arrow_fim": fim.op12_arrow_fim,
+        "op13_slot_merkle": merkle.op13_slot_merkle,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
         "op3_url_cascade": urlfilter.OP3_SQL,
         "op11_minimax_shards": sharding.OP11_SQL,
         "op12_arrow_fim": fim.OP12_SQL,
+        "op13_slot_merkle": merkle.OP13_SQL,
     }
