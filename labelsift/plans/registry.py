@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from labelsift.plans import model_queries, run_queries, screen_queries, text_queries
+from labelsift.plans import io_queries, model_queries, run_queries, screen_queries, text_queries
 
-_MODULES = [screen_queries, text_queries, run_queries, model_queries]
+_MODULES = [screen_queries, text_queries, run_queries, model_queries, io_queries]
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelsift.functions.columns import hash60
+from labelsift.sources.delimited import corpus_table
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
@@ -37,7 +38,7 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     """Schema-only check (no job); the error lists every missing column."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {missing}; it has {df.columns}")
     return df
 
 
@@ -78,21 +79,23 @@ def with_file_order_key(df: DataFrame, key: str = "row_id") -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None,
                 required: Iterable[str] = (), fmt: str = "csv", key: str = "row_id",
                 null_values: Iterable[str] = (), multi_line: bool = True) -> DataFrame:
-    """S1 + S2 + P2: read a corpus file. ``multi_line=False`` lets Spark split
-    a large CSV whose fields hold no line breaks (a multi-line file is one task).
+    """S1 + S2 + P2: read a corpus file. CSV has a header and doubled quotes;
+    quoted fields may hold line breaks wherever an input split ends (``records``).
+    ``multi_line=False`` leaves the file to Spark's line-by-line reader, for fields
+    without line breaks.
 
-    CSV is read with ``header``, ``multiLine`` and ``escape='"'`` -- Spark's
-    defaults corrupt rows with embedded newlines or doubled quotes. A missing
-    path surfaces as Spark's PATH_NOT_FOUND error naming the path. Without a
-    key column one is attached in file order.
+    A missing path surfaces as Spark's PATH_NOT_FOUND error naming the path.
+    Without a key column one is attached in file order.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        r = (spark.read.option("header", True).option("multiLine", multi_line)
-             .option("escape", '"').option("quote", '"'))
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(path)
+        if multi_line:
+            df = corpus_table(spark, path, schema, key)
+        else:
+            r = spark.read.option("header", True).option("escape", '"').option("quote", '"')
+            r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+            df = r.csv(path)
         for nv in null_values:
             df = df.select(*[F.when(F.col(c) == F.lit(nv), F.lit(None)).otherwise(F.col(c)).alias(c)
                              if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)

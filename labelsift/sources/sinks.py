@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +24,31 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.format(fmt).save(path)
 
 
+def write_framed(lines: DataFrame, path: str, first: str = "", between: str = "", last: str = "") -> None:
+    """Text files of ``lines(value)``, one a task, each with a line before, a
+    line behind and a prefix for every line but the first (none where empty)."""
+    def frame(batches):
+        if first:
+            yield pa.RecordBatch.from_pydict({"value": [first]})
+        started = False
+        for b in batches:
+            value = b.column("value")
+            if between and len(value):
+                lead = pa.array([between if started or i else "" for i in range(len(value))])
+                value = pc.binary_join_element_wise(lead, value, "")
+            started = started or len(value) > 0
+            yield pa.RecordBatch.from_arrays([value], ["value"])
+        if last:
+            yield pa.RecordBatch.from_pydict({"value": [last]})
+    lines.select("value").mapInArrow(frame, "value string").write.mode("overwrite").text(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """K6 for tables: every file an array of records."""
+    write_framed(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")),
+                 path, "[", ",", "]")
+
+
 def write_results(doc: DataFrame, path: str) -> None:
     """K3: the results document as JSON (overwrite)."""
     doc.coalesce(1).write.mode("overwrite").json(path)
@@ -43,7 +71,7 @@ def metrics_long(record: DataFrame, run_id: str, section: str) -> DataFrame:
     """K4 input: a one-row record, nested or flat, as ``(run_id, section,
     metric, value, text)``: dotted names for nested fields, numbers in
     ``value``, everything else (strings, booleans, arrays as JSON) in
-    ``text``. Nothing is dropped; ``write_seq`` orders the writes of a driver."""
+    ``text``. Nothing is dropped."""
     rows = []
     for path, t in _leaves(record.schema):
         c = F.col(f"`{path[0]}`")
@@ -56,20 +84,62 @@ def metrics_long(record: DataFrame, run_id: str, section: str) -> DataFrame:
                              (F.lit(None).cast("string") if number else text).alias("text")))
     long = record.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return long.select(F.lit(run_id).alias("run_id"), F.lit(section).alias("section"), "metric", "value", "text",
-                       F.current_timestamp().alias("written_at"),
-                       F.lit(time.time_ns()).cast("bigint").alias("write_seq"))
-
-
-def write_metrics(record: DataFrame, path: str, run_id: str, section: str) -> None:
-    """K4: append a section's fields; the reference's read-merge-write of one
-    JSON section becomes an append plus ``latest_metrics`` on read, so
-    sections written in any order never erase each other."""
-    metrics_long(record, run_id, section).write.mode("append").parquet(path)
+                       F.current_timestamp().alias("written_at"))
+
+
+def _order_folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_order")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def commit_write(spark: SparkSession, path: str, write_id: str) -> int:
+    """Take the next free number of the folder's order for a finished write. The
+    number is a file created only if it does not exist, so two writers never
+    share one, whatever their clocks say; returns the number."""
+    fs, folder = _order_folder(spark, path)
+    fs.mkdirs(folder)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
+    seq = max(taken, default=-1) + 1
+    while True:
+        try:
+            out = fs.create(name(folder, f"{seq:012d}"), False)
+        except Py4JJavaError:
+            if not fs.exists(name(folder, f"{seq:012d}")):
+                raise
+            seq += 1
+            continue
+        out.write(bytearray(write_id.encode()))
+        out.close()
+        return seq
+
+
+def append_metrics(record: DataFrame, path: str, run_id: str, section: str) -> str:
+    """The first half of ``write_metrics``: the rows, not yet visible."""
+    write_id = uuid.uuid4().hex
+    metrics_long(record, run_id, section).withColumn("write_id", F.lit(write_id)).write.mode("append").parquet(path)
+    return write_id
+
+
+def write_metrics(record: DataFrame, path: str, run_id: str, section: str) -> int:
+    """K4: append a section's fields and commit them; the reference's
+    read-merge-write of one JSON section becomes an append plus
+    ``latest_metrics`` on read, so sections written in any order, by any number
+    of writers, never erase each other. Returns the write's number."""
+    return commit_write(record.sparkSession, path, append_metrics(record, path, run_id, section))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed writes with ``write_seq``, their place in the order."""
+    order = spark.read.text(f"{path.rstrip('/')}/_order").select(
+        F.col("value").alias("write_id"),
+        F.regexp_extract("_metadata.file_name", "[0-9]+", 0).cast("bigint").alias("write_seq"))
+    return spark.read.parquet(path).join(order, "write_id").drop("write_id")
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
-    """Latest entry per (run_id, section, metric): the greatest write sequence
-    (a time in nanoseconds), one aggregation combined map-side."""
+    """Latest entry per (run_id, section, metric): the greatest number of a
+    commit, one aggregation combined map-side."""
     return metrics.groupBy("run_id", "section", "metric").agg(
         F.max(F.struct("write_seq", "written_at", "value", "text")).alias("m")) \
         .select("run_id", "section", "metric", "m.value", "m.text", "m.written_at", "m.write_seq")

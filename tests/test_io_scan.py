@@ -1,5 +1,7 @@
 """S1, S5, S7, K1, K4, P3, P7, P13 and the end-to-end scan."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,7 +9,8 @@ from pyspark.sql import types as T
 from labelsift.operators.scan import find_text_column, flagged_view, nonblank_rows, scan
 from labelsift.sources.artifacts import artifact_manifest
 from labelsift.sources.corpus import CORPUS_SCHEMA, read_corpus
-from labelsift.sources.sinks import latest_metrics, write_metrics, write_table
+from labelsift.sources.sinks import (append_metrics, commit_write, latest_metrics, read_metrics, write_metrics,
+                                     write_table)
 from labelsift.sources.text_dataset import flatten_structs, read_text_dataset
 from tests.conftest import SF001
 
@@ -154,16 +157,31 @@ def test_metrics_append_latest(spark, tmp_path):
     out = str(tmp_path / "m")
     write_metrics(rec, out, "r1", "detection")
     write_metrics(spark.createDataFrame([(0.7, 12)], "precision double, flagged bigint"), out, "r1", "detection")
-    got = {r["metric"]: r["value"] for r in latest_metrics(spark.read.parquet(out)).collect()}
+    got = {r["metric"]: r["value"] for r in latest_metrics(read_metrics(spark, out)).collect()}
     assert got == {"precision": 0.7, "flagged": 12.0}
 
 
+def test_interleaved_writers_share_a_section(spark, tmp_path):
+    """Two writers overlap: the last commit wins, no field of the other is lost
+    and an uncommitted write is not seen."""
+    out = str(tmp_path / "m")
+    a = append_metrics(spark.sql("SELECT 1 AS x, 1 AS only_a"), out, "r", "s")
+    b = append_metrics(spark.sql("SELECT 2 AS x, 2 AS only_b"), out, "r", "s")
+    append_metrics(spark.sql("SELECT 3 AS x"), out, "r", "s")
+    assert [commit_write(spark, out, b), commit_write(spark, out, a)] == [0, 1]
+    got = {r["metric"]: r["value"] for r in latest_metrics(read_metrics(spark, out)).collect()}
+    assert got == {"x": 1.0, "only_a": 1.0, "only_b": 2.0}
+    with ThreadPoolExecutor(8) as pool:
+        seqs = list(pool.map(lambda i: commit_write(spark, out, f"w{i}"), range(24)))
+    assert sorted(seqs) == list(range(2, 26))
+
+
 def test_metrics_keep_strings_and_nested_cells(spark, tmp_path):
     rec = spark.sql("SELECT 'Isolation Forest' AS detector, 0.5D AS f1, true AS ok, "
                     "named_struct('tp', 3L, 'fp', CAST(NULL AS BIGINT)) AS cells, array(1, 2) AS seeds")
     out = str(tmp_path / "m")
     write_metrics(rec, out, "r1", "detection")
-    got = {r["metric"]: (r["value"], r["text"]) for r in latest_metrics(spark.read.parquet(out)).collect()}
+    got = {r["metric"]: (r["value"], r["text"]) for r in latest_metrics(read_metrics(spark, out)).collect()}
     assert got == {"detector": (None, "Isolation Forest"), "f1": (0.5, None), "ok": (None, "true"),
                    "cells.tp": (3.0, None), "cells.fp": (None, None), "seeds": (None, "[1,2]")}
 
