@@ -57,16 +57,19 @@ LR_TOL = 1e-7
 
 
 def fit_logreg(train: DataFrame, n_train: int, max_iter: int = 1000, tol: float = LR_TOL,
-               label_col: str = "label"):
-    """M6. The gradient tree-aggregation depth (Spark's minimum is 2) grows
+               label_col: str = "label", weight_col: str | None = None, total_weight: float | None = None):
+    """M6. With ``weight_col`` the objective sums weighted losses
+    (``total_weight`` is the weights' sum, which then takes the place of n). The gradient tree-aggregation depth (Spark's minimum is 2) grows
     with the partition count so the driver merges few dense gradients per
     iteration even on thousands of partitions."""
     parts = train.rdd.getNumPartitions()
     depth = 2 if parts <= 1024 else 3
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter,
-                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+                            regParam=1.0 / (total_weight or max(n_train, 1)), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, tol=tol,
                             aggregationDepth=depth)
+    if weight_col:
+        lr = lr.setWeightCol(weight_col)
     return lr.fit(train)
 
 
