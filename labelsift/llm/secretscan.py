@@ -1,10 +1,13 @@
 """Secret scans with a recursive decoding worklist (operator 8).
 
 A text is scanned as it stands, then every encoded layer in it: percent escapes
-and Unicode escapes (the text with all of them decoded is a new layer, mapped
-piecewise), runs of base64, also those wrapped into lines or behind a part of a
-path, and, inside those, gzip or zlib streams (a decoded run is a new layer, all
-of it mapped to the run). Each new layer is scanned and
+(in form-encoded words ``+`` is a space as well) and Unicode escapes (the text
+with all of them decoded is a new layer, mapped piecewise), runs of base64, also
+those wrapped into (indented) lines or behind a part of a path, and gzip or zlib
+streams, inside base64 or written with ``%xx`` or ``\\xNN`` (a decoded run is a new
+layer, all of it mapped to the run). Bytes are the unit of a decoded run: those
+that are no clean UTF-8 are read as UTF-8 with control characters, UTF-16 or
+Latin-1, where they hold anything that could be a secret or a further layer. Each new layer is scanned and
 unwrapped again until nothing new appears. A layer that repeats a content
 already seen for the same place is not followed, which ends cycles. Spans are
 code point offsets of the original text.
@@ -24,6 +27,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +48,20 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _UNIT = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++={0,2})+")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++={0,2})+")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _CUT = re.compile("[/_-]")
 _CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+# Unreadable bytes are worth another reading only if they hold one of these.
+_INTEREST = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2}|\+)+")
+_CHUNK = re.compile(r"\S+")
+# Streams written byte by byte: where one may start, and the units it goes on with.
+_PERCENT_STREAM = re.compile(r"%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])")
+_PERCENT_UNIT = re.compile(r"%([0-9A-Fa-f]{2})|([A-Za-z0-9_.~!*'()/+-])")
+_HEX_STREAM = re.compile(r"\\x1[fF]\\x8[bB]|(?:\\x78|x)\\x(?:01|5[eE]|9[cC]|[dD][aA])")
+_HEX_UNIT = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])|([\x20-\x5b\x5d-\x7e])")
+_ESCAPES = {"n": 10, "r": 13, "t": 9, "a": 7, "b": 8, "f": 12, "v": 11, "0": 0, "\\": 92, "'": 39, '"': 34}
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -92,10 +106,13 @@ class _Layer:
             self.size if after else there)
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The layer with all matches decoded, or None without any change."""
+def _replaced(layer: _Layer, pattern: re.Pattern, decode, where=None) -> _Layer | None:
+    """The layer with all matches decoded (those that start ``where`` allows),
+    or None without any change."""
     text, parts, pieces, at, size = layer.text, [], [], 0, 0
     for m in pattern.finditer(text):
+        if where and not where(m.start()):
+            continue
         new = decode(m.group())
         if new is None or new == m.group():
             continue
@@ -120,6 +137,71 @@ def _percent(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
+def _form(run: str) -> str:
+    return _percent(run.replace("+", "%20"))
+
+
+def _form_layer(layer: _Layer) -> _Layer | None:
+    """The layer with ``+`` and percent escapes decoded in the words that hold
+    both (form-encoded text has no white space)."""
+    words = [(m.start(), m.end()) for m in _CHUNK.finditer(layer.text) if "+" in m.group() and _PERCENT.search(m.group())]
+    if not words:
+        return None
+    starts = [a for a, _ in words]
+
+    def inside(i):
+        k = bisect_right(starts, i) - 1
+        return k >= 0 and i < words[k][1]
+    return _replaced(layer, _FORM, _form, inside)
+
+
+def _written_streams(text: str):
+    """``(start, units, bytes)`` of streams written byte by byte: ``units`` holds
+    the end of every byte's unit."""
+    for first, unit in ((_PERCENT_STREAM, _PERCENT_UNIT), (_HEX_STREAM, _HEX_UNIT)):
+        data, ends, index, stop = bytearray(), [], {}, 0
+        for m in first.finditer(text):
+            if m.start() not in index:
+                if m.start() < stop:
+                    continue                # inside a unit of the run before
+                data, ends, index, at = bytearray(), [], {}, m.start()
+                while u := unit.match(text, at):    # a run is read once for all starts in it
+                    index[at] = len(data)
+                    hexed, *plain = u.groups()
+                    data.append(int(hexed, 16) if hexed else _ESCAPES[plain[0]] if len(plain) > 1 and plain[0]
+                                else ord(plain[-1]))
+                    at = u.end()
+                    ends.append(at)
+                stop = at
+            k = index[m.start()]
+            if _is_stream(data[k:k + 3]) and _opens(data[k:k + 1024]):
+                yield m.start(), ends[k:], bytes(data[k:])
+
+
+def _opens(head: bytes) -> bool:
+    """Whether a stream's first bytes unpack."""
+    try:
+        zlib.decompressobj(47).decompress(head, 64)
+    except zlib.error:
+        return False
+    return True
+
+
+def _stream_end(data: bytes) -> int:
+    """Bytes of the first stream in ``data`` (all of them if it does not end)."""
+    d = zlib.decompressobj(47)
+    at = 0
+    try:
+        while at < len(data) and not d.eof:
+            d.decompress(data[at:at + 65536], 1 << 16)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, 1 << 16)
+            at += 65536
+    except zlib.error:
+        return len(data)
+    return min(len(data), at) - len(d.unused_data) if d.eof else len(data)
+
+
 def _unicode(run: str) -> str | None:
     codes = [int(a or b, 16) for a, b in _UNIT.findall(run)]
     if any(c > 0x10FFFF for c in codes):
@@ -160,6 +242,25 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
+def _readings(data: bytes) -> list[str]:
+    """The texts that bytes may be: clean UTF-8, else what their control
+    characters, UTF-16 or Latin-1 leave to scan."""
+    text = _readable(data)
+    if text is not None:
+        return [text]
+    out = []
+    zeros = data.count(0)
+    if zeros * 4 >= len(data) and _INTEREST.search(data.replace(b"\0", b"")):
+        big = data[:2] == b"\xfe\xff" or (data[:2] != b"\xff\xfe" and data[::2].count(0) > data[1::2].count(0))
+        out.append(data.decode("utf-16-be" if big else "utf-16-le", "replace"))
+    if _INTEREST.search(data):
+        try:
+            out.append(data.decode("utf-8"))
+        except UnicodeDecodeError:
+            out.append(data.decode("latin-1"))
+    return out
+
+
 def _decoded(run: str) -> bytes | None:
     run = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(run) % 4 == 1:
@@ -234,15 +335,17 @@ def _base64_runs(text: str):
             for s, e, part in _parts(m.group()):
                 yield m.start() + s, m.start() + e, part
     for s, e in _wrapped(text):
-        data = _decoded(re.sub("[\r\n]", "", text[s:e]))
+        data = _decoded(re.sub("[\r\n\x20\t]", "", text[s:e]))
         if data is not None:
             yield s, e, data
 
 
 def _base64_layers(layer: _Layer, room: int):
-    """Layers inside base64 runs; yields (layer or None, start, end, bytes
-    gained by inflating, truncated)."""
-    for start, end, data in _base64_runs(layer.text):
+    """Layers inside base64 runs and written streams; yields (layer or None,
+    start, end, bytes gained by inflating, truncated)."""
+    streams = ((s, ends[_stream_end(data) - 1], data) for s, ends, data in _written_streams(layer.text)) \
+        if "%" in layer.text or "\\x" in layer.text else ()
+    for start, end, data in chain(_base64_runs(layer.text), streams):
         seen, cut, gained = set(), False, 0
         while True:              # compressed layers, one inside the other
             mark = hashlib.sha1(data).digest()
@@ -257,9 +360,11 @@ def _base64_layers(layer: _Layer, room: int):
             gained += gain
             cut |= over
             data = more
-        text = _readable(data)
-        if text is not None or cut or gained:
-            yield None if text is None else _Layer(text, layer, whole=(start, end)), start, end, gained, cut
+        texts = _readings(data)
+        for i, text in enumerate(texts or [None]):
+            if text is not None or cut or gained:
+                yield (None if text is None else _Layer(text, layer, whole=(start, end)), start, end,
+                       0 if i else gained, cut)
 
 
 def _unfold(text: str) -> tuple[list, list, int, list]:
@@ -274,6 +379,8 @@ def _unfold(text: str) -> tuple[list, list, int, list]:
         new = []
         if "%" in layer.text:
             new.append(_replaced(layer, _PERCENT, _percent))
+            if "+" in layer.text:
+                new.append(_form_layer(layer))
         if "\\" in layer.text:
             new.append(_replaced(layer, _UNICODE, _unicode))
         for inner, start, end, gained, over in _base64_layers(layer, room):

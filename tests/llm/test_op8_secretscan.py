@@ -2,12 +2,13 @@
 
 import base64
 import gzip
+import pytest
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
-import pytest
 
 from labelsift.llm import secretscan
 from labelsift.llm.common import table
@@ -163,3 +164,56 @@ def test_a_refused_stream_is_redacted_and_the_rest_goes_on(monkeypatch):
     text = f"a {bomb} b {late} c pass%77ord: abcdefgh%31 d {base64.b64encode(bomb.encode()).decode()}"
     assert secretscan.scan_text(text)[3]
     assert secretscan.redacted(text) == "a [SECRET] b [SECRET] c [SECRET] d [SECRET]"
+
+
+def test_layers_that_are_no_clean_utf8_text():
+    b64 = lambda b: base64.b64encode(b).decode()
+    accent = f"café {SECRET} x".encode("latin-1")
+    zipped = gzip.compress(f"some words {SECRET} and more".encode())
+    indented = textwrap.fill(b64(f"a long enough text around {SECRET} and behind it, too".encode()), 24)
+    cases = {
+        "nul": b64(f"\x00{SECRET}".encode()), "esc": b64(f"red \x1b[31m {SECRET}".encode()),
+        "utf-16": b64(f"héllo {SECRET}".encode("utf-16")), "utf-16-be": b64(f"héllo {SECRET}".encode("utf-16-be")),
+        "latin-1": b64(accent), "gzip latin-1": b64(gzip.compress(accent)),
+        "percent gzip": urllib.parse.quote(zipped, safe=""), "all percent gzip": "".join(f"%{x:02x}" for x in zipped),
+        "percent zlib": urllib.parse.quote(zlib.compress(SECRET.encode()), safe=""),
+        "backslash gzip": "".join(f"\\x{x:02x}" for x in zipped), "repr gzip": repr(zipped)[2:-1],
+        "indented": indented.replace("\n", "\n    "), "tabs": indented.replace("\n", "\r\n\t"),
+        "form": "a=1&msg=password+%3D+abcdefghij12&b=2"}
+    for name, run in cases.items():
+        text = f"before {run} after"
+        _, spans, _, _ = secretscan.scan_text(text)
+        hit = [s for s in spans if s[1] == "assign" and 7 <= s[0] and s[2] <= 7 + len(run)]
+        assert hit, name
+
+
+def test_random_nestings_are_all_found():
+    """Against the plain inverse: whatever is wrapped, in any order, is found."""
+    wraps = {
+        "percent": lambda b: urllib.parse.quote(b, safe="").encode(),
+        "base64": lambda b: base64.b64encode(b), "urlsafe": lambda b: base64.urlsafe_b64encode(b),
+        "lines": lambda b: b"\n  ".join(textwrap.wrap(base64.b64encode(b).decode(), 64)[i].encode()
+                                         for i in range(len(textwrap.wrap(base64.b64encode(b).decode(), 64)))),
+        "gzip": lambda b: base64.b64encode(gzip.compress(b)), "zlib": lambda b: base64.b64encode(zlib.compress(b)),
+        "hex": lambda b: "".join(f"\\x{x:02x}" for x in b).encode(),
+        "unicode": lambda b: "".join(f"\\u{ord(c):04x}" for c in b.decode()).encode(),
+        "utf-16": lambda b: base64.b64encode(b.decode().encode("utf-16"))}
+    rng = random.Random(12)
+    found = 0
+    for _ in range(150):
+        names = [rng.choice(list(wraps)) for _ in range(rng.randrange(1, 4))]
+        data = f"some text in front {SECRET} and words behind it".encode()
+        for n in names:
+            data = wraps[n](data)
+        text = f"x {data.decode()} y"
+        _, spans, _, _ = secretscan.scan_text(text)
+        found += any(s[1] == "assign" for s in spans)
+        assert any(s[1] == "assign" for s in spans), names
+    assert found == 150
+
+
+def test_plain_code_and_words_gain_no_spans():
+    for text in ("password += abcdefghij12", "token+=abcdefghij", "100% of a+b, token: short", "x%9C is no stream",
+                 "secretary+of+state 50%25", "\\x1f\\x8b cut", "%1f%8b", "AAAAAAAAAAAAAAAAAAAAAAAA"):
+        base, spans, _, _ = secretscan.scan_text(text)
+        assert base == spans, text
