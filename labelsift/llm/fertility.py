@@ -20,13 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelsift.llm.common import blocks, packed, prepare, row_key, table, written
 
-FENCE = 5.0
-PRIOR = 10
+FENCE = 3.0                 # the usual bound of far outliers
+PRIOR = 2
+GRAIN = 1000                # quartiles are taken of measures in thousandths
 BROADCAST_BANDS = 100_000   # more groups than these are joined by shuffle
 # Fixed bands (least, greatest) that a group's own are drawn towards.
 FIXED = {"piece_chars": (0.5, 12.0), "byte_chars": (0.25, 16.0), "fallback": (0.0, 0.5),
@@ -34,7 +35,7 @@ FIXED = {"piece_chars": (0.5, 12.0), "byte_chars": (0.25, 16.0), "fallback": (0.
 MEASURES = list(FIXED)
 # Least distance of a fence from its quartile: a share of the median, for byte
 # fallback an absolute share on top of the pieces of one rare sign.
-LEAST = {"piece_chars": 0.2, "byte_chars": 0.2, "fallback": 0.02, "entropy": 0.2}
+LEAST = {"piece_chars": 0.05, "byte_chars": 0.05, "fallback": 0.02, "entropy": 0.05}
 SIGN_PIECES = 4
 MIN_WORDS = 50
 _MEMO_WORDS = 300_000
@@ -207,6 +208,24 @@ def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def quartiles(texts: DataFrame) -> DataFrame:
+    """``(b_grp, b_cls, n, q_<measure> ARRAY)`` of ``texts(grp, cls, measures)``:
+    the least thousandths that a quarter, half and three quarters of the group's
+    texts do not exceed. Counts per thousandth combine before the shuffle and a
+    group has a few ten thousand of them at most, so the result is exact under any
+    partitioning and a hot group is no large task."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.round(F.col(m) * GRAIN).cast("bigint").alias("v"))
+                               for m in MEASURES]))
+    counts = texts.select("grp", "cls", each.alias("e")).groupBy("grp", "cls", "e.m", "e.v").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("grp", "cls", "m")
+    upto, n = F.sum("c").over(whole.orderBy("v")), F.sum("c").over(whole)
+    reached = counts.select("grp", "cls", "m", "v", upto.alias("upto"), n.alias("n"))
+    least = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * k, F.col("v"))) / GRAIN for k in (1, 2, 3)]
+    per = reached.groupBy("grp", "cls", "m").agg(F.max("n").alias("n"), F.array(*least).alias("q"))
+    return per.groupBy(F.col("grp").alias("b_grp"), F.col("cls").alias("b_cls")).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"q_{m}") for m in MEASURES])
+
+
 def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
           fence: float = FENCE) -> DataFrame:
     """One row per input row of ``docs(doc_id, text[, lang])``: the base counts,
@@ -222,10 +241,7 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None,
     size = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int").alias("cls")
     texts = rows.filter(~F.col("base_failed")).groupBy(group, size, "text_hash") \
         .agg(*[F.min(m).alias(m) for m in MEASURES])
-    bands = written(texts.groupBy("grp", "cls").agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in MEASURES]) \
-        .withColumnsRenamed({"grp": "b_grp", "cls": "b_cls"}), "bands")
+    bands = written(quartiles(texts), "bands")
     if bands.count() <= BROADCAST_BANDS:
         bands = F.broadcast(bands)
     joined = rows.join(bands, (F.coalesce("lang", "script") == F.col("b_grp")) & (size == F.col("b_cls")),

@@ -144,3 +144,34 @@ def test_one_more_text_flips_no_verdict(spark):
     assert all(0.4 < r.fallback < 0.5 and not r.base_failed for r in bad)
     assert [r.kept for r in bad] == [False] * 4
     assert all(r.kept for r in got if r.doc_id != 1000)
+
+
+def test_kept_against_plain_bands(spark):
+    """``kept`` of every document from its measures, by plain Python bands."""
+    docs_ = table(spark, SF01, "documents")
+    m = {r.doc_id: r for r in fertility.measures(docs_).collect()}
+    groups = {}
+    for r in m.values():
+        if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words:
+            g = groups.setdefault((r.lang or r.script, int(math.log2(r.n_words))), {})
+            g[r.text_hash] = r
+
+    def band(r, name):
+        own = sorted(math.floor(getattr(x, name) * 1000 + 0.5) for x in groups[r.lang or r.script, int(math.log2(r.n_words))].values())
+        q1, mid, q3 = (own[math.ceil(len(own) * k / 4) - 1] / 1000 for k in (1, 2, 3))
+        least = 0.02 + 4 / max(r.n_tokens, 1) if name == "fallback" else fertility.LEAST[name] * mid
+        reach, w = max(fertility.FENCE * (q3 - q1), least), len(own) / (len(own) + fertility.PRIOR)
+        low, high = fertility.FIXED[name]
+        return w * (q1 - reach) + (1 - w) * low - 1e-9 <= getattr(r, name) <= w * (q3 + reach) + (1 - w) * high + 1e-9
+
+    want = {d for d, r in m.items() if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words
+            and all(band(r, x) for x in fertility.MEASURES)}
+    for parts in (1, 9):
+        got = fertility.judge(docs_.repartition(parts)).collect()
+        assert {r.doc_id for r in got if r.kept} == want and len(got) == len(m)
+    failed = {r.doc_id for r in got if r.base_failed}
+    quality = {r.doc_id: r.quality for r in table(spark, SF01, "labels").collect()}
+    poor = [d for d, q in quality.items() if q == 0 and d not in failed]
+    good = [d for d, q in quality.items() if q == 1 and d not in failed]
+    assert sum(d not in want for d in poor) >= 0.25 * len(poor)
+    assert sum(d not in want for d in good) <= 0.01 * len(good)
