@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating star steps.
 
 Each step is one aggregation (least neighbour of a node, combined map-side)
-and one join on the node; a component of any size shrinks to a star around
+and one join on the node, whose aggregated side is written first (a join splits
+a hot node only where its other side is no aggregation); a component of any size shrinks to a star around
 its least node in a logarithmic number of steps. No edge or component is ever
 collected."""
 
@@ -20,12 +21,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")) \
-            .select("u", F.least("u", "m").alias("m"))
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m"))
+                        .select("u", F.least("u", "m").alias("m")), "least")
         out = pairs.filter("v > u").join(least, "u").select("v", "m")
     else:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = pairs.join(least, "u").select("v", "m") \
             .unionByName(least.select(F.col("u").alias("v"), "m"))
     return out.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()

@@ -253,7 +253,8 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS,
     Null text is empty: no tokens, and the posterior of the prior's logits.
     Domains without a label take no part and their share is spread over the
     rest; with fewer than two labelled domains every rate is 1. Repeated rows
-    count each; an empty table gives no rows."""
+    count each; an empty table gives no rows. Rates that have not settled after
+    ``MAX_STEPS`` steps raise."""
     model = fit_domains(docs, labels, per_domain)
     names = model.domains
     if len(names) < 2:
@@ -271,7 +272,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS,
     share = np.array([shares.get(n, 0.0) for n in names])
     share = share / share.sum() if share.sum() else np.full(len(names), 1.0 / len(names))
     targets = target_totals(totals, share, np.array([n in reduced for n in names]))
-    rated, _, _ = fit_rates(rows, targets)
+    rated, steps, error = fit_rates(rows, targets)
+    if steps >= MAX_STEPS:
+        raise RuntimeError(f"the rates did not settle in {steps} steps (relative error {error:.2g})")
     keys = F.array(*[F.lit(n) for n in names])
     return rated.select(
         "doc_id", "text_hash", "tokens",

@@ -240,10 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col, words), "fps")
     entry = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "entries")
     roots = components(near_links(entry, max_bits)).withColumnRenamed("node", "fp")
-    rooted = entry.join(roots, "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = written(entry.join(roots, "fp", "left").select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written, as a join splits a hot root only where its other side is no aggregation
+    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    classes = written(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 

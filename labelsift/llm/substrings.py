@@ -324,6 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows."""
     if not 8 <= q <= length - max(STEPS) + 1:
         raise ValueError("a q-gram has at least 8 bytes and fits the smallest core")
+    if length > 32_767:
+        raise ValueError("offsets inside a string are 16-bit numbers: at most 32,767 bytes")
     rows = keyed_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(rows, length, q).groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("s", "e")).alias("spans")) \
