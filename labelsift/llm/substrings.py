@@ -3,27 +3,36 @@
 Every byte covered by a ``length``-byte string (400) that also starts anywhere
 else in the corpus is removed. Sorting all suffixes would move every byte
 position; here a *window* (a string of ``length`` bytes) is first put into the
-bucket of one q-gram inside it, and buckets are refined on longer and longer
-strings around that offset, only as long as they are shared:
+bucket of one q-gram inside it, and buckets are refined on the buckets of later
+offsets, only as long as they are shared:
 
 1. *Initial q-gram buckets.* Each window picks its anchor, the leftmost least
    hashed position among its q-gram starts. The choice depends on the window's
    bytes alone, so equal windows pick the same anchor. Neighbouring windows
    share an anchor: a run of windows is one item ``(anchor, lo, hi)``, ``lo`` to
    ``hi`` being the offsets of the anchor in its windows; about 0.6 % of the
-   byte positions are anchors. The anchor's q-gram is the bucket identifier.
-2. *Refinement.* A block of offsets has a *core* (the bytes all its windows
-   share: the bucket identifier) and an *extent* (all bytes its windows cover).
-   Equal extents within a bucket prove every window of the block repeated; a
-   bucket with one member proves the rest unique. What is left in shared buckets
-   is split into blocks of 64, 8 and 1 offsets, whose longer cores refine the
+   byte positions are anchors. The anchor's q-gram is its first bucket.
+2. *Bucket pointers.* ``identifiers`` gives every position its bucket at depth 8
+   and refines it by the pair (own bucket, bucket at the later offset): depth
+   doubles each time, and the refined identifiers are what the next doubling
+   pairs. A string between two depths is the pair of the buckets at its start
+   and at the offset where the last full depth begins.
+3. *Refinement.* A block of offsets has a *core* (the bytes all its windows
+   share: the bucket) and an *extent* (all bytes its windows cover). Equal
+   extents within a bucket prove every window of the block repeated; a bucket
+   with one member proves the rest unique. What is left in shared buckets is
+   split into blocks of 64, 8 and 1 offsets, whose deeper cores refine the
    bucket; members with equal extents go on as one. At one offset core and
    extent are the window itself, so the answer is exact.
 
-Identifiers are 64-bit hashes of the strings themselves instead of ranks, so a
-refinement needs no global sort, only one aggregation (combined map-side); a
-class is the pair of core and extent, 128 bits. Texts move once for the members
-still open after step 1 and once to cut the spans out.
+A bucket's identifier is a 64-bit number mixed from the pair instead of the
+pair's rank among all: tasks agree on it without a global sort per doubling, and
+a refinement is one aggregation (combined map-side). Cores and extents are named
+by different constants, so a class, the pair of both, has 128 bits. Texts move
+once for the members still open after step 1 and once to cut the spans out.
+
+A text of any length is scanned in pieces of 256 KB that overlap by a run's
+reach; a piece keeps the runs whose anchor is its own, so a run is never split.
 """
 
 from __future__ import annotations
@@ -42,6 +51,9 @@ QGRAM = 64
 STEPS = (64, 8, 1)
 _CHUNK = 1 << 18
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# odd multipliers of the two families of identifiers
+CORE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD))
+EXTENT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xC4CEB9FE1A85EC53))
 _POS_BITS = 34   # low bits of the ordering key: position in the scanned chunk
 
 
@@ -92,33 +104,74 @@ def anchors(texts: list[bytes], length: int = LENGTH, q: int = QGRAM):
     return owner, a - start[owner], a - end, a - begin
 
 
-def _hash(data: bytes, lo: int, hi: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(data, (lo << 20) | hi)
+def _pair(own: np.ndarray, later: np.ndarray, family) -> np.ndarray:
+    """The identifier of (own bucket, bucket at a later offset)."""
+    x = own * family[0]
+    x += later
+    x ^= x >> np.uint64(29)
+    x *= family[1]
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def identifiers(buf: np.ndarray, start: np.ndarray, size: np.ndarray, family, tag: np.ndarray) -> np.ndarray:
+    """Identifiers of the strings ``buf[start:start + size]`` (8 bytes at least)
+    that carry ``tag``: equal for equal strings and tags.
+
+    All positions are refined from depth h to 2h by their bucket at offset h; a
+    string of h to 2h - 1 bytes is the pair of the depth-h buckets at its start
+    and at its last h bytes. ``buf`` ends with 8 bytes of padding."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    if not len(start):
+        return out
+    bucket = _words_at(buf)
+    bucket *= family[0]
+    bucket ^= bucket >> np.uint64(32)
+    bucket *= family[1]
+    bucket ^= bucket >> np.uint64(29)
+    h, top = 8, int(size.max())
+    while True:
+        mine = np.flatnonzero((size >= h) & (size < 2 * h))
+        at = start[mine]
+        out[mine] = _pair(bucket[at], bucket[at + size[mine] - h], family)
+        if 2 * h > top:
+            break
+        bucket = _pair(bucket[:-h], bucket[h:], family)
+        h *= 2
+    return _pair(out, (size.astype(np.uint64) << np.uint64(32)) | tag.astype(np.uint64), family)
 
 
-def _i64(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+_RUN = "doc_id bigint, text_hash bigint, pos int, lo smallint, hi smallint, core bigint, extent bigint"
 
 
-_RUN = "doc_id bigint, text_hash bigint, pos int, lo smallint, hi smallint, core bigint, extent bigint"
+def _pieces(text: bytes, length: int, q: int):
+    """``(from, to, offset, bytes)``: the piece that owns the anchors from..to - 1
+    holds every window of such an anchor."""
+    reach, n = length - q, len(text)
+    for a in range(0, n, _CHUNK):
+        b = min(a + _CHUNK, n)
+        off, end = max(a - reach, 0), min(b - 1 + length, n)
+        if end - off >= length:
+            yield a, b, off, text[off:end]
 
 
 def _runs(length: int, q: int):
     def flush(rows):
-        owner, pos, lo, hi = anchors([r[2] for r in rows], length, q)
-        core, extent = [], []
-        for o, p, x, y in zip(owner.tolist(), pos.tolist(), lo.tolist(), hi.tolist()):
-            t = rows[o][2]
-            core.append(_hash(t[p:p + q], 0, 0))
-            extent.append(_hash(t[p - y:p - x + length], x, y))
-        ids = [rows[o][0] for o in owner.tolist()]
-        hashes = [rows[o][1] for o in owner.tolist()]
+        texts = [r[5] for r in rows]
+        owner, pos, lo, hi = anchors(texts, length, q)
+        low, up, off = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 3, 4))
+        at = pos + off[owner]
+        mine = (at >= low[owner]) & (at < up[owner])
+        owner, pos, lo, hi, at = owner[mine], pos[mine], lo[mine], hi[mine], at[mine]
+        start = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[owner] + pos
+        buf = np.frombuffer(b"".join(texts) + b"\0" * 8, dtype=np.uint8)
+        core = identifiers(buf, start, np.full(len(start), q), CORE, np.zeros(len(start)))
+        extent = identifiers(buf, start - hi, hi - lo + length, EXTENT, lo)
         return pa.record_batch([
-            pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()),
-            pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)),
-            pa.array(hi.astype(np.int16)), _i64(core), _i64(extent)],
+            pa.array(np.array([r[0] for r in rows], dtype=object)[owner], pa.int64()),
+            pa.array(np.array([r[1] for r in rows], dtype=np.int64)[owner]),
+            pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int16)),
+            pa.array(hi.astype(np.int16)), pa.array(core.view(np.int64)), pa.array(extent.view(np.int64))],
             names=["doc_id", "text_hash", "pos", "lo", "hi", "core", "extent"])
 
     def run(batches):
@@ -126,14 +179,12 @@ def _runs(length: int, q: int):
             rows, size = [], 0
             for r in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(),
                          b.column("text").to_pylist()):
-                t = r[2].encode()
-                if len(t) < length:
-                    continue
-                if rows and size + len(t) > _CHUNK:
-                    yield flush(rows)
-                    rows, size = [], 0
-                rows.append((r[0], r[1], t))
-                size += len(t)
+                for piece in _pieces(r[2].encode(), length, q):
+                    if rows and size + len(piece[3]) > _CHUNK:
+                        yield flush(rows)
+                        rows, size = [], 0
+                    rows.append((r[0], r[1], *piece))
+                    size += len(piece[3])
             if rows:
                 yield flush(rows)
     return run
@@ -176,35 +227,36 @@ _BLOCK = ("doc_id bigint, text_hash bigint, pos int, lo smallint, hi smallint, o
 def _blocks(length: int, step: int):
     """Rows with a context and a block (from, to) of offsets to split -> its
     aligned sub-blocks of ``step`` offsets, with core and extent."""
+    def split(b):
+        top, x, y = (b.column(c).to_numpy().astype(np.int64) for c in ("top", "lo", "hi"))
+        # around[k] is the text's byte pos - top + k; the block needs around[top - y:top - x + length]
+        parts = [a[t - v:t - u + length] for a, t, u, v in
+                 zip(b.column("around").to_pylist(), top.tolist(), x.tolist(), y.tolist())]
+        buf = np.frombuffer(b"".join(parts) + b"\0" * 8, dtype=np.uint8)
+        base = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        first = x // step
+        n = y // step - first + 1
+        row = np.repeat(np.arange(len(n)), n)
+        low = (first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+        u, v = np.maximum(low, x[row]), np.minimum(low + step - 1, y[row])
+        # an offset o's window starts at base + y - o; windows of a whole block
+        # share length - step + 1 bytes from its least offset's start
+        zero = base[row] + y[row]
+        core = identifiers(buf, zero - low, np.full(len(row), length - step + 1), CORE, low)
+        extent = identifiers(buf, zero - v, v - u + length, EXTENT, u)
+        kept = b.select(["doc_id", "text_hash", "pos", "open"]).take(pa.array(row))
+        return pa.record_batch([kept.column(0), kept.column(1), kept.column(2), pa.array(u.astype(np.int16)),
+                                pa.array(v.astype(np.int16)), kept.column(3),
+                                pa.array(core.view(np.int64)), pa.array(extent.view(np.int64))],
+                               names=["doc_id", "text_hash", "pos", "lo", "hi", "open", "core", "extent"])
+
     def run(batches):
-        for b in blocks(batches, "around"):
-            out = []
-            for i, h, p, top, o, around, x, y in zip(*(
-                    b.column(c).to_pylist() for c in
-                    ("doc_id", "text_hash", "pos", "top", "open", "around", "lo", "hi"))):
-                # around[k] is the text's byte pos - top + k
-                for low in range(x // step * step, y + 1, step):
-                    u, v = max(low, x), min(low + step - 1, y)
-                    inner = around[top - low:top - (low + step - 1) + length]
-                    outer = around[top - v:top - u + length]
-                    out.append((i, h, p, u, v, o, _hash(inner, low, step), _hash(outer, u, v)))
-                if len(out) > 20_000:
-                    yield _block_batch(out)
-                    out = []
-            if out:
-                yield _block_batch(out)
+        for b in blocks(batches, "around", _CHUNK):
+            if b.num_rows:
+                yield split(b)
     return run
 
 
-def _block_batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_()]
-    names = ["doc_id", "text_hash", "pos", "lo", "hi", "open"]
-    return pa.record_batch(
-        [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        + [_i64([r[6] for r in rows]), _i64([r[7] for r in rows])],
-        names=names + ["core", "extent"])
-
-
 def _refine(items: DataFrame, length: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """One round over items ``(doc_id, text_hash, pos, lo, hi, open, core,
     extent)``, written. Returns the byte ranges now known to be repeated and
@@ -321,7 +373,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes (null: empty); windows never cross texts; texts
     shorter than ``length`` are kept whole. Rows that repeat a text repeat all
     its windows, whatever their ids (null included). An empty table gives no
-    rows."""
+    rows. A text of any length is scanned in overlapping pieces. Only the two
+    named columns are read, so other columns cannot clash."""
     if not 8 <= q <= length - max(STEPS) + 1:
         raise ValueError("a q-gram has at least 8 bytes and fits the smallest core")
     if length > 32_767:

@@ -94,3 +94,55 @@ def test_query_on_the_smoke_table(spark):
 def test_parameters_are_checked(spark):
     with pytest.raises(ValueError):
         substrings.remove_repeats(docs(spark, [(1, "x")]), length=100)
+
+
+def test_identifiers_name_strings_by_later_offsets():
+    """Equal strings and tags get equal numbers at any place and any size; other
+    strings, also such that differ in one byte, get others."""
+    import numpy as np
+
+    rng = random.Random(4)
+    text = bytes(rng.randrange(2) for _ in range(3000)) * 2
+    buf = np.frombuffer(text + b"\0" * 8, dtype=np.uint8)
+    for size in (8, 9, 15, 16, 17, 64, 337, 400, 511, 512, 736):
+        start = np.arange(len(text) - size)
+        ids = substrings.identifiers(buf, start, np.full(len(start), size), substrings.EXTENT, start * 0 + 5)
+        names = {}
+        for s, i in zip(start.tolist(), ids.tolist()):
+            assert names.setdefault(text[s:s + size], i) == i
+        assert len(set(names.values())) == len(names)
+        other = substrings.identifiers(buf, start, np.full(len(start), size), substrings.EXTENT, start * 0 + 6)
+        assert not set(other.tolist()) & set(ids.tolist())
+
+
+@pytest.mark.parametrize("chunk", [1, 97, 1000])
+def test_long_texts_are_scanned_in_pieces(spark, monkeypatch, chunk):
+    """Any cut of the texts into pieces gives the runs of the whole texts."""
+    rng = random.Random(chunk)
+    part = prose(rng, 150)
+    rows = [(k, part[:rng.randrange(300, 900)] + prose(rng, 90) + part) for k in range(4)] + [(None, "x" * 1500), (9, "ab")]
+    for _, t in rows:
+        t = t.encode()
+        whole = sorted(zip(*(x.tolist() for x in substrings.anchors([t], 400, 64)[1:]))) if len(t) >= 400 else []
+        monkeypatch.setattr(substrings, "_CHUNK", chunk)
+        got = []
+        for a, b, off, piece in substrings._pieces(t, 400, 64):
+            got += [(p + off, x, y) for _, p, x, y in zip(*(v.tolist() for v in substrings.anchors([piece], 400, 64)))
+                    if a <= p + off < b]
+        assert sorted(got) == whole
+    import pyarrow as pa
+
+    def runs():
+        b = pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([7] * len(rows), pa.int64()),
+                             pa.array([r[1] for r in rows])], names=["doc_id", "text_hash", "text"])
+        return sorted((str(r) for x in substrings._runs(400, 64)([b]) for r in x.to_pylist()))
+    cut = runs()
+    monkeypatch.setattr(substrings, "_CHUNK", 1 << 18)
+    assert cut == runs()
+
+
+def test_whole_documents_equal_a_plain_window_count(spark):
+    from tests.conftest import SF01
+
+    df = table(spark, SF01, "documents")
+    assert run(df) == plain([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], 400)
