@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from labelsift.plans import io_queries, model_queries, run_queries, signal_queries, screen_queries, text_queries
+from labelsift.plans import io_queries, model_queries, run_queries, signal_queries, screen_queries, text_queries, trust_queries
 
 _MODULES = [screen_queries, text_queries, run_queries, model_queries, io_queries,
-            signal_queries]
+            signal_queries, trust_queries]
 
 
 def queries() -> dict:
