@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.session import materialize
+from labelsift.session import stored
 
 ROUNDS = 20
 START_BAD, START_HIT, START_FALSE = 0.2, 0.6, 0.1
@@ -62,18 +62,32 @@ def reliability(df: DataFrame, source: str, signals: list[str], rounds: int = RO
     ``expected_bad`` sums the posteriors of the last round, ``bad_share`` is that
     sum drawn towards ``START_BAD``, ``reliability`` is ``1 - bad_share``. An empty
     table gives no sources and the drawn start values of the signals."""
+    if rounds < 1:
+        raise ValueError("one round at least")
     m = len(signals)
     patterns = range(1 << m)
-    state = materialize(pattern_counts(df, source, signals).withColumn("bad_share", F.lit(START_BAD)))
+    table = stored(pattern_counts(df, source, signals).withColumn("n_rows", F.aggregate(
+        "counts", F.lit(0).cast("bigint"), lambda a, x: a + x)), "patterns")
     hit, false_alarm = [START_HIT] * m, [START_FALSE] * m
+    past: list[list[float]] = []  # the likelihoods of the rounds so far
+
+    def share_after(total: Column) -> Column:
+        return (total + PSEUDO * START_BAD) / (F.col("n_rows") + PSEUDO)
+
+    def expected(share: Column, like: Column, p: int) -> Column:
+        return F.col("counts")[p] * posterior(share, like[2 * p], like[2 * p + 1])
+
     for _ in range(rounds):
-        like = likelihoods(hit, false_alarm)
-        bad = F.array(*[F.col("counts")[p] * posterior(F.col("bad_share"), *like[p]) for p in patterns])
-        seen = state.withColumn("bad", bad)
-        total = F.aggregate("bad", F.lit(0.0), lambda a, x: a + x)
-        n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-        state = materialize(seen.withColumn("n_rows", n).withColumn("expected_bad", total).withColumn(
-            "bad_share", (total + PSEUDO * START_BAD) / (n + PSEUDO)))
+        # a source's share follows from its counts and the past likelihoods: no
+        # round writes a table, and a lost task repeats a fold over its few rows
+        like = [x for pair in likelihoods(hit, false_alarm) for x in pair]
+        now = F.lit(like)
+        share = F.lit(START_BAD)
+        if past:
+            share = F.aggregate(F.array(*[F.lit(x) for x in past]), share, lambda s, like: share_after(
+                sum([expected(s, like, p) for p in patterns[1:]], expected(s, like, 0))))
+        state = table.withColumn("share", share).withColumn("bad", F.array(
+            *[expected(F.col("share"), now, p) for p in patterns]))
         sums = state.agg(*[F.coalesce(F.sum(F.col(c)[p]), F.lit(0)).cast("double").alias(f"{c}{p}")
                            for c in ("bad", "counts") for p in patterns]).first()
         b = [sums[f"bad{p}"] for p in patterns]
@@ -81,7 +95,8 @@ def reliability(df: DataFrame, source: str, signals: list[str], rounds: int = RO
         hit = [(sum(b[p] for p in patterns if p >> j & 1) + PSEUDO * START_HIT) / (sum(b) + PSEUDO) for j in range(m)]
         false_alarm = [(sum(s[p] for p in patterns if p >> j & 1) + PSEUDO * START_FALSE) / (sum(s) + PSEUDO)
                        for j in range(m)]
-    if not rounds:
-        raise ValueError("one round at least")
-    table = state.select("source", "n_rows", "expected_bad", "bad_share", (1 - F.col("bad_share")).alias("reliability"))
+        past.append(like)
+    table = state.withColumn("expected_bad", F.aggregate("bad", F.lit(0.0), lambda a, x: a + x)).withColumn(
+        "bad_share", share_after(F.col("expected_bad")))
+    table = table.select("source", "n_rows", "expected_bad", "bad_share", (1 - F.col("bad_share")).alias("reliability"))
     return table, [{"signal": s, "hit": a, "false_alarm": f} for s, a, f in zip(signals, hit, false_alarm)]

@@ -1,5 +1,5 @@
-"""Registered queries of source reliability and version provenance, and their
-oracle SQL."""
+"""Registered queries of source reliability, version provenance and quarantine, and
+their oracle SQL."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from labelsift.operators.ranks import mid_ranks
 from labelsift.plans.common import CORPUS_SQL, RATE, SEED, corpus, docs, hash60_sql, poisoned_sql, r6
 from labelsift.session import ensure_checkpoint_dir, stored
 from labelsift.sources.corpus import table
+from labelsift.streaming.quarantine import quarantine
 
 SIGNALS = ["n_chars", "repeats", "far"]
 MARKED = 0.9
@@ -68,7 +69,19 @@ def q_version_tree(spark, sf):
         F.count("*").alias("nodes"), F.sum("old_keys").alias("old_keys"), F.sum("new_keys").alias("new_keys"))
 
 
+def q_quarantine(spark, sf):
+    """Every document is held for an hour from a second of its own on; a labelled one
+    is decided after a second a character: toxic ones are dropped."""
+    held = docs(spark, sf).select("doc_id", F.timestamp_seconds(F.col("doc_id")).alias("at"), "n_chars")
+    answers = held.join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", F.timestamp_seconds(F.col("doc_id") + F.col("n_chars")).alias("decided"),
+        (F.col("toxic") == 0).alias("release"))
+    judged = quarantine(held.drop("n_chars"), answers, "doc_id", "at", "decided", "release")
+    return judged.select("doc_id", "status", (F.unix_seconds("decided_at") - F.unix_seconds("at")).alias("waited"))
+
+
 QUERIES = {
+    "quarantine": q_quarantine,
     "source_reliability": q_source_reliability,
     "signal_reliability": q_signal_reliability,
     "version_changes": q_version_changes,
@@ -119,6 +132,11 @@ _CHANGES = f"""SELECT coalesce(o.row_id, n.row_id) AS row_id,
 _BUCKET = f"({hash60_sql('bucket', 'row_id')} % {V.FANOUT ** V.DEPTH})"
 
 ORACLE = {
+    "quarantine": """
+        SELECT d.doc_id, CASE WHEN l.doc_id IS NULL OR d.n_chars NOT BETWEEN 0 AND 3600 OR d.n_chars IS NULL THEN 'expired'
+                              WHEN l.toxic = 0 THEN 'released' ELSE 'dropped' END AS status,
+               CASE WHEN l.doc_id IS NOT NULL AND d.n_chars BETWEEN 0 AND 3600 THEN d.n_chars END::BIGINT AS waited
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "source_reliability": f"""{_EM}
         SELECT source, sum(n)::BIGINT AS n_rows, round(max(bad), 6) AS expected_bad, round(max(share), 6) AS bad_share,
                round(1 - max(share), 6) AS reliability FROM em WHERE it = {REL.ROUNDS} GROUP BY source""",
