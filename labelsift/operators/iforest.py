@@ -2,11 +2,13 @@
 
 Fit (M1), tree-parallel:
 
-1. every row draws one hash per tree (two draws per md5 digest); a tree keeps
-   the ``psi`` smallest draws -- a uniform sample without replacement per tree,
-   by one rule at every table size. Only draws under a threshold that leaves
-   about three times the sample are ranked (``row_number`` inside ``partition
-   by tree``); if a tree comes out short the threshold is raised;
+1. a row's place on a circle is one md5 digest and a tree keeps the ``psi``
+   rows that follow its start (starts evenly spaced): a uniform sample without
+   replacement for each tree, by one rule at every table size; neighbouring
+   trees share rows where ``trees * psi`` exceeds the table. A row is offered
+   only to the few trees whose start is close behind it (about three times the
+   sample), and the offers are ranked (``row_number`` inside ``partition by
+   tree``); if a tree comes out short the distance is raised;
 2. the selected ``(tree, key)`` list (at most ``trees * psi`` rows, a proven
    bound) is checkpointed and broadcast into the vector table, and
    ``groupBy(tree).applyInPandas`` grows each tree in numpy on its rows.
@@ -107,19 +109,21 @@ def rounded_inputs(vecs: DataFrame) -> DataFrame:
 
 def tree_offers(keys: DataFrame, key: str, trees: int, seed: int, below: int | None = None) -> DataFrame:
     """``(key, tree, _h)``: the 60-bit draw of every key for every tree, those
-    under ``below`` only. One md5 digest holds the draws of two trees."""
-    pairs = F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // 2))).alias("_pair")
-    digest = F.md5(F.concat(F.lit(f"tree:{seed}:"), F.col("_pair").cast("string"), F.lit(":"),
-                            F.col(key).cast("string")))
-    d = keys.select(key, pairs).withColumn("_d", digest)
-
-    def draw(first: int):
-        return F.conv(F.substring("_d", first, 15), 16, 10).cast("bigint")
-
-    both = d.select(key, F.explode(F.array(
-        F.struct((2 * F.col("_pair")).alias("tree"), draw(1).alias("_h")),
-        F.struct((2 * F.col("_pair") + 1).alias("tree"), draw(16).alias("_h")))).alias("_o"))
-    out = both.select(key, "_o.tree", "_o._h").where(F.col("tree") < trees)
+    under ``below`` only. A key's place on a circle of 2**60 is one md5 digest;
+    its draw for a tree is the distance from the tree's start, so the trees it
+    is near to follow by arithmetic and no other tree is looked at."""
+    step = (1 << 60) // trees
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"tree:{seed}:"), F.col(key).cast("string"))), 1, 15),
+                   16, 10).cast("bigint")
+    d = keys.select(key, place.alias("_p"))
+    if below is None or below + 2 * step >= 1 << 60:
+        near = F.sequence(F.lit(0), F.lit(trees - 1))
+    else:  # one tree wider than needed on either side, cut exactly below
+        near = F.array_distinct(F.transform(
+            F.expr(f"sequence((_p - {below}L) div {step}L - 1, _p div {step}L)"),
+            lambda t: F.pmod(t, F.lit(trees)).cast("int")))
+    out = d.select(key, "_p", F.explode(near).alias("tree")) \
+        .select(key, "tree", F.pmod(F.col("_p") - F.col("tree") * F.lit(step), F.lit(1 << 60)).alias("_h"))
     return out if below is None else out.where(F.col("_h") < F.lit(below))
 
 

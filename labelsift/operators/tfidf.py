@@ -3,10 +3,11 @@
 Plan shape (one corpus):
 
 * a document is one row, so tokens, term counts, weights and the L2 norm are
-  row-local: ``counts`` turns the text into a sorted ``(term, tf)`` array with
-  JVM expressions, ``vectorize`` looks the terms up in the broadcast vocabulary
-  and weighs them in Arrow batches (vectorised hash look-up, numpy). No exchange
-  carries text or per-document terms by key;
+  row-local: tokens are cut by JVM expressions, ``counts`` turns them into a
+  sorted ``(term, tf)`` array and ``vectorize`` looks the terms up in the
+  broadcast vocabulary and weighs them, both in Arrow batches (dictionary codes,
+  vectorised hash look-up, numpy). No exchange carries text or per-document
+  terms by key up to a vocabulary of ``BROADCAST_MAX_TERMS``;
 * the vocabulary is one ``explode`` and ``groupBy(term)`` with map-side partial
   aggregation (a term present in a third of all documents costs one row per
   partition);
@@ -68,11 +69,15 @@ MITIGATION = TfidfConfig(10000, 2, 1, 1.0, None, True, "mitigation")
 SCAN = TfidfConfig(5000, 2, 1, 1.0, None, True, "scan")
 
 
+def tokens(text: Column | str) -> Column:
+    """Lower-case runs of two or more word characters."""
+    return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
 def terms(text: Column | str, cfg: TfidfConfig) -> Column:
     """T1-T3 as one array expression: tokens, stop words removed, then
     1..ngram_max-grams of the remaining tokens."""
-    t = text_or_empty(text)
-    toks = F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), F.lit(0))
+    toks = tokens(text)
     if cfg.stop_words:
         stop = list(cfg.stop_words)
         toks = F.filter(toks, lambda x: ~x.isin(stop))
@@ -87,34 +92,67 @@ def terms(text: Column | str, cfg: TfidfConfig) -> Column:
 
 
 COUNTS = "array<struct<term:string,tf:bigint>>"
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row: a lambda variable
-    cannot be inlined again by the optimizer, as a projected column can."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _runs(s: Column) -> Column:
-    """Sorted terms -> their runs as ``(term, tf)``: run starts are found and
-    subtracted."""
-    start = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)),
-                     lambda i: i.isNotNull())
-
-    def build(a: Column) -> Column:
-        end = F.concat(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.size(s)))
-        runs = F.zip_with(a, end, lambda x, y: F.struct(
-            F.get(s, x).alias("term"), (y - x).cast("bigint").alias("tf")))
-        return F.when(F.size(a) > 0, runs).otherwise(F.array().cast(COUNTS))
-
-    return _let(start, build)
+CHUNK_TOKENS = 1 << 21  # tokens counted at once in a worker
+
+
+def _pieces(offsets: np.ndarray):
+    """Runs of rows of at most ``CHUNK_TOKENS`` tokens (a longer row alone)."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_TOKENS, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _count_terms(tokens: pa.ListArray, cfg: TfidfConfig) -> pa.ListArray:
+    """Token lists -> per row the distinct terms in term order with counts:
+    tokens are dictionary codes, a pair of codes is a bigram, and equal
+    ``(row, term rank)`` cells are counted by one sort."""
+    n = len(tokens)
+    coded = tokens.flatten().dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), np.diff(np.asarray(tokens.offsets)))
+    if cfg.stop_words:
+        stop = pc.is_in(names, value_set=pa.array(cfg.stop_words, names.type)).to_numpy(zero_copy_only=False)
+        keep = ~stop[code]
+        code, row = code[keep], row[keep]
+    if cfg.ngram_max == 2:
+        d = max(len(names), 1)
+        near = row[1:] == row[:-1]
+        pair, at = np.unique((code[:-1] * d + code[1:])[near], return_inverse=True)
+        both = pc.binary_join_element_wise(names.take(pa.array(pair // d)), names.take(pa.array(pair % d)), " ")
+        names = pa.concat_arrays([names, both])
+        code, row = np.concatenate([code, d + at]), np.concatenate([row, row[:-1][near]])
+    order = pc.array_sort_indices(names).to_numpy().astype(np.int64)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(order.size)
+    width = max(order.size, 1)
+    cell, tf = np.unique(row * width + rank[code], return_counts=True)
+    off = np.concatenate(([0], np.cumsum(np.bincount(cell // width, minlength=n)))).astype(np.int32)
+    entry = pa.StructArray.from_arrays([names.take(pa.array(order[cell % width])), pa.array(tf.astype(np.int64))],
+                                       names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(off), entry)
 
 
 def counts(df: DataFrame, key: str, text: str, cfg: TfidfConfig, carry: Sequence[str] = ()) -> DataFrame:
     """T6, row-local: ``(key, *carry, counts)`` with the document's distinct
-    terms in term order and their counts, by array expressions inside the row."""
+    terms in term order and their counts. Tokens are cut in the JVM (T1, T2);
+    stop words, bigrams and counts are vectorised in Arrow batches (T3, T6)."""
+    if cfg.ngram_max > 2:
+        raise NotImplementedError("n-grams up to 2 (the reference uses 1 and 1-2)")
     cols = [key, *[c for c in carry if c != key]]
-    return df.select(*cols, _let(F.sort_array(terms(text, cfg)), _runs).cast(COUNTS).alias("counts"))
+    cut = df.select(*cols, tokens(text).alias("_tokens"))
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in _pieces(np.asarray(b.column("_tokens").offsets)):
+                part = b.slice(lo, hi - lo)
+                yield pa.record_batch([part.column(c) for c in cols] + [_count_terms(part.column("_tokens"), cfg)],
+                                      names=[*cols, "counts"])
+
+    schema = ST.StructType([cut.schema[c] for c in cols] + ST.StructType.fromDDL(f"counts {COUNTS}").fields)
+    return cut.mapInArrow(run, schema)
 
 
 def explode_counts(counted: DataFrame, key: str, keep_empty: bool = False) -> DataFrame:
@@ -213,22 +251,31 @@ def _row_weights(counts_col: pa.ListArray, terms_: pa.Array, idf: np.ndarray, su
     return np.concatenate(([0], np.cumsum(n))).astype(np.int32), idx.astype(np.int32), w / norm[row]
 
 
+def _ml_vectors(indices: pa.Array, values: pa.Array, size: int) -> pa.StructArray:
+    """The storage form of Spark ML sparse vectors."""
+    m = len(indices)
+    return pa.StructArray.from_arrays(
+        [pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, size, np.int32)), indices, values],
+        names=["type", "size", "indices", "values"])
+
+
 def vectorize(counted: DataFrame, key: str, vocab: Vocabulary, carry: Sequence[str] = (),
               as_vector: int | None = None) -> DataFrame:
     """T8, T9, J3, map-only: ``(key, *carry, indices, values)`` -- the row's
     known terms in index order with L2-normalised weights; rows without a known
     term get empty arrays. ``as_vector=size`` gives one Spark ML vector column
-    ``features`` instead of the arrays."""
+    ``features`` instead of the arrays. Above ``BROADCAST_MAX_TERMS`` terms the
+    vectors come from joins on the term and meet the carried columns on the key,
+    with the same rows (null keys excepted, which a join cannot match)."""
+    cols = [key, *[c for c in carry if c != key]]
     if _vocab_size(vocab) > BROADCAST_MAX_TERMS:
-        if carry or as_vector is not None:
-            raise ValueError("rows can only be carried through a vocabulary of broadcast size")
-        return _vectorize_by_join(counted, key, vocab)
+        return _carried(counted.select(*cols), _vectorize_by_join(counted, key, vocab), key, as_vector)
     spark = counted.sparkSession
     ship_package(spark)
     rows = vocab.table.select("idx", "term", "idf").toArrow().sort_by("idx")
     shared = spark.sparkContext.broadcast(
         (rows.column("term").combine_chunks(), rows.column("idf").to_numpy()))
-    cols, sub = [key, *[c for c in carry if c != key]], vocab.cfg.sublinear_tf
+    sub = vocab.cfg.sublinear_tf
 
     def run(batches):
         terms_, idf = shared.value
@@ -239,11 +286,7 @@ def vectorize(counted: DataFrame, key: str, vocab: Vocabulary, carry: Sequence[s
             if as_vector is None:
                 out, names = [ind, val], ["indices", "values"]
             else:
-                m = b.num_rows
-                out = [pa.StructArray.from_arrays(
-                    [pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, as_vector, np.int32)), ind, val],
-                    names=["type", "size", "indices", "values"])]
-                names = ["features"]
+                out, names = [_ml_vectors(ind, val, as_vector)], ["features"]
             yield pa.record_batch([b.column(c) for c in cols] + out, names=[*cols, *names])
 
     schema = ST.StructType([counted.schema[c] for c in cols])
@@ -255,6 +298,22 @@ def vectorize(counted: DataFrame, key: str, vocab: Vocabulary, carry: Sequence[s
     return counted.select(*cols, "counts").mapInArrow(run, schema)
 
 
+def _carried(rows: DataFrame, vecs: DataFrame, key: str, as_vector: int | None) -> DataFrame:
+    """Vectors of a large vocabulary beside the columns that ride along: one
+    join on the (unique) key; both sides have every key."""
+    if as_vector is not None:
+        from pyspark.ml.linalg import VectorUDT
+
+        def pack(batches):
+            for b in batches:
+                yield pa.record_batch([b.column(key), _ml_vectors(b.column("indices"), b.column("values"), as_vector)],
+                                      names=[key, "features"])
+
+        vecs = vecs.select(key, "indices", "values").mapInArrow(
+            pack, ST.StructType([vecs.schema[key]]).add("features", VectorUDT()))
+    return vecs if rows.columns == [key] else rows.join(vecs, key)
+
+
 def _vectorize_by_join(counted: DataFrame, key: str, vocab: Vocabulary) -> DataFrame:
     """The same for a vocabulary above the broadcast size: its
     ``BROADCAST_MAX_TERMS`` most frequent terms by broadcast join, the others

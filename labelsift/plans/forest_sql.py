@@ -2,9 +2,8 @@
 ``labelsift.operators.iforest``, grown level by level in SQL.
 
 Every random draw of the forest is a hash, so SQL can repeat it: the tree
-sample ranks ``md5('tree:<seed>:<tree / 2>:<key>')`` (first or second 15 hex
-digits by the tree's parity), a node's feature and
-threshold come from ``md5('node:<seed>:<tree>:<node>:f|t')``; inputs are the
+sample ranks the distance of ``md5('tree:<seed>:<key>')`` (first 15 hex digits)
+from the tree's start on a circle of 2**60, a node's feature and threshold come from ``md5('node:<seed>:<tree>:<node>:f|t')``; inputs are the
 TF-IDF weights rounded to 9 decimals. Levels are unrolled up to the deepest
 possible tree (``ceil(log2 256) = 8``); the depth limit of the data is a
 column. Used only by ``oracle_sql()``.
@@ -41,6 +40,7 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
     to it, ``score = 2 ** (-E[h] / c(psi))``."""
     if psi > 2 ** MAX_LEVELS:
         raise ValueError("the oracle unrolls trees of psi <= 256")
+    step = (1 << 60) // trees
     tf = "(1.0 + ln(c.tf))" if cfg.sublinear_tf else "CAST(c.tf AS DOUBLE)"
     ctes = [
         f"V AS MATERIALIZED ({vocab_sql(source, cfg, key, text)})",
@@ -50,9 +50,9 @@ def scores_sql(source: str, cfg: TfidfConfig, key: str = "row_id", text: str = "
         f"K AS MATERIALIZED (SELECT {key} AS k FROM ({source}))",
         f"PRM AS MATERIALIZED (SELECT n, psi_e, CAST(ceil(log2(greatest(psi_e, 2))) AS INTEGER) AS md "
         f"FROM (SELECT n, least({psi}, n) AS psi_e FROM (SELECT count(*) AS n FROM K)))",
-        f"OFFERS AS MATERIALIZED (SELECT k, tree, ('0x' || substr(md5('tree:{seed}:' || "
-        f"CAST(tree // 2 AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1 + 15 * (tree % 2), 15))::BIGINT AS h "
-        f"FROM K, (SELECT range AS tree FROM range({trees})))",
+        f"PLACES AS MATERIALIZED (SELECT k, {_h60(f"'tree:{seed}:' || CAST(k AS VARCHAR)")} AS p FROM K)",
+        f"OFFERS AS MATERIALIZED (SELECT k, tree, CASE WHEN p < tree * {step} THEN p - tree * {step} + {1 << 60} "
+        f"ELSE p - tree * {step} END AS h FROM PLACES, (SELECT range AS tree FROM range({trees})))",
         "M0 AS MATERIALIZED (SELECT tree, 0 AS node, k FROM ("
         "SELECT o.tree, o.k, row_number() OVER (PARTITION BY o.tree ORDER BY o.h, o.k) AS rn "
         "FROM OFFERS o), PRM WHERE rn <= PRM.psi_e)",

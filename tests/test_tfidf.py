@@ -1,6 +1,8 @@
 """T1-T9, J3, L6 on small fixtures, checked against hand computations."""
 
 import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -133,6 +135,44 @@ def test_vocabulary_above_the_broadcast_size_gives_the_same_vectors(spark, monke
         monkeypatch.undo()
 
 
+def test_columns_and_ml_vectors_ride_along_above_the_broadcast_size(spark, monkeypatch):
+    texts = [f"the common w{i % 30} rare{i}" for i in range(60)] + ["", None]
+    df = docs(spark, texts).withColumn("label", F.col("row_id") % 3)
+    cfg = T.TfidfConfig()
+    vocab = T.fit(df, "row_id", "text", cfg)
+    c = T.counts(df, "row_id", "text", cfg, ["label", "text"])
+    size = vocab.table.count()
+
+    def rows():
+        a = sorted((r["row_id"], r["label"], r["text"], r["indices"], [round(v, 12) for v in r["values"]])
+                   for r in T.vectorize(c, "row_id", vocab, ["label", "text"]).collect())
+        b = sorted((r["row_id"], r["label"], r["features"].size, r["features"].indices.tolist(),
+                    [round(v, 12) for v in r["features"].values])
+                   for r in T.vectorize(c, "row_id", vocab, ["label"], as_vector=size).collect())
+        return a, b
+
+    want = rows()
+    monkeypatch.setattr(T, "BROADCAST_MAX_TERMS", 6)
+    assert rows() == want and len(want[0]) == 62
+
+
+def test_counts_equal_the_terms_counted(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = ["the", "ab", "abc", "ab_c", "zé", "éa", "日本", "\U00010400\U00010401", "\uffe0x", "q1", "of"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(40))) for _ in range(60)] + ["", None, "the of"]
+    df = docs(spark, texts)
+    for limit in (1, 7, 1 << 21):
+        monkeypatch.setattr(T, "CHUNK_TOKENS", limit)
+        for cfg in (T.TfidfConfig(), T.TfidfConfig(ngram_max=2),
+                    T.TfidfConfig(ngram_max=2, stop_words=T.ENGLISH_STOP_WORDS)):
+            plain = {r["row_id"]: Counter(r["t"]) for r in df.select("row_id", T.terms("text", cfg).alias("t")).collect()}
+            got = T.counts(df, "row_id", "text", cfg).collect()
+            assert len(got) == len(texts)
+            for r in got:
+                assert [tuple(x) for x in r["counts"]] == sorted(plain[r["row_id"]].items(),
+                                                                 key=lambda x: x[0].encode())
+
+
 def test_row_local_counts(spark):
     got = T.counts(docs(spark, ["b a b c a b", "", None, "z"]), "row_id", "text",
                    T.TfidfConfig(name="x")).collect()
