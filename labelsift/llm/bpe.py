@@ -36,7 +36,7 @@ from labelsift.session import ensure_checkpoint_dir
 
 LEXICON_WORDS = 100_000
 LEXICON_BYTES = 64      # longer pre-tokens are merged, not listed
-_BLOCK_WORDS = 400_000  # distinct words of a counting block
+_BLOCK_WORDS = 400_000  # distinct pieces of a counting block
 _MEMO_WORDS = 700_000   # words a worker remembers (about 160 MB)
 _NONE = 1 << 62         # a pair without a merge
 
@@ -190,19 +190,22 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` of the pre-tokens of ``rows(text)``, up to the block
-    error."""
+def word_counts(rows: DataFrame, block_words: int = _BLOCK_WORDS) -> DataFrame:
+    """``(word, n)`` of the pre-tokens of ``rows(text)``, the same under any
+    partitioning. Texts are cut before every space first, since equal pieces
+    are pre-tokenised once a block (three spaces in a row thus count as three
+    single ones); words above ``LEXICON_BYTES`` are left out."""
     def run(batches):
-        count: Counter = Counter()
+        count: Counter = Counter()   # pieces that follow a space
+        first: Counter = Counter()   # a text's first piece
 
         def passed_on():
             words: Counter = Counter()
-            for chunk, n in count.items():
-                if n > 1:
-                    for w in pretokens(" " + chunk):
+            for pieces, space in ((count, " "), (first, "")):
+                for piece, n in pieces.items():
+                    for w in pretokens(space + piece):
                         words[w] += n
-            count.clear()
+                pieces.clear()
             some = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
             for i in range(0, len(some), 50_000):
                 w, n = zip(*some[i:i + 50_000])
@@ -210,8 +213,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for b in blocks(batches):
             for t in b.column("text").to_pylist():
-                count.update(t.split(" "))
-                if len(count) > _BLOCK_WORDS:
+                head, *rest = t.split(" ")
+                first[head] += 1
+                count.update(rest)
+                if len(count) + len(first) > block_words:
                     yield from passed_on()
         yield from passed_on()
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+from collections import Counter
 
 import pytest
 from tokenizers import Tokenizer
@@ -65,6 +66,22 @@ def test_transducer_round_trip_and_sharing(tmp_path):
     assert lexicon.Lexicon(str(path)).get(b"a") is None
 
 
+def test_word_counts_are_whole_under_any_partitioning(spark):
+    rng = random.Random(6)
+    texts = ["one\ttwo\nthree,one", "oneonce", "日本語 日本", "", " lead", "tail ", "a  b", "x" * 300]
+    texts += [rng.choice(["\n", " ", "\t"]).join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(30)))
+              for _ in range(60)]
+    want = Counter()
+    for t in texts:
+        for i, piece in enumerate(t.split(" ")):
+            want.update(w for w in pretokens(" " * (i > 0) + piece) if len(w) <= bpe.LEXICON_BYTES)
+    assert sum(n for w, n in want.items() if w in (" lead", "one", "\t")) >= 4
+    rows = docs(spark, list(enumerate(texts))).select("text")
+    for parts, block in ((1, 400_000), (7, 400_000), (3, 2)):
+        got = bpe.word_counts(rows.repartition(parts), block).collect()
+        assert {r.word: r.n for r in got} == want
+
+
 @pytest.mark.parametrize("words", [0, 50, 5000])
 def test_ids_do_not_depend_on_the_lexicon(spark, library, words):
     rows = edge_rows() + [(50, "text with <|endoftext|> inside")]
