@@ -71,10 +71,10 @@ def test_tree_samples_are_exact_size(spark):
 
 def _plain_sample(n, trees, psi, seed):
     out = set()
-    place = [(int(hashlib.md5(f"tree:{seed}:{k}".encode()).hexdigest()[:15], 16), k) for k in range(n)]
     for t in range(trees):
-        start = t * (2 ** 60 // trees)
-        out |= {(t, k) for _, k in sorted(((p - start) % 2 ** 60, k) for p, k in place)[:psi]}
+        h = sorted((int(hashlib.md5(f"tree:{seed}:{t // 2}:{k}".encode()).hexdigest()[15 * (t % 2):][:15], 16), k)
+                   for k in range(n))
+        out |= {(t, k) for _, k in h[:psi]}
     return out
 
 
