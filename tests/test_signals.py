@@ -44,6 +44,39 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, threshold, block):
     assert got == want and len(want) > 5
 
 
+def test_tiles_of_any_size_find_the_pairs_of_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = (rng.random((10, 30)) * (rng.random((10, 30)) < 0.4))[rng.integers(0, 10, 150)]
+    dense += rng.random((150, 30)) * (rng.random((150, 30)) < 0.2)
+    dense[:, 0] += 0.1  # one term in every row
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    start = np.concatenate([[0], np.cumsum((dense > 0).sum(axis=1))])
+    rows = SIM._Rows(start, np.nonzero(dense)[1], dense[dense > 0])
+    whole = dense @ dense.T
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if whole[i, j] >= 0.8}
+    across = {(i, j) for i in range(70) for j in range(80) if whole[i, j + 70] >= 0.8}
+    assert len(want) > 50
+    for cells in (1 << 23, 1):  # one tile; tiles of 64 rows
+        monkeypatch.setattr(SIM, "_CELLS", cells)
+        for a, b, same, pairs in ((rows, rows, True, want), (rows.part(0, 70), rows.part(70, 150), False, across)):
+            got = [(int(x), int(y), z) for i, j, c in SIM._tiles(a, b, same, 0.8) for x, y, z in zip(i, j, c)]
+            assert len(got) == len(pairs) and {g[:2] for g in got} == pairs
+            assert all(abs(z - whole[x, y + (0 if same else 70)]) < 1e-12 for x, y, z in got)
+
+
+def test_neighbour_sums_are_summed_where_pairs_are_found(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "BLOCK", 9)
+    df = spark.createDataFrame([(i, t, i % 5) for i, t in enumerate(sorted(set(near_texts(9))))], "rep long, text string, n0 long")
+    vocab, _, vecs = T.fit_vectors(df, "rep", "text", CFG, carry=("n0",))
+    want = {}
+    for r in SIM.similar_pairs(vecs, vocab, "rep", 0.6).collect():
+        for x, y in ((r["a"], r["b"]), (r["b"], r["a"])):
+            want[x] = want.get(x, 0) + y % 5
+    sums = SIM.neighbour_sums(vecs, "rep", ("n0",), 0.6)
+    assert {r["rep"]: r["n0"] for r in sums.collect()} == want and len(want) > 10
+    assert "Join" not in sums._jdf.queryExecution().sparkPlan().toString()  # no table of pairs meets the vectors
+
+
 def test_consistency_counts_copies_without_pairing_them(spark):
     rows = [(i, "same words in this text", int(i % 4 == 0)) for i in range(40)] + \
         [(100, "same words in this text indeed", 1), (101, "nothing alike here", 0), (102, None, 1), (103, "", 1), (104, "", 0)]
