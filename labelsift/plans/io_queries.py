@@ -45,7 +45,7 @@ def q_csv_file_order(spark, sf):
     """The key of a file without one is the record's place: sorted by doc_id,
     the file's place is the rank."""
     path = _place(spark, ".csv")
-    sinks.write_table(docs(spark, sf).select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"),
+    sinks.write_table(docs(spark, sf).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id"),
                       path, "csv")
     return read_corpus(spark, path).select("row_id", F.col("doc_id").cast("bigint").alias("doc_id"))
 

@@ -229,3 +229,16 @@ def test_file_order_key_many_files(spark, tmp_path):
     texts = [t for _, t in rows]
     want = [f"f{f}r{i}" for f in range(4) for i in range(25 + f)]
     assert texts == want
+
+
+def test_file_order_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from labelsift.plans import io_queries as Q
+    from labelsift.sources import sinks
+
+    spark.range(100).selectExpr("(id * 37) % 100 AS doc_id", "concat('a,\"', id) AS text").repartition(3) \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    plans, write = [], sinks.write_table
+    monkeypatch.setattr(sinks, "write_table", lambda df, *a: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, *a))
+    got = Q.q_csv_file_order(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(100)]
+    assert "REPARTITION_BY_COL" in plans[0]  # no fixed number of ranges
