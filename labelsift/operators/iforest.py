@@ -247,7 +247,7 @@ def path_lengths(forest: Forest, X: np.ndarray) -> np.ndarray:
     return forest.leaf_value[tree_ix, node].mean(axis=1)
 
 
-SCORE_CHUNK_BYTES = 64 << 20
+SCORE_CHUNK_BYTES = 16 << 20  # of each of some six arrays
 
 
 def densify(offsets: np.ndarray, flat_i: np.ndarray, flat_v: np.ndarray, lookup: np.ndarray,

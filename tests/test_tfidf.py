@@ -179,3 +179,26 @@ def test_row_local_counts(spark):
     assert [[tuple(x) for x in r["counts"]] for r in got] == [[], [], [], []]
     got = T.counts(docs(spark, ["bb aa bb cc aa bb", None]), "row_id", "text", T.TfidfConfig()).collect()
     assert [tuple(x) for x in got[0]["counts"]] == [("aa", 2), ("bb", 3), ("cc", 1)]
+
+
+def test_a_batch_of_counts_is_weighed_in_pieces_of_bounded_size(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"t{(i * 7 + j) % 23}" for j in range(i % 20)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    cfg = T.TfidfConfig(10, 1, 1, 1.0, None, False, "test")
+    vocab, counted, _ = T.fit_vectors(df, "k", "text", cfg)
+    made = []
+    kind = type(counted)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **kw: made.append(f) or whole(self, f, *a, **kw))
+    T.vectorize(counted, "k", vocab)
+    batch = pa.Table.from_batches(counted.select("k", "counts").toArrow().to_batches()).combine_chunks().to_batches()[0]
+    one = list(made[-1](iter([batch])))
+    monkeypatch.setattr(T, "CHUNK_TOKENS", 50)
+    parts = list(made[-1](iter([batch])))
+    assert len(one) == 1 and len(parts) > 5
+    size = dict(zip(batch.column("k").to_pylist(), np.diff(np.asarray(batch.column("counts").offsets))))
+    assert all(sum(size[k] for k in p.column("k").to_pylist()) <= 50 for p in parts)
+    assert pa.Table.from_batches(parts).to_pylist() == one[0].to_pylist()
