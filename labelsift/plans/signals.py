@@ -40,6 +40,16 @@ def log_loss(label: Column, margin: Column) -> Column:
     return F.greatest(-toward, F.lit(0.0)) + F.log1p(F.exp(-F.abs(toward)))
 
 
+def fold_doc_freq(counted: DataFrame, folds: int) -> DataFrame:
+    """``(term, df_0, ctf_0, df_1, ...)``: a term's document and corpus counts in the
+    rows outside each fold, from one pass over the counts for all folds. A row of a
+    null fold (a null key) is outside none."""
+    tc = counted.select("fold", F.explode("counts").alias("c")).select("fold", "c.term", "c.tf")
+    return tc.groupBy("term").agg(*[x for k in range(folds) for x in (
+        F.count_if(F.col("fold") != k).alias(f"df_{k}"),
+        F.sum(F.when(F.col("fold") != k, F.col("tf"))).alias(f"ctf_{k}"))])
+
+
 def out_of_fold(labelled: DataFrame, key: str = "row_id", text: str = "text", label: str = "label",
                 folds: int = FOLDS, seed: int = SEED, cfg: T.TfidfConfig = T.EXPERIMENT,
                 carry: tuple[str, ...] = ()) -> DataFrame:
@@ -48,11 +58,15 @@ def out_of_fold(labelled: DataFrame, key: str = "row_id", text: str = "text", la
     a key that repeats is in one fold as a whole."""
     counted = T.counts(spread(labelled), key, text, cfg, [label, *carry]).withColumn("fold", fold(key, folds, seed))
     counted = stored(counted, "counts")
+    freq = stored(fold_doc_freq(counted, folds), "freq")
 
     def one(k: int) -> DataFrame:
         train = counted.where(F.col("fold") != k)
         n = train.count()
-        vocab = _vocabulary(train, key, cfg, n)
+        vocab = T.fit_doc_freq(freq.where(F.col(f"df_{k}") > 0).select(
+            "term", F.col(f"df_{k}").alias("df"), F.col(f"ctf_{k}").alias("ctf")), cfg, n)
+        vocab.table = materialize(vocab.table)
+        vocab.size = vocab.table.count()
         frame = LR.training_frame(materialize(_frame(train, vocab, key, {"label": label})), n)
         model = LR.fit_logreg(frame, n, tol=TIGHT)
         frame.unpersist()

@@ -159,3 +159,14 @@ def test_out_of_fold_never_sees_the_row_and_weights_have_the_right_gradient(spar
     z = x @ model.coefficients.toArray() + model.intercept
     g = w * (1 / (1 + np.exp(-z)) - y)
     assert abs(x.T @ g + model.coefficients.toArray()).max() < 1e-4 and abs(g.sum()) < 1e-4
+
+
+def test_term_counts_outside_every_fold_come_from_one_pass(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(near_texts(4))] + [(None, "w1 w2")], "k long, text string")
+    counted = T.counts(df, "k", "text", CFG).withColumn("fold", S.fold("k", 3))
+    one = S.fold_doc_freq(counted, 3)
+    assert one._jdf.queryExecution().sparkPlan().toString().count("Generate") == 1
+    for k in range(3):
+        want = T.doc_freq_from_counts(T.explode_counts(counted.where(F.col("fold") != k), "k")).collect()
+        got = one.where(f"df_{k} > 0").select("term", f"df_{k}", f"ctf_{k}").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
