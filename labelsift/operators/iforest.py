@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,15 +189,22 @@ def _grow(rows: pd.DataFrame, n_features: int, psi: int, max_depth: int, seed: i
 
 
 def fit_nodes(vecs: DataFrame, key: str, n_features: int, n: int | None = None,
-              trees: int = 200, psi: int = 256, seed: int = 42) -> tuple[DataFrame, int, int]:
-    """M1: the forest as a node table (lazy). Returns ``(nodes, psi, max_depth)``."""
+              trees: int = 200, psi: int = 256, seed: int = 42, keys: DataFrame | None = None,
+              vectors_of: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int, int]:
+    """M1: the forest as a node table (lazy). Returns ``(nodes, psi, max_depth)``.
+
+    Where ``vecs`` is a map over a table, every use computes it whole: pass the
+    table's ``keys`` to draw from, and ``vectors_of(chosen keys)`` to compute the
+    vectors of the sampled rows alone."""
     n = int(n if n is not None else vecs.count())
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty table")
     psi = min(psi, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     ship_package(vecs.sparkSession)  # the tree builder runs in Python workers
-    chosen = sample_trees(vecs, key, n, trees, psi, seed)
+    chosen = sample_trees(vecs if keys is None else keys, key, n, trees, psi, seed)
+    if vectors_of is not None:
+        vecs = vectors_of(chosen.select(key).distinct())
     # round after the join: only the <= trees * psi sampled rows need it
     rows = rounded_inputs(vecs.join(F.broadcast(chosen), key).select("tree", key, "indices", "values"))
 

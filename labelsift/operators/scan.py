@@ -118,7 +118,12 @@ def scan(df: DataFrame, key: str | None = None, text_col: str | None = None,
     vocab.table = materialize(vocab.table)
     vocab.size = vocab.table.count()
     vecs = TF.vectorize(counted, "_key", vocab, carry=["_row"])
-    scores = run_forest(vecs, "_key", vocab.size, n, contamination, trees, psi, seed, carry=("_row",))
+
+    def vectors_of(chosen: DataFrame) -> DataFrame:
+        return TF.vectorize(counted.join(F.broadcast(chosen), "_key", "left_semi"), "_key", vocab)
+
+    scores = run_forest(vecs, "_key", vocab.size, n, contamination, trees, psi, seed, carry=("_row",),
+                        keys=counted.select("_key"), vectors_of=vectors_of)
     scored = scores.select("_row.*", "anomaly_score",
                            (F.col("detector_flag") == 1).alias("potentially_suspicious"))
     flagged = scored.where("potentially_suspicious").orderBy(F.desc("anomaly_score"), F.asc(key))
