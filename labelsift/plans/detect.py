@@ -2,8 +2,8 @@
 flags -> metrics (the reference's detection stage, as lazy Spark plans).
 
 Written intermediates (in the shared checkpoint folder): the row-local term
-counts (read by the vocabulary fit and, as vectors, by the forest's sample and
-by scoring) and the ``(key, score)`` table (read by the exact-percentile passes
+counts (read by the vocabulary fit and by the vectors), the vectors (read by
+the forest's sample and by scoring) and the ``(key, score)`` table (read by the exact-percentile passes
 and the joins).
 The poisoned corpus itself is never checkpointed: it is the source scan plus
 the key join plus a row-local predicate with fitted constants, so re-deriving
@@ -68,6 +68,9 @@ def detect(poisoned: DataFrame, key: str = "row_id", text: str = "text",
     rate = p / n if n else 0.0
     contamination = max(min(rate, 0.49), 0.001)
     vecs, n_features, _ = featurize(poisoned, key, text, cfg, n)
+    # written: else the draw, the sample and the scores would each compute them, and
+    # the weighing and the scoring would be two Python workers of one task
+    vecs = stored(vecs, "vectors")
     scores = run_forest(vecs, key, n_features, n, contamination, trees, psi, seed)
     return Detection(scores, contamination, n, n_features)
 
