@@ -42,6 +42,16 @@ def test_counts_bound_the_batches_of_a_worker(unset):
     assert counted.count() == 4000
 
 
+def test_weights_bound_the_batches_of_a_worker(unset):
+    df = texts(unset)
+    vocab = T.fit(df, "row_id", "text", T.TfidfConfig(max_features=3))
+    counted = T.counts(df, "row_id", "text", T.TfidfConfig())
+    unset.conf.unset(ARROW_BATCH)
+    vecs = T.vectorize(counted, "row_id", vocab)
+    assert max(size for size, _ in handed(df)) <= BATCH_BYTES * 1.25
+    assert vecs.where(F.size("indices") == 3).count() == 4000
+
+
 def test_a_value_that_the_session_names_is_kept(unset):
     unset.conf.set(ARROW_BATCH, 1 << 20)
     T.counts(texts(unset, 4), "row_id", "text", T.TfidfConfig())
