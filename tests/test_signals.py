@@ -77,6 +77,31 @@ def test_neighbour_sums_are_summed_where_pairs_are_found(spark, monkeypatch):
     assert "Join" not in sums._jdf.queryExecution().sparkPlan().toString()  # no table of pairs meets the vectors
 
 
+def test_vectors_are_written_once_and_meet_without_a_shuffle(spark, monkeypatch):
+    """Whatever the number of blocks, each vector lies in one of them, none is dealt
+    out to the others, and a block keeps to its vectors and entries."""
+    df = spark.createDataFrame(list(enumerate(sorted(set(near_texts(4))))), "rep long, text string")
+    vocab, _, vecs = T.fit_vectors(df, "rep", "text", CFG)
+    want = {r["rep"]: (r["indices"], r["values"]) for r in vecs.collect() if r["indices"]}
+    for block, entries in ((4, 1 << 19), (512, 40)):
+        monkeypatch.setattr(SIM, "BLOCK", block)
+        monkeypatch.setattr(SIM, "_ENTRIES", entries)
+        got, rows = {}, SIM._blocks(vecs, "rep", ()).collect()
+        for r in rows:
+            keys, sizes = np.frombuffer(r["rep"], np.int64), np.frombuffer(r["sizes"], np.int32)
+            assert len(keys) <= block and (sizes.sum() <= entries or len(sizes) == 1)
+            for k, i, v in zip(keys, *(np.split(np.frombuffer(r[c], t), np.cumsum(sizes)[:-1])
+                                       for c, t in (("indices", np.int32), ("values", np.float64)))):
+                assert k not in got
+                got[k] = (list(i), list(v))
+        assert got == want and len(rows) > 8 and len({r["block"] for r in rows}) == len(rows)
+        plan = SIM.similar_pairs(vecs, vocab, "rep")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        sums = SIM.neighbour_sums(vecs.withColumn("n0", F.lit(1)), "rep", ("n0",))
+        plan = sums._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" in plan and "Groups" not in plan
+
+
 def test_consistency_counts_copies_without_pairing_them(spark):
     rows = [(i, "same words in this text", int(i % 4 == 0)) for i in range(40)] + \
         [(100, "same words in this text indeed", 1), (101, "nothing alike here", 0), (102, None, 1), (103, "", 1), (104, "", 0)]
