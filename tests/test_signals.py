@@ -62,6 +62,9 @@ def test_tiles_of_any_size_find_the_pairs_of_brute_force(monkeypatch):
             got = [(int(x), int(y), z) for i, j, c in SIM._tiles(a, b, same, 0.8) for x, y, z in zip(i, j, c)]
             assert len(got) == len(pairs) and {g[:2] for g in got} == pairs
             assert all(abs(z - whole[x, y + (0 if same else 70)]) < 1e-12 for x, y, z in got)
+            for t in (0.8, *sorted(g[2] for g in got)[::25]):  # also a threshold that a pair meets exactly
+                some = {(int(x), int(y)) for i, j, _ in SIM._tiles(a, b, same, t, exact=False) for x, y in zip(i, j)}
+                assert some == {g[:2] for g in got if g[2] >= t}
 
 
 def test_neighbour_sums_are_summed_where_pairs_are_found(spark, monkeypatch):
@@ -115,6 +118,25 @@ def test_consistency_counts_copies_without_pairing_them(spark):
     assert got[103]["neighbours"] == 2 and got[104]["vote"] == 1  # null counts as empty
 
 
+def test_text_classes_deal_texts_out_once(spark):
+    """Keys may repeat or be null; a class is taken from a row of its least key."""
+    rows = [(3, "a b", 1), (2, "a b", 0), (2, "a b", 0), (5, "c", None), (None, "c", 1), (None, "d", 1), (7, None, 0), (8, "", 1)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label int").repartition(3)
+    reps, members = SIM.text_classes(df, "row_id", "text", "label")
+    assert sorted(map(tuple, reps.collect())) == [(2, "a b", 2, 1), (5, "c", 0, 1), (7, "", 1, 1)]
+    assert sorted(map(tuple, members.collect()), key=str) == sorted(
+        [(3, 1, 2), (2, 0, 2), (2, 0, 2), (5, None, 5), (None, 1, 5), (None, 1, None), (7, 0, 7), (8, 1, 7)], key=str)
+    same = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (2, "y", 1)], "row_id long, text string, label int")
+    assert [r["rep"] for r in SIM.text_classes(same, "row_id", "text", "label")[0].collect()] == [1]  # one row a key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reps.select("*")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plan.toString().split("\n") if "Exchange" in x]
+    assert sum("at#" in x for x in dealt) == 2 and len(dealt) == 3, dealt  # the texts, the classes twice
+
+
 def test_mid_ranks_with_ties_and_nulls(spark):
     rng = random.Random(3)
     vals = [rng.choice([1.0, 1.0, 2.0, rng.random(), None]) for _ in range(400)]
