@@ -95,15 +95,23 @@ def _order_folder(spark: SparkSession, path: str):
 def commit_write(spark: SparkSession, path: str, write_id: str) -> int:
     """Take the next free number of the folder's order for a finished write. The
     number is a file created only if it does not exist, so two writers never
-    share one, whatever their clocks say; returns the number."""
+    share one, whatever their clocks say; returns the number. Hadoop's local file
+    system looks for a file and then creates it, which two writers can do at once:
+    there Java's atomic call takes the number."""
     fs, folder = _order_folder(spark, path)
     fs.mkdirs(folder)
-    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path
+    at = fs.resolvePath(folder).toUri()
+    local = at.getScheme() == "file"
     taken = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
     seq = max(taken, default=-1) + 1
     while True:
+        if local and not jvm.java.io.File(at.getPath(), f"{seq:012d}").createNewFile():
+            seq += 1
+            continue
         try:
-            out = fs.create(name(folder, f"{seq:012d}"), False)
+            out = fs.create(name(folder, f"{seq:012d}"), local)
         except Py4JJavaError:
             if not fs.exists(name(folder, f"{seq:012d}")):
                 raise

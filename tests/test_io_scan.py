@@ -176,6 +176,14 @@ def test_interleaved_writers_share_a_section(spark, tmp_path):
     assert sorted(seqs) == list(range(2, 26))
 
 
+def test_writers_at_once_never_share_a_number(spark, tmp_path):
+    for k in range(30):
+        with ThreadPoolExecutor(8) as pool:
+            seqs = list(pool.map(lambda i: commit_write(spark, str(tmp_path / f"m{k}"), f"w{i}"), range(24)))
+        assert sorted(seqs) == list(range(24))
+        assert {(tmp_path / f"m{k}" / "_order" / f"{n:012d}").read_text() for n in seqs} == {f"w{i}" for i in range(24)}
+
+
 def test_metrics_keep_strings_and_nested_cells(spark, tmp_path):
     rec = spark.sql("SELECT 'Isolation Forest' AS detector, 0.5D AS f1, true AS ok, "
                     "named_struct('tp', 3L, 'fp', CAST(NULL AS BIGINT)) AS cells, array(1, 2) AS seeds")
